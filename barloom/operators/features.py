@@ -16,6 +16,8 @@ from barloom.functions.series import (
 # Guards and window lengths that decide the low digits.
 TINY = 1e-9
 WARMUP_BARS = 69
+PRICE_WARMUP_BARS = 49
+LATE_COLUMNS = {"funding_rate": 4, "obi": 4, "leader_ret_5": 0}
 DAYS_PER_YEAR = 365
 
 PRICE_FEATURES = [
@@ -162,16 +164,20 @@ def feature_frame(bars: DataFrame, slice_rows: int = BLOCK_ROWS * SLICE_BLOCKS)
     that their own look-backs restart after the warm-up.
     """
     laid = slice_bars(bars, back=BLOCK_ROWS, slice_rows=slice_rows)
-    out = add_optional_features(add_clock_features(add_volume_features(add_price_features(laid))))
-    late = [c for c in ("funding_rate", "obi") if c in bars.columns]
+    out = add_price_features(laid)
+    warmup = PRICE_WARMUP_BARS
+    if "volume" in bars.columns:
+        out, warmup = add_volume_features(out), WARMUP_BARS
+    out = add_optional_features(add_clock_features(out))
+    late = {c: n for c, n in LATE_COLUMNS.items() if c in bars.columns}
     if not late:
-        return out.withColumn("bar", F.col("pos") - WARMUP_BARS)
-    # A late-starting optional column pushes the first usable bar back: its
-    # five-bar average needs four earlier values.  One row per asset.
+        return out.withColumn("bar", F.col("pos") - warmup)
+    # A late-starting optional column pushes the first usable bar back.  One
+    # row per asset decides it, so no position is counted again.
     starts = bars.groupBy("asset").agg(*[
         F.min(F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_s_{c}") for c in late])
     warm = starts.select("asset", F.greatest(
-        F.lit(WARMUP_BARS), *[F.col(f"_s_{c}") + 4 for c in late]).alias("_warm"))
+        F.lit(warmup), *[F.col(f"_s_{c}") + n for c, n in late.items()]).alias("_warm"))
     return out.join(warm, "asset", "left").withColumn("bar", F.col("pos") - F.col("_warm")).drop("_warm")
 
 

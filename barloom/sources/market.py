@@ -95,7 +95,8 @@ def normalise_funding(raw: DataFrame, step: str = "1 hour", ingest: str = "inges
     last = F.coalesce(F.col("_next").cast("timestamp") - F.expr("INTERVAL 1 microsecond"),
                       F.col("ts").cast("timestamp"))
     slots = F.when(first <= last, F.sequence(first, last, F.expr(f"INTERVAL {step}")))
-    return nxt.select("asset", F.explode(slots).cast("timestamp_ntz").alias("ts"), "funding_rate")
+    grid = nxt.select("asset", F.explode(slots).alias("_at"), "funding_rate")
+    return grid.select("asset", F.col("_at").cast("timestamp_ntz").alias("ts"), "funding_rate")
 
 
 def normalise_book(raw: DataFrame) -> DataFrame:
