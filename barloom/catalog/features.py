@@ -22,7 +22,8 @@ def _feature_query(cols: dict[str, int]) -> str:
 
 
 def _feature_rows(spark, sf_dir, cols):
-    return ft.features(t.numbered_bars(spark, sf_dir)).select("asset", "ts", "bar", *_rounded(cols))
+    balance = any(c.startswith("OBV") for c in cols)
+    return ft.features(t.numbered_bars(spark, sf_dir), balance=balance).select("asset", "ts", "bar", *_rounded(cols))
 
 
 RETURNS = {"ret_1d": 8, "ret_2d": 8, "ret_3d": 8, "ret_5d": 8, "roc_10": 8, "roc_20": 8}
@@ -83,4 +84,4 @@ def feature_on_balance_volume(spark, sf_dir):
 
 @query(q.with_(q.FEATURES, recursive=True) + "SELECT asset, ts, bar, dow, hour FROM tf")
 def feature_clock(spark, sf_dir):
-    return ft.features(t.numbered_bars(spark, sf_dir)).select("asset", "ts", "bar", "dow", "hour")
+    return ft.features(t.numbered_bars(spark, sf_dir), balance=False).select("asset", "ts", "bar", "dow", "hour")

@@ -61,7 +61,7 @@ SIDES = q.FEATURES + ",\n" + RANKS + ",\n" + CROSS
 
 
 def plain_sides(spark, sf_dir, *names):
-    frame = ft.feature_frame(t.numbered_bars(spark, sf_dir))
+    frame = ft.feature_frame(t.numbered_bars(spark, sf_dir), balance="obv_divergence" in names)
     return sg.signal_sides(frame, {n: sg.RULES[n]() for n in names})
 
 
@@ -85,7 +85,7 @@ _FSQL = q.with_(FUNDED_FEATURES, _FX, recursive=True)
 
 
 def _funding_rule(spark, sf_dir, name):
-    frame = ft.feature_frame(funded_bars(spark, sf_dir))
+    frame = ft.feature_frame(funded_bars(spark, sf_dir), balance=False)
     sides = sg.signal_sides(frame, {name: sg.RULES[name]()}, {"funding_rate": 90})
     return sg.candidates(sides, [name]).select("asset", "ts", "bar", "side")
 
@@ -110,7 +110,7 @@ def signal_funding_reversion_regime_filtered(spark, sf_dir):
   round(avg(funding_rate) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 10) AS funding_sma_5
 FROM feat WINDOW w AS (PARTITION BY asset ORDER BY pos) QUALIFY bar >= 0""")
 def feature_funding(spark, sf_dir):
-    rows = ft.features(funded_bars(spark, sf_dir)).select("asset", "ts", "bar", *ft.FUNDING_FEATURES)
+    rows = ft.features(funded_bars(spark, sf_dir), balance=False).select("asset", "ts", "bar", *ft.FUNDING_FEATURES)
     return rounded(rows, funding_rate_diff=12, funding_sma_5=10)
 
 
@@ -196,13 +196,13 @@ def signal_btc_lead_lag(spark, sf_dir):
     bars = t.bars(spark, sf_dir)
     regime = rg.leader_regime(rg.leader_bars(bars, t.LEADER))
     numbered = number_rows(rg.leader_return_on_bars(bars, regime))
-    sides = sg.signal_sides(ft.feature_frame(numbered), {"btc_lead_lag": sg.btc_lead_lag()})
+    sides = sg.signal_sides(ft.feature_frame(numbered, balance=False), {"btc_lead_lag": sg.btc_lead_lag()})
     return sg.candidates(sides, ["btc_lead_lag"]).select("asset", "ts", "bar", "side")
 
 
 @query(q.with_(SIDES, recursive=True) + "SELECT asset, ts, bar, bb_width_rank FROM tr")
 def feature_width_rank(spark, sf_dir):
-    frame = sg.with_helpers(ft.feature_frame(t.numbered_bars(spark, sf_dir)))
+    frame = sg.with_helpers(ft.feature_frame(t.numbered_bars(spark, sf_dir), balance=False))
     return own_rows(frame.filter("bar >= 0")).select("asset", "ts", "bar", "bb_width_rank")
 
 
@@ -240,7 +240,7 @@ def feature_adx(spark, sf_dir):
 @query(q.with_(q.FEATURES, recursive=True) + """, n AS (SELECT asset, ts, bar, lead(ret_1d) OVER (PARTITION BY asset ORDER BY bar) AS r FROM tf)
 SELECT asset, ts, bar, CASE WHEN r > 0.05 THEN 1 ELSE 0 END AS target FROM n WHERE r > 0.05 OR r < -0.05""")
 def feature_direction_target(spark, sf_dir):
-    rows = ft.features(t.numbered_bars(spark, sf_dir)).select("asset", "ts", "pos", "bar", "ret_1d")
+    rows = ft.features(t.numbered_bars(spark, sf_dir), balance=False).select("asset", "ts", "pos", "bar", "ret_1d")
     return ft.direction_target(rows, 0.05).select("asset", "ts", "bar", "target")
 
 

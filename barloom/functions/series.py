@@ -13,7 +13,7 @@ one task.  Two layouts split a series:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,21 +65,28 @@ def _merge(kind: str, local: Column, before: Column) -> Column:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
-         outputs: Mapping[str, tuple[str, Column]], exclusive: bool = False) -> DataFrame:
+         outputs: Mapping[str, tuple[str, Column]], exclusive: bool | Sequence[str] = False) -> DataFrame:
     """Running aggregates over the full history of each key.
 
     ``outputs`` maps a new column to ``(kind, value)`` with kind one of sum,
     max, min, last (latest non-null).  ``slice_by`` must never decrease along
     ``order``.  Rows are sorted only inside ``(keys, slice)``; what crosses a
-    slice border is one summary row per slice.  With ``exclusive`` the current
-    row is left out.
+    slice border is one summary row per slice.  Outputs named in ``exclusive``
+    (or all of them, if true) leave the current row out.
+
+    The input is read twice, so chains of scans should be separated by
+    ``barloom.session.cut_lineage``.
     """
     keys = list(keys)
     order_struct = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
     sliced = df.withColumn("_slice", slice_by)
     part = [*keys, "_slice"]
-    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1 if exclusive else 0)
+    open_end = list(outputs) if exclusive is True else list(exclusive or [])
+
+    def local(name: str):
+        return Window.partitionBy(*part).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, -1 if name in open_end else 0)
+
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
     summary = sliced.groupBy(*part).agg(
@@ -89,7 +96,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Col
         for name, (kind, _) in outputs.items()])
 
     out = sliced.select("*", *[
-        _running(kind, value, local).alias(f"_l_{name}") for name, (kind, value) in outputs.items()])
+        _running(kind, value, local(name)).alias(f"_l_{name}") for name, (kind, value) in outputs.items()])
     out = out.join(summary, part, "left")
     keep = [F.col(c) for c in df.columns if c not in outputs]
     return out.select(*keep, *[
@@ -139,6 +146,9 @@ def slice_bars(bars: DataFrame, back: int, ahead: int = 0,
     return laid.select(*[c for c in bars.columns], F.col("_copy.slice"), F.col("_copy.own"))
 
 
+FRAME = "PARTITION BY asset, slice ORDER BY pos"
+
+
 def bar_frame():
     return Window.partitionBy("asset", "slice").orderBy("pos")
 
@@ -147,55 +157,56 @@ def own_rows(laid: DataFrame) -> DataFrame:
     return laid.filter("own").drop("slice", "own")
 
 
-def back_rows(n: int, shift: int = 0):
-    """The ``n`` rows ending ``shift`` rows before the current one."""
-    return bar_frame().rowsBetween(-(n - 1 + shift), -shift)
+# The builders below return SQL text for ``selectExpr``: a feature is one
+# string, parsed once in the JVM.
+
+def back_rows(n: int, shift: int = 0) -> str:
+    """Window over the ``n`` rows ending ``shift`` rows before the current one."""
+    end = f"{shift} PRECEDING" if shift else "CURRENT ROW"
+    return f"({FRAME} ROWS BETWEEN {n - 1 + shift} PRECEDING AND {end})"
+
+
+def shifted(value: str, k: int = 1) -> str:
+    return f"lag({value}, {k}) OVER ({FRAME})"
 
 
-def rolling(fn: Callable[[Column], Column], value: Column, n: int, shift: int = 0,
-            first: int | None = None) -> Column:
+def change(value: str, k: int = 1) -> str:
+    """Relative change over ``k`` rows; null when the earlier value is missing or zero."""
+    return f"try_divide({value}, {shifted(value, k)}) - 1"
+
+
+def rolling(fn: str, value: str, n: int, shift: int = 0, first: int | None = None) -> str:
     """``fn`` over a full window of ``n`` values, null while the window is short.
 
     ``first`` is the position of the first value of a column without later
     gaps; the guard is then a comparison instead of a second windowed count.
     """
-    frame = back_rows(n, shift)
-    full = F.count(value).over(frame) == n if first is None else F.col("pos") >= first + n - 1 + shift
-    return F.when(full, fn(value).over(frame))
-
+    window = back_rows(n, shift)
+    full = f"count({value}) OVER {window} = {n}" if first is None else f"pos >= {first + n - 1 + shift}"
+    return f"CASE WHEN {full} THEN {fn}({value}) OVER {window} END"
 
-def shifted(value: Column, k: int = 1) -> Column:
-    return F.lag(value, k).over(bar_frame())
 
-
-def change(value: Column, k: int = 1) -> Column:
-    """Relative change over ``k`` rows; null when the earlier value is missing or zero."""
-    before = F.lag(value, k).over(bar_frame())
-    return F.try_divide(value, before) - 1
+def rolling_rank(value: str, n: int) -> str:
+    """Average-rank percentile of the newest value inside its last ``n``; reads ``_seen``."""
+    return (f"CASE WHEN size(_seen) = {n} THEN (size(filter(_seen, v -> v < {value}))"
+            f" + (size(filter(_seen, v -> v = {value})) + 1) / 2.0D) / {float(n)}D END")
 
 
-def rolling_rank(value: Column, n: int) -> Column:
-    """Average-rank percentile of the newest value inside its last ``n``."""
-    seen = F.collect_list(value).over(back_rows(n))
-    below = F.size(F.filter(seen, lambda v: v < value))
-    equal = F.size(F.filter(seen, lambda v: v == value))
-    return F.when(F.size(seen) == n, (below + (equal + 1) / F.lit(2.0)) / F.lit(float(n)))
+def seen_values(value: str, n: int, shift: int = 0) -> str:
+    return f"collect_list({value}) OVER {back_rows(n, shift)}"
 
 
-def sorted_window(value: Column, n: int, shift: int) -> Column:
-    seen = F.collect_list(value).over(back_rows(n, shift))
-    return F.when(F.size(seen) == n, F.sort_array(seen))
+def sorted_window(value: str, n: int, shift: int) -> str:
+    seen = seen_values(value, n, shift)
+    return f"CASE WHEN size({seen}) = {n} THEN sort_array({seen}) END"
 
 
-def quantile_of_sorted(values: Column, n: int, q: float) -> Column:
+def quantile_of_sorted(values: str, n: int, q: float) -> str:
     """Linear-interpolated quantile of a sorted array of known length."""
     at = (n - 1) * q
     low = math.floor(at)
-    frac = at - low
-    lo = F.element_at(values, low + 1)
-    if frac == 0:
-        return lo
-    return lo + (F.element_at(values, low + 2) - lo) * F.lit(frac)
+    lo, hi = f"{values}[{low}]", f"{values}[{low + 1}]"
+    return lo if at == low else f"({lo} + ({hi} - {lo}) * {at - low!r}D)"
 
 
 def add_ewm(laid: DataFrame, specs: Mapping[str, tuple[str, float]],
@@ -208,37 +219,29 @@ def add_ewm(laid: DataFrame, specs: Mapping[str, tuple[str, float]],
     scaled by ``d^k``; the value at the end of the previous block, decayed,
     carries everything older.
     """
-    k = F.col("pos") % block_rows
-    d_rate = {name: -math.log(1 - alpha) for name, (_, alpha) in specs.items()}
-    if any(rate * block_rows > 700 or rate * block_rows < 36 for rate in d_rate.values()):
+    rates = {name: -math.log(1 - alpha) for name, (_, alpha) in specs.items()}
+    if any(rate * block_rows > 700 or rate * block_rows < 36 for rate in rates.values()):
         raise ValueError("block length does not suit these decay rates")
-    in_block = (Window.partitionBy("asset", "slice", F.floor(F.col("pos") / block_rows))
-                .orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    before = bar_frame().rowsBetween(Window.unboundedPreceding, -1)
-    cols = laid.columns
-
-    def prior(source: str) -> Column:
-        return F.lag(source).over(bar_frame())
-
+    k = f"(pos % {block_rows})"
+    in_block = (f"(PARTITION BY asset, slice, floor(pos / {block_rows}) ORDER BY pos"
+                " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    before = f"({FRAME} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     sources = sorted({source for source, _ in specs.values()})
     # A series starts where the value appears and nothing precedes it; at the
     # head of a copied-in border the true predecessor is unknown but pos > 0.
-    flagged = laid.select("*", *[
-        (F.col(s).isNotNull() & ((F.col("pos") == 0) | ((prior(s).isNull()) & prior("pos").isNotNull())))
-        .alias(f"_first_{s}") for s in sources])
-    local = flagged.select("*", *[
-        (F.exp(-F.lit(d_rate[name]) * k) * F.sum(
-            F.when(F.col(f"_first_{source}"), F.lit(1.0)).otherwise(F.lit(alpha))
-            * F.col(source) * F.exp(F.lit(d_rate[name]) * k)).over(in_block)).alias(f"_loc_{name}")
+    flagged = laid.selectExpr("*", *[
+        f"{s} IS NOT NULL AND (pos = 0 OR ({shifted(s)} IS NULL AND {shifted('pos')} IS NOT NULL)) AS _first_{s}"
+        for s in sources])
+    local = flagged.selectExpr("*", *[
+        f"exp({-rates[name]!r}D * {k}) * sum(CASE WHEN _first_{source} THEN 1.0D ELSE {alpha!r}D END * {source}"
+        f" * exp({rates[name]!r}D * {k})) OVER {in_block} AS _loc_{name}"
         for name, (source, alpha) in specs.items()])
-    carried = local.select("*", *[
-        F.last(F.when(k == block_rows - 1, F.col(f"_loc_{name}")), ignorenulls=True).over(before)
-        .alias(f"_end_{name}") for name in specs])
-    return carried.select(*cols, *[
-        F.when(F.col(source).isNotNull(),
-               F.col(f"_loc_{name}") + F.exp(-F.lit(d_rate[name]) * (k + 1))
-               * F.coalesce(F.col(f"_end_{name}"), F.lit(0.0))).alias(name)
-        for name, (source, _) in specs.items()])
+    carried = local.selectExpr("*", *[
+        f"last_value(CASE WHEN {k} = {block_rows - 1} THEN _loc_{name} END) IGNORE NULLS OVER {before} AS _end_{name}"
+        for name in specs])
+    return carried.selectExpr(*[f"`{c}`" for c in laid.columns], *[
+        f"CASE WHEN {source} IS NOT NULL THEN _loc_{name} + exp({-rates[name]!r}D * ({k} + 1))"
+        f" * coalesce(_end_{name}, 0D) END AS {name}" for name, (source, _) in specs.items()])
 
 
 # ---------------------------------------------------------------- as-of

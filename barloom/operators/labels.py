@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.series import own_rows, shifted, slice_bars
+
 
 def bar_path(bars: DataFrame) -> DataFrame:
     """The columns a forward walk reads."""
@@ -128,14 +130,10 @@ def quote_touches(bars: DataFrame, k_spread: float = 2.0, k_obi: float = 0.0) ->
     Quotes come from the previous bar only; counts how often each side was
     touched and the mean captured spread.
     """
-    from barloom.functions.series import bar_frame, own_rows, slice_bars
-
+    tilt = f" + {k_obi!r}D * ({shifted('obi')} - 0.5D)" if "obi" in bars.columns else ""
+    mid, half = f"{shifted('close')}{tilt}", f"{k_spread!r}D * {shifted('range_vol')}"
     laid = slice_bars(bars, back=1)
-    prev = lambda c: F.lag(c).over(bar_frame())
-    tilt = F.lit(k_obi) * (prev("obi") - 0.5) if "obi" in bars.columns else F.lit(0.0)
-    mid = prev("close") + tilt
-    half = F.lit(k_spread) * prev("range_vol")
-    quoted = own_rows(laid.select("*", (mid - half).alias("bid"), (mid + half).alias("ask")))
+    quoted = own_rows(laid.selectExpr("*", f"{mid} - {half} AS bid", f"{mid} + {half} AS ask"))
     bid_hit, ask_hit = F.col("low") <= F.col("bid"), F.col("high") >= F.col("ask")
     return quoted.groupBy("asset").agg(
         F.count(F.col("bid")).alias("n_quotes"),

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import (
-    BLOCK_ROWS, SLICE_BLOCKS, add_ewm, attach_asof, change, number_rows, own_rows, rolling, shifted, slice_bars)
-from barloom.operators.features import TINY, span
+    BLOCK_ROWS, add_ewm, attach_asof, change, forward_fill, number_rows, own_rows, rolling, shifted, slice_bars)
+from barloom.operators.features import SLICE_ROWS, TINY, named, span
 
 BARS_PER_YEAR = 365 * 6
 REGIME_COLUMNS = ["trend", "trend_strength", "above_sma", "leader_ret_5", "leader_vol", "leader_vol_ratio"]
@@ -19,33 +19,32 @@ def leader_bars(bars: DataFrame, leader: str) -> DataFrame:
     return number_rows(bars.filter(F.col("asset") == leader).drop("pos"))
 
 
-def leader_regime(leader: DataFrame, slice_rows: int = BLOCK_ROWS * SLICE_BLOCKS) -> DataFrame:
-    """Trend, strength, average side, five-bar return and volatility of the leader."""
-    close = F.col("close")
+def leader_regime(leader: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Trend, strength, average side, five-bar return and volatility of the leader.
+
+    An unknown average counts as below it.
+    """
     laid = slice_bars(leader, back=BLOCK_ROWS, slice_rows=slice_rows)
-    out = laid.select("*", F.ln(close / shifted(close)).alias("_lr"), rolling(F.avg, close, 50, first=0).alias("_sma"),
-                      change(close, 5).alias("leader_ret_5"))
+    out = laid.selectExpr("*", *named({
+        "_lr": f"ln(close / {shifted('close')})", "_sma": rolling("avg", "close", 50, first=0),
+        "leader_ret_5": change("close", 5)}))
     out = add_ewm(out, {"_fast": ("close", span(12)), "_slow": ("close", span(26))})
-    out = out.withColumn("_gap", F.col("_fast") - F.col("_slow"))
-    out = out.withColumn("_norm", F.col("_gap") / (close + TINY))
+    out = out.selectExpr("*", f"(_fast - _slow) / (close + {TINY}) AS _norm")
     out = add_ewm(out, {"_signal": ("_norm", span(9))})
-    out = out.select("*", rolling(F.stddev_samp, F.col("_lr"), 10, first=1).alias("_v10"),
-                     rolling(F.stddev_samp, F.col("_lr"), 30, first=1).alias("_v30"))
-    return own_rows(out).select(
-        "ts",
-        F.when(F.col("_gap") > 0, 1.0).otherwise(-1.0).alias("trend"),
-        (F.col("_norm") - F.col("_signal")).alias("trend_strength"),
-        # An unknown average counts as below it.
-        F.when(F.coalesce(close > F.col("_sma"), F.lit(False)), 1.0).otherwise(-1.0).alias("above_sma"),
-        "leader_ret_5", (F.col("_v10") * math.sqrt(BARS_PER_YEAR)).alias("leader_vol"),
-        (F.col("_v10") / (F.col("_v30") + TINY)).alias("leader_vol_ratio"))
+    out = out.selectExpr("*", *named({"_v10": rolling("stddev_samp", "_lr", 10, first=1),
+                                      "_v30": rolling("stddev_samp", "_lr", 30, first=1)}))
+    return own_rows(out).selectExpr("ts", "leader_ret_5", *named({
+        "trend": "CASE WHEN _fast - _slow > 0 THEN 1D ELSE -1D END",
+        "trend_strength": "_norm - _signal",
+        "above_sma": "CASE WHEN close > _sma THEN 1D ELSE -1D END",
+        "leader_vol": f"_v10 * {math.sqrt(BARS_PER_YEAR)!r}D",
+        "leader_vol_ratio": f"_v10 / (_v30 + {TINY})"}))
 
 
 def leader_strength(leader: DataFrame, n: int = 50) -> DataFrame:
     """Bounded distance of the leader's close from its average."""
-    laid = slice_bars(leader, back=n)
-    dist = F.col("close") / (rolling(F.avg, F.col("close"), n, first=0) + TINY) - 1.0
-    return own_rows(laid.select("ts", "slice", "own", F.tanh(dist * 10.0).alias("leader_strength")))
+    laid = slice_bars(leader, back=n).selectExpr("*", f"{rolling('avg', 'close', n, first=0)} AS _sma")
+    return own_rows(laid).selectExpr("ts", f"tanh((close / (_sma + {TINY}) - 1.0D) * 10.0D) AS leader_strength")
 
 
 def align_with_regime(trades: DataFrame, regime: DataFrame) -> DataFrame:
@@ -76,7 +75,5 @@ def strength_at(trades: DataFrame, strength: DataFrame) -> DataFrame:
 
 def leader_return_on_bars(bars: DataFrame, regime: DataFrame) -> DataFrame:
     """Leader's five-bar return joined by timestamp and forward filled per asset."""
-    from barloom.functions.series import forward_fill
-
     joined = bars.join(regime.select("ts", "leader_ret_5"), "ts", "left")
     return forward_fill(joined, ["leader_ret_5"]).select(*bars.columns, "leader_ret_5")
