@@ -210,7 +210,7 @@ CLOSING = ("Approve only if the evidence supports THIS signal's own premise in T
 
 
 def significant(value: Column) -> Column:
-    """Six significant digits without trailing zeros."""
+    """Six significant digits without trailing zeros; exact decimal ties round up."""
     digits = F.format_string("%.6g", value.cast("double"))
     trimmed = F.regexp_replace(digits, r"(\.\d*?)0+(e|$)", "$1$2")
     return F.regexp_replace(trimmed, r"\.(e|$)", "$1")
