@@ -67,7 +67,7 @@ def permutation_test(spark, sf_dir):
 @query(q.with_(_SC, recursive=True) + f""", v AS (SELECT signal, ret - 0.0008 AS v, row_number() OVER (PARTITION BY signal ORDER BY ts, trade_id) - 1 AS idx,
     count(*) OVER (PARTITION BY signal) AS n FROM scored),
 d AS (SELECT v.signal, v.n, it, {_HASH.format("v.signal || '_' || it || '_' || v.idx")} % v.n AS pick FROM v, range(1, {_ITER + 1}) r(it)),
-m AS (SELECT d.signal, d.n, d.it, sum(v.v) / d.n AS mean FROM d JOIN v ON v.signal = d.signal AND v.idx = d.pick GROUP BY ALL)
+m AS (SELECT d.signal, d.n, d.it, sum(v.v) / any_value(d.n) AS mean FROM d JOIN v ON v.signal = d.signal AND v.idx = d.pick GROUP BY d.signal, d.n, d.it)
 SELECT signal, n, round((count(*) FILTER (WHERE mean <= 0) + 1) / {_ITER + 1}.0::DOUBLE, 9) AS boot_p FROM m GROUP BY signal, n""")
 def bootstrap_mean(spark, sf_dir):
     trades = labelled(spark, sf_dir).withColumn("trade_id", F.concat_ws("_", *KEYS[:2], F.col("bar").cast("string")))
@@ -147,17 +147,17 @@ def positions_hard_labels(spark, sf_dir):
 
 
 @query(q.with_(q.BARS, POSITIONS) + """SELECT asset, pos, round(strat_ret, 7) AS strat_ret,
-  round(sum(CASE WHEN strat_ret > -1 THEN ln(1 + strat_ret) ELSE 0 END) OVER (PARTITION BY asset ORDER BY pos), 5) AS log_curve FROM pnl""")
+  round(product(1 + strat_ret * 0.00001::DOUBLE) OVER (PARTITION BY asset ORDER BY pos), 9) AS cum_ret FROM pnl""")
 def position_pnl(spark, sf_dir):
-    series = position_series(spark, sf_dir).withColumn(
-        "_safe", F.when(F.col("strat_ret") > -1, F.col("strat_ret")).otherwise(0.0))
-    out = cal.cumulative_return(series, ["asset"], "_safe")
-    return out.select("asset", "pos", F.round("strat_ret", 7).alias("strat_ret"), F.round(F.ln("cum_ret"), 5).alias("log_curve"))
+    """Bar returns, and the curve of a thin slice of exposure."""
+    series = position_series(spark, sf_dir).withColumn("_thin", F.col("strat_ret") * 0.00001)
+    out = cal.cumulative_return(series, ["asset"], "_thin")
+    return out.select("asset", "pos", F.round("strat_ret", 7).alias("strat_ret"), F.round("cum_ret", 9).alias("cum_ret"))
 
 
-@query(q.with_(q.BARS, POSITIONS) + """, f AS (SELECT *, sign(position) AS s, lag(sign(position)) OVER (PARTITION BY asset ORDER BY pos) AS ps FROM pnl),
-r AS (SELECT *, sum(CASE WHEN s <> 0 AND coalesce(ps, 0) <> s THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY pos) AS tid FROM f),
-t AS (SELECT asset, tid, sum(strat_ret) AS pnl FROM r WHERE s <> 0 GROUP BY asset, tid)
+@query(q.with_(q.BARS, POSITIONS) + """, f AS (SELECT *, sign(position) AS sg, lag(sign(position)) OVER (PARTITION BY asset ORDER BY pos) AS psg FROM pnl),
+r AS (SELECT *, sum(CASE WHEN sg <> 0 AND coalesce(psg, 0) <> sg THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY pos) AS tid FROM f),
+t AS (SELECT asset, tid, sum(strat_ret) AS pnl FROM r WHERE sg <> 0 GROUP BY asset, tid)
 SELECT asset, count(*) AS num_trades, round(avg(CAST(pnl > 0 AS INT)), 9) AS win_rate, round(coalesce(avg(pnl) FILTER (WHERE pnl > 0), 0), 7) AS avg_win,
   round(coalesce(avg(pnl) FILTER (WHERE pnl <= 0), 0), 7) AS avg_loss,
   round(coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0) / abs(sum(pnl) FILTER (WHERE pnl <= 0)), 6) AS profit_factor FROM t GROUP BY asset""")
@@ -166,23 +166,23 @@ def trade_level_stats(spark, sf_dir):
     return rounded(out, win_rate=9, avg_win=7, avg_loss=7, profit_factor=6)
 
 
-@query(q.with_(q.BARS, POSITIONS) + """, r0 AS (SELECT *, strat_ret * 0.01::DOUBLE AS r, coalesce(ret_1d, 0) * 0.01::DOUBLE AS h FROM pnl),
-k AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY asset ORDER BY pos) AS lg FROM r0),
-d AS (SELECT *, exp(lg) / max(exp(lg)) OVER (PARTITION BY asset ORDER BY pos) - 1 AS dd FROM k),
-a AS (SELECT asset, count(*) AS n_bars, exp(sum(ln(1 + r))) - 1 AS total, exp(sum(ln(1 + h))) - 1 AS hold,
+@query(q.with_(q.BARS, POSITIONS) + """, r0 AS (SELECT *, strat_ret * 0.00001::DOUBLE AS r, coalesce(ret_1d, 0) * 0.00001::DOUBLE AS h FROM pnl),
+k AS (SELECT *, product(1 + r) OVER (PARTITION BY asset ORDER BY pos) AS lg FROM r0),
+d AS (SELECT *, (lg - max(lg) OVER (PARTITION BY asset ORDER BY pos)) / max(lg) OVER (PARTITION BY asset ORDER BY pos) AS dd FROM k),
+a AS (SELECT asset, count(*) AS n_bars, product(1 + r) - 1 AS total, product(1 + h) - 1 AS hold,
   sqrt(365) * avg(r) / (stddev_samp(r) + 1e-9) AS sharpe, min(dd) AS mdd,
   coalesce(sum(r) FILTER (WHERE r > 0), 0) / (abs(coalesce(sum(r) FILTER (WHERE r < 0), 0)) + 1e-9) AS pf,
   avg(CAST(position > 0 AS INT)) AS ls, avg(CAST(position < 0 AS INT)) AS ss, avg(CAST(position = 0 AS INT)) AS fs FROM d GROUP BY asset)
-SELECT asset, n_bars, round(total, 6) AS total_return, round(ln(1 + hold), 5) AS buy_hold_log, round(sharpe, 6) AS sharpe,
+SELECT asset, n_bars, round(total, 8) AS total_return, round(ln(1 + hold), 5) AS buy_hold_log, round(sharpe, 6) AS sharpe,
   round(coalesce(((1 + total) ** (365.0::DOUBLE / n_bars) - 1) / nullif(abs(mdd), 0), 0), 6) AS calmar, round(mdd, 7) AS max_drawdown,
   round(pf, 6) AS profit_factor, round(ls, 8) AS long_share, round(ss, 8) AS short_share, round(fs, 8) AS flat_share FROM a""")
 def performance_report(spark, sf_dir):
-    """Report on one-percent exposure, so curves on this data stay finite."""
-    series = position_series(spark, sf_dir).withColumn("strat_ret", F.col("strat_ret") * 0.01).withColumn(
-        "ret_1d", F.coalesce("ret_1d", F.lit(0.0)) * 0.01)
+    """Report on a thin slice of exposure, so curves on this data stay finite."""
+    series = position_series(spark, sf_dir).withColumn("strat_ret", F.col("strat_ret") * 0.00001).withColumn(
+        "ret_1d", F.coalesce("ret_1d", F.lit(0.0)) * 0.00001)
     out = ec.performance_report(series, ["asset"], F.lit(365)).withColumn(
         "buy_hold_log", F.log1p("buy_hold_return")).drop("buy_hold_return", "alpha")
-    return rounded(out, total_return=6, buy_hold_log=5, sharpe=6, calmar=6, max_drawdown=7, profit_factor=6,
+    return rounded(out, total_return=8, buy_hold_log=5, sharpe=6, calmar=6, max_drawdown=7, profit_factor=6,
                    long_share=8, short_share=8, flat_share=8)
 
 
@@ -380,9 +380,6 @@ def leaf_novelty(spark, sf_dir):
     return rounded(out, support=9, score=9)
 
 
-_ADX = """adx AS (SELECT asset, pos, adx_prior FROM ax)"""
-
-
 @query(q.with_(q.FEATURES, recursive=True) + f""", x AS (SELECT asset, pos, vol_regime, ('0x' || substr(md5(asset || '_' || pos || '_x'), 1, 8))::BIGINT % 60 AS adx_prior,
   coalesce(ret_1d, 0) AS tr_, -coalesce(ret_1d, 0) * 0.5 AS rr FROM feat),
 w AS (SELECT *, least(greatest((adx_prior - 20) / 20.0::DOUBLE, 0), 1) AS weight, coalesce({q.lag('vol_regime')}, 1.0) AS v FROM x)

@@ -403,11 +403,13 @@ _SHOWN = [f for f in g.REVIEW_FEATURES if not f.startswith("funding")]
 
 
 @query(q.with_(SIDES, pool_sql(["reversion"]), recursive=True) + f"""SELECT asset, ts, signal, concat_ws(chr(10), 'Asset: ' || asset, 'Signal type: ' || {_CASE},
-  'Candidate: ' || CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END || ' at close ' || format('{{:.6g}}', close * (1 + 1e-12::DOUBLE)),
-  'ATR(14, price units): ' || format('{{:.6g}}', atr * (1 + 1e-12::DOUBLE)), """ + ", ".join(
-    f"""'{f}: ' || format('{{:.6g}}', "{f}" * (1 + 1e-12::DOUBLE))""" for f in _SHOWN) + ", '" + g.CLOSING.replace("'", "''") + "') AS text FROM cand")
+  'Candidate: ' || CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END || ' at close ' || format('{{:.6g}}', close * 0.731::DOUBLE),
+  'ATR(14, price units): ' || format('{{:.6g}}', atr), """ + ", ".join(
+    f"""'{f}: ' || format('{{:.6g}}', "{f}")""" for f in _SHOWN) + ", '" + g.CLOSING.replace("'", "''") + "') AS text FROM cand")
 def review_texts(spark, sf_dir):
+    """Review texts with prices shown in a second currency at a fixed rate."""
     _, cand = candidate_pool(spark, sf_dir, ["reversion"], extra=_SHOWN)
+    cand = cand.withColumn("close", F.col("close") * 0.731)
     return cand.select("asset", "ts", "signal", g.review_text(cand.columns).alias("text"))
 
 

@@ -42,6 +42,8 @@ def _total(kind: str, value: Column, order: Column) -> Column:
         return F.max(value)
     if kind == "min":
         return F.min(value)
+    if kind == "product":
+        return F.product(value)
     if kind == "last":
         return F.max_by(value, F.when(value.isNotNull(), order))
     raise ValueError(f"unknown scan kind {kind!r}")
@@ -50,13 +52,15 @@ def _total(kind: str, value: Column, order: Column) -> Column:
 def _running(kind: str, value: Column, window) -> Column:
     if kind == "last":
         return F.last(value, ignorenulls=True).over(window)
-    return {"sum": F.sum, "max": F.max, "min": F.min}[kind](value).over(window)
+    return {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min}[kind](value).over(window)
 
 
 def _merge(kind: str, local: Column, before: Column) -> Column:
     if kind == "sum":
         return F.when(local.isNull() & before.isNull(), None).otherwise(
             F.coalesce(before, F.lit(0)) + F.coalesce(local, F.lit(0)))
+    if kind == "product":
+        return F.coalesce(before, F.lit(1.0)) * F.coalesce(local, F.lit(1.0))
     if kind == "max":
         return F.greatest(local, before)
     if kind == "min":
@@ -69,7 +73,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Col
     """Running aggregates over the full history of each key.
 
     ``outputs`` maps a new column to ``(kind, value)`` with kind one of sum,
-    max, min, last (latest non-null).  ``slice_by`` must never decrease along
+    product, max, min, last (latest non-null).  ``slice_by`` must never decrease along
     ``order``.  Rows are sorted only inside ``(keys, slice)``; what crosses a
     slice border is one summary row per slice.  Outputs named in ``exclusive``
     (or all of them, if true) leave the current row out.

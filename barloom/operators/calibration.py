@@ -150,8 +150,8 @@ def position_returns(series: DataFrame, cost: float) -> DataFrame:
 
 
 def cumulative_return(series: DataFrame, keys: list[str], ret: str = "strat_ret") -> DataFrame:
-    logs = scan(series, keys, ["pos"], position_slice(), {"_log": ("sum", F.log1p(F.col(ret)))})
-    return logs.withColumn("cum_ret", F.exp("_log")).drop("_log")
+    """Compounded curve of a return column."""
+    return scan(series, keys, ["pos"], position_slice(), {"cum_ret": ("product", 1 + F.col(ret))})
 
 
 def blend_returns(series: DataFrame, third: bool = False) -> DataFrame:

@@ -202,10 +202,9 @@ def trade_level_stats(series: DataFrame, keys: list[str]) -> DataFrame:
 
 def equity_curve(series: DataFrame, keys: list[str], ret: str, order: str, slice_by: Column) -> DataFrame:
     """Compounded curve, its running peak and the drawdown."""
-    logs = scan(series, keys, [order], slice_by, {"_log": ("sum", F.log1p(F.col(ret)))})
-    curve = cut_lineage(logs.withColumn("curve", F.exp("_log")).drop("_log"))
+    curve = cut_lineage(scan(series, keys, [order], slice_by, {"curve": ("product", 1 + F.col(ret))}))
     peaks = scan(curve, keys, [order], slice_by, {"peak": ("max", F.col("curve"))})
-    return peaks.withColumn("drawdown", F.col("curve") / F.col("peak") - 1)
+    return peaks.withColumn("drawdown", (F.col("curve") - F.col("peak")) / F.col("peak"))
 
 
 def trade_list_summary(trades: DataFrame, keys: list[str], capital: float = 10_000.0,
@@ -242,8 +241,7 @@ def performance_report(series: DataFrame, keys: list[str], periods: Column) -> D
     r = F.col("strat_ret")
     share = lambda cond: F.avg(cond.cast("double"))
     agg = curve.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_bars"), F.expm1(F.sum(F.log1p(r))).alias("total_return"),
-        F.expm1(F.sum(F.log1p("ret_1d"))).alias("buy_hold_return"),
+        F.count(F.lit(1)).alias("n_bars"), compounded(r).alias("total_return"), compounded(F.col("ret_1d")).alias("buy_hold_return"),
         (F.sqrt(F.first(periods)) * F.avg(r) / (F.stddev_samp(r) + 1e-9)).alias("sharpe"),
         F.min("drawdown").alias("max_drawdown"),
         (F.sum(F.when(r > 0, r).otherwise(0.0)) / (F.abs(F.sum(F.when(r < 0, r).otherwise(0.0))) + 1e-9)).alias("profit_factor"),
@@ -290,19 +288,19 @@ def fifo_round_trips(fills: DataFrame, fee: float = 0.001, order: list[str] = ["
     by = time_bucket(F.col(order[0]))
     signed = fills.select(
         "asset", *order, "side", "price", "qty",
-        F.when(F.col("side") == "buy", F.col("qty")).otherwise(0.0).alias("_b"),
-        F.when(F.col("side") == "sell", F.col("qty")).otherwise(0.0).alias("_s"))
-    run = scan(signed, ["asset"], order, by, {"_B": ("sum", F.col("_b")), "_S": ("sum", F.col("_s"))})
-    gap = F.col("_B") - F.col("_S")
+        F.when(F.col("side") == "buy", F.col("qty")).otherwise(0.0).alias("_in"),
+        F.when(F.col("side") == "sell", F.col("qty")).otherwise(0.0).alias("_out"))
+    run = scan(signed, ["asset"], order, by, {"_bought": ("sum", F.col("_in")), "_sold": ("sum", F.col("_out"))})
+    gap = F.col("_bought") - F.col("_sold")
     run = scan(cut_lineage(run), ["asset"], order, by, {"_gap": ("min", gap), "_gap0": ("min", gap)}, exclusive=["_gap0"])
-    run = run.withColumn("_used", F.col("_S") + F.least(F.lit(0.0), F.col("_gap"))).withColumn(
-        "_from", F.col("_S") - F.col("_s") + F.least(F.lit(0.0), F.coalesce("_gap0", F.lit(0.0))))
+    run = run.withColumn("_used", F.col("_sold") + F.least(F.lit(0.0), F.col("_gap"))).withColumn(
+        "_from", F.col("_sold") - F.col("_out") + F.least(F.lit(0.0), F.coalesce("_gap0", F.lit(0.0))))
 
     cell = F.lit(1000.0)
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long")))
     buys = run.filter("side = 'buy'").select(
         F.col("asset").alias("_ba"), F.col("price").alias("buy_price"),
-        (F.col("_B") - F.col("qty")).alias("_lo"), F.col("_B").alias("_hi"))
+        (F.col("_bought") - F.col("qty")).alias("_lo"), F.col("_bought").alias("_hi"))
     buys = buys.withColumn("_bc", cells(F.col("_lo"), F.col("_hi")))
     sells = run.filter("side = 'sell'").select("asset", *order, F.col("price").alias("sell_price"), "qty",
                                                "_from", F.col("_used").alias("_to"))
