@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import number_rows, scan, time_bucket
@@ -41,18 +41,27 @@ def hedge_ratio(pairs: DataFrame) -> DataFrame:
         F.regr_slope("x", "y").alias("beta"), F.regr_intercept("x", "y").alias("alpha"))
 
 
-def rolling_hedge(pairs: DataFrame, n: int = 60) -> DataFrame:
-    """Slope over the last ``n`` rows; the window meets its rows through copied borders."""
-    size = 20_000
-    if n > size:
+PAIR_SLICE = 20_000
+
+
+def sliced_pairs(rows: DataFrame, back: int) -> tuple[DataFrame, str]:
+    """Pair series cut into runs of positions, each preceded by ``back`` copied rows."""
+    if back > PAIR_SLICE:
         raise ValueError("the look-back must fit in one slice")
-    home = F.floor(F.col("pos") / size)
-    spread = pairs.withColumn("_c", F.explode(F.array_compact(F.array(
-        F.struct(home.alias("s"), F.lit(True).alias("own")),
-        F.when(F.col("pos") % size >= size - n, F.struct((home + 1).alias("s"), F.lit(False).alias("own")))))))
-    w = Window.partitionBy(*PAIR, "_c.s").orderBy("pos").rowsBetween(-(n - 1), 0)
-    beta = F.when(F.col("pos") >= n - 1, F.covar_pop("x", "y").over(w) / F.var_pop("y").over(w))
-    return spread.withColumn("beta", beta).filter("_c.own").drop("_c")
+    copies = f"""array_compact(array(
+        named_struct('s', floor(pos / {PAIR_SLICE}), 'own', true),
+        CASE WHEN pos % {PAIR_SLICE} >= {PAIR_SLICE - back} THEN named_struct('s', floor(pos / {PAIR_SLICE}) + 1, 'own', false) END))"""
+    laid = rows.withColumn("_c", F.explode(F.expr(copies)))
+    return laid.select(*rows.columns, F.col("_c.s").alias("_s"), F.col("_c.own").alias("_own")), \
+        "PARTITION BY a, b, _s ORDER BY pos"
+
+
+def rolling_hedge(pairs: DataFrame, n: int = 60) -> DataFrame:
+    """Least-squares slope over the last ``n`` rows."""
+    laid, frame = sliced_pairs(pairs, n)
+    window = f"({frame} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    slope = f"CASE WHEN pos >= {n - 1} THEN covar_pop(x, y) OVER {window} / var_pop(y) OVER {window} END"
+    return laid.withColumn("beta", F.expr(slope)).filter("_own").drop("_s", "_own")
 
 
 def with_spread(pairs: DataFrame) -> DataFrame:
@@ -95,11 +104,14 @@ def hurst_doubled(pairs: DataFrame, longest: int = 100) -> DataFrame:
     rows = pairs.filter("in_sample")
     means = rows.groupBy(*PAIR).agg((F.avg("x") / F.avg("y")).alias("_r"))
     series = rows.join(means, PAIR).select(*PAIR, "pos", (F.col("x") - F.col("y") * F.col("_r")).alias("s"))
-    ahead = series.withColumn("lag", F.explode(F.sequence(F.lit(2), F.lit(longest - 1)))).select(
-        *PAIR, "lag", (F.col("pos") + F.col("lag")).alias("pos"), F.col("s").alias("s0"))
-    moves = ahead.join(series, [*PAIR, "pos"]).groupBy(*PAIR, "lag").agg(F.stddev_pop(F.col("s") - F.col("s0")).alias("tau"))
-    return moves.filter("tau > 0").groupBy(*PAIR).agg(
-        (F.regr_slope(F.ln("tau"), F.ln(F.col("lag").cast("double"))) * 2.0).alias("hurst2"))
+    lags = range(2, longest)
+    laid, frame = sliced_pairs(series, longest)
+    moves = laid.selectExpr(*PAIR, "_own", *[f"s - lag(s, {k}) OVER ({frame}) AS d{k}" for k in lags])
+    taus = moves.filter("_own").groupBy(*PAIR).agg(*[F.stddev_pop(f"d{k}").alias(f"d{k}") for k in lags])
+    points = taus.select(*PAIR, F.explode(F.array(*[
+        F.struct(F.lit(math.log(k)).alias("k"), F.col(f"d{k}").alias("tau")) for k in lags])).alias("_p"))
+    return points.filter("_p.tau > 0").groupBy(*PAIR).agg(
+        (F.regr_slope(F.ln("_p.tau"), F.col("_p.k")) * 2.0).alias("hurst2"))
 
 
 def half_life_window(spreads: DataFrame, default: int = 30) -> DataFrame:
@@ -118,13 +130,12 @@ def half_life_window(spreads: DataFrame, default: int = 30) -> DataFrame:
     return fit.select(*PAIR, "slope", window.cast("int").alias("window"))
 
 
-def spread_zscore(spreads: DataFrame, windows: DataFrame, longest: int = 120) -> DataFrame:
+def spread_zscore(spreads: DataFrame, windows: DataFrame) -> DataFrame:
     """z-score over each pair's own look-back.
 
-    A look-back that differs per pair is not a frame literal.  Each row is sent
-    to the positions that need it (at most ``longest``) as running sums: prefix
-    sums at both ends of the window give mean and variance, so every row meets
-    exactly one earlier row.
+    A look-back that differs per pair is not a frame literal.  Running sums of
+    the centred spread at both ends of the window give its mean and variance,
+    so every row meets exactly one earlier row whatever the look-back.
     """
     centre = spreads.groupBy(*PAIR).agg(F.avg("spread").alias("_c"))
     lean = cut_lineage(spreads.join(centre, PAIR).join(windows.select(*PAIR, "window"), PAIR)
