@@ -96,7 +96,7 @@ def geometry_model_slice(spark, sf_dir):
     scored = ml.out_of_fold(dataset(spark, sf_dir), COLUMNS, **SMALL)
     scored = cut_lineage(scored.select("asset", "signal", "entry_pos", "exit_pos", "label", "ret", "p_win"))
     cut = cal.score_quantile(cut_lineage(cal.score_counts(scored, [])), [], 0.9)
-    top = ec._attach(scored, cut, []).filter("p_win >= cut").drop("cut").withColumn("chosen", F.lit("top_decile"))
+    top = ec.attach_facts(scored, cut, []).filter("p_win >= cut").drop("cut").withColumn("chosen", F.lit("top_decile"))
     both = scored.withColumn("chosen", F.lit("all")).unionByName(top)
     kept = g.non_overlapping(both, reach=18, keys=["asset", "chosen"])
     return ec.net_economics(kept, ["chosen"], 0.004)

@@ -66,10 +66,7 @@ def stream_order_lifecycle(spark, sf_dir):
 
     events = cut_lineage(od.event_rows(shadow_orders(spark, sf_dir), t.stream_ticks(spark, sf_dir)))
     stream = spark.readStream.schema(events.schema).parquet(events.inputFiles()[0].rsplit("/", 1)[0])
-    out = st.run_to_table(od.track_orders(stream), od.RESULT_SCHEMA)
-    for c in ("fill_time", "close_time"):
-        out = out.withColumn(c, F.col(c).cast("timestamp_ntz"))
-    return rounded(out, fill_price=7, ret=7)
+    return rounded(st.run_to_table(od.track_orders(stream)), fill_price=7, ret=7)
 
 
 @query(q.with_(q.STREAM) + f"SELECT DISTINCT asset, {_B} AS signal_time FROM sticks")

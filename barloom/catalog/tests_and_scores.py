@@ -212,7 +212,7 @@ def selection_economics(spark, sf_dir):
     rows = ec.net_economics(chosen, ["cost_name"], F.col("cost"))
     tagged = pool.withColumn("trade_id", F.concat_ws("_", "asset", "signal", F.col("bar").cast("string")))
     perm = ec.permutation_test(tagged, [], F.col("label"), F.col("score") >= 0.6, 20).select(F.col("p_value").alias("perm_p"))
-    return rounded(ec._attach(rows, perm, []), win_rate=8, profit_factor=7, expectancy=7, perm_p=8)
+    return rounded(ec.attach_facts(rows, perm, []), win_rate=8, profit_factor=7, expectancy=7, perm_p=8)
 
 
 @query(q.with_(_LAB, recursive=True) + """, s AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM lab),

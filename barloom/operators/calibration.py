@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.series import FRAME, back_rows, own_rows, scan, shifted, slice_bars
-from barloom.operators.economics import _attach, position_slice
+from barloom.operators.economics import attach_facts, position_slice
 from barloom.session import cut_lineage
 
 
@@ -22,7 +22,7 @@ def score_quantile(counts: DataFrame, keys: list[str], q: float) -> DataFrame:
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = scan(counts, keys, ["score"], F.floor(F.col("score") * 1000).cast("long"), {"_upto": ("sum", F.col("_c"))})
     at = (F.col("_n") - 1) * q
-    placed = _attach(ranked, total, keys)
+    placed = attach_facts(ranked, total, keys)
     value_at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("score")))
     ends = placed.groupBy(*keys, "_n").agg(
         value_at(F.floor(at)).alias("_lo"), value_at(F.least(F.floor(at) + 1, F.col("_n") - 1)).alias("_hi"))
@@ -32,7 +32,7 @@ def score_quantile(counts: DataFrame, keys: list[str], q: float) -> DataFrame:
 def top_quantile_precision(scored: DataFrame, keys: list[str], q: float = 0.8, min_support: int = 10) -> DataFrame:
     """Win rate among the most confident scores; 0 when too few."""
     counts = cut_lineage(score_counts(scored, keys))
-    joined = _attach(counts, score_quantile(counts, keys, q), keys).filter(F.col("score") >= F.col("cut"))
+    joined = attach_facts(counts, score_quantile(counts, keys, q), keys).filter(F.col("score") >= F.col("cut"))
     n = F.sum("_c")
     return joined.groupBy(*keys).agg(
         n.alias("support"), F.when(n >= min_support, F.sum("_w") / n).otherwise(0.0).alias("precision"))
@@ -50,9 +50,9 @@ def calibrate_threshold(scored: DataFrame, keys: list[str], target: float = 0.65
                 F.floor(F.col("_neg") * 1000).cast("long"), {"_n": ("sum", F.col("_c")), "_win": ("sum", F.col("_w"))})
     fits = down.filter((F.col("_win") / F.col("_n") >= target) & (F.col("_n") >= min_trades))
     best = fits.groupBy(*keys).agg(F.min("score").alias("_t"))
-    cut = _attach(score_quantile(counts, keys, fallback), best, keys, "left").select(
+    cut = attach_facts(score_quantile(counts, keys, fallback), best, keys, "left").select(
         *keys, F.coalesce("_t", "cut").alias("threshold"), F.col("_t").isNotNull().alias("target_met"))
-    above = _attach(counts, cut, keys).filter(F.col("score") >= F.col("threshold"))
+    above = attach_facts(counts, cut, keys).filter(F.col("score") >= F.col("threshold"))
     return above.groupBy(*keys, "threshold", "target_met").agg(
         F.sum("_c").alias("n_trades"), (F.sum("_w") / F.sum("_c")).alias("precision"))
 
@@ -80,7 +80,7 @@ def leaf_support(train: DataFrame, rows: DataFrame, row_id: str = "row_id") -> D
     size = train.agg(F.count_distinct(row_id).alias("_train"), F.count_distinct("tree").alias("_trees"))
     seen = rows.join(occupancy, ["tree", "leaf"], "left").groupBy(row_id).agg(
         F.sum(F.coalesce("_k", F.lit(0))).alias("_sum"))
-    return _attach(seen, size, []).select(row_id, (F.col("_sum") / (F.col("_trees") * F.col("_train"))).alias("support"))
+    return attach_facts(seen, size, []).select(row_id, (F.col("_sum") / (F.col("_trees") * F.col("_train"))).alias("support"))
 
 
 def novelty(train: DataFrame, rows: DataFrame, rare_percentile: float = 10.0, row_id: str = "row_id") -> DataFrame:
@@ -88,7 +88,7 @@ def novelty(train: DataFrame, rows: DataFrame, rare_percentile: float = 10.0, ro
     own = leaf_support(train, train, row_id)
     scale = own.agg(F.percentile("support", rare_percentile / 100.0).alias("_cut"),
                     F.greatest(F.max("support"), F.lit(1e-12)).alias("_ref"))
-    scored = _attach(leaf_support(train, rows, row_id), scale, [])
+    scored = attach_facts(leaf_support(train, rows, row_id), scale, [])
     return scored.select(
         row_id, "support", F.least(F.greatest(1.0 - F.col("support") / F.col("_ref"), F.lit(0.0)), F.lit(1.0)).alias("score"),
         (F.col("support") < F.col("_cut")).alias("is_novel"))

@@ -97,30 +97,35 @@ def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected:
     before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     stacked = counts.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
                             F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"))
-    stacked = _attach(stacked, seen.select(*keys, "n_selected"), keys)
+    stacked = attach_facts(stacked, seen.select(*keys, "n_selected"), keys)
     cut = stacked.filter((F.col("_n0") < F.col("n_selected")) & (F.col("_n0") + F.col("_n") >= F.col("n_selected")))
     cut = cut.select(*part, "_b", (F.col("n_selected") - F.col("_n0")).alias("_take"), "_s0")
     inside = draws.join(cut, [*part, "_b"])
     rank = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
     edge = inside.withColumn("_r", rank).filter(F.col("_r") <= F.col("_take")).groupBy(*part).agg(
         (F.max("_s0") + F.sum("_v")).alias("_sum"))
-    null = _attach(edge, seen.select(*keys, "n_selected", "statistic"), keys)
+    null = attach_facts(edge, seen.select(*keys, "n_selected", "statistic"), keys)
     null = null.withColumn("_mean", F.col("_sum") / F.col("n_selected"))
     summary = null.groupBy(*keys).agg(
         F.avg("_mean").alias("null_mean"), F.stddev_pop("_mean").alias("null_std"),
         F.percentile("_mean", 0.95).alias("null_p95"),
         ((F.sum((F.col("_mean") >= F.col("statistic")).cast("long")) + 1) / F.lit(float(n_iter + 1))).alias("p_value"))
-    out = _attach(seen, summary, keys, how="left")
+    out = attach_facts(seen, summary, keys, how="left")
     real = (F.col("n_selected") > 0) & (F.col("n_selected") < F.col("n_pool"))
     return out.select(*keys, "n_selected", "n_pool", *[
         F.when(real, F.col(c)).alias(c) for c in ("statistic", "null_mean", "null_std", "null_p95", "p_value")])
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join one-row-per-key results; with no keys both sides are single facts."""
+def attach_facts(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one-row-per-key results.
+
+    With no keys ``small`` is a single row (a global aggregate), which is the
+    one case that is broadcast by hand.
+    """
     if keys:
         return df.join(small, keys, how)
-    return df.withColumn("_one", F.lit(1)).join(small.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+    one = F.broadcast(small.withColumn("_one", F.lit(1)))
+    return df.withColumn("_one", F.lit(1)).join(one, "_one", how).drop("_one")
 
 
 def _bootstrap_p(means: DataFrame, keys: list[str], n_iter: int) -> DataFrame:
@@ -141,7 +146,7 @@ def bootstrap_mean_pvalue(values: DataFrame, keys: list[str], value: Column, n_i
     finite = cut_lineage(finite)
     rows = number_rows(finite, keys, order, time_bucket(F.col(order[0])), "_idx")
     sizes = finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
-    draws = _attach(rows.select(*keys, "_idx"), sizes, keys).withColumn(
+    draws = attach_facts(rows.select(*keys, "_idx"), sizes, keys).withColumn(
         "_it", F.explode(F.sequence(F.lit(1), F.lit(n_iter))))
     pick = F.pmod(draw_hash(*[F.col(k) for k in keys], F.col("_it"), F.col("_idx")), F.col("_n"))
     counted = draws.groupBy(*keys, "_n", "_it", pick.alias("_pick")).agg(F.count(F.lit(1)).alias("_times"))
@@ -270,20 +275,22 @@ def fold_stability(trades: DataFrame, n_folds: int, cost: float) -> DataFrame:
     """Economics per equal-width calendar fold; the last edge belongs to the last fold."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = trades.agg(F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
-    at = _attach(trades, span, [])
+    at = attach_facts(trades, span, [])
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(n_folds))
     fold = F.least(F.lit(n_folds), F.floor((micros - F.col("_lo")) / width) + 1).cast("int")
     return net_economics(at.withColumn("fold", fold), ["fold"], cost)
 
 
-def fifo_round_trips(fills: DataFrame, fee: float = 0.001, order: list[str] = ["ts", "seq"]) -> DataFrame:
+def fifo_round_trips(fills: DataFrame, fee: float = 0.001, order: list[str] = ["ts", "seq"],
+                     cell_qty: float = 1000.0) -> DataFrame:
     """First-in-first-out matching of sells to earlier buys, as interval overlap.
 
     On the axis of bought quantity every buy owns ``(B - qty, B]``.  A sell
     consumes up to what is in stock, so total consumption is
     ``S + min(0, running min(B - S))``; its step is the interval the sell
-    takes.  Both are cut into fixed quantity cells and meet on
-    ``(asset, cell)``, so a busy asset is spread over its cells.
+    takes.  Both are cut into cells of ``cell_qty`` and meet on
+    ``(asset, cell)``, so a busy asset is spread over its cells; choose the
+    cell a few dozen times the usual lot.
     """
     by = time_bucket(F.col(order[0]))
     signed = fills.select(
@@ -296,7 +303,7 @@ def fifo_round_trips(fills: DataFrame, fee: float = 0.001, order: list[str] = ["
     run = run.withColumn("_used", F.col("_sold") + F.least(F.lit(0.0), F.col("_gap"))).withColumn(
         "_from", F.col("_sold") - F.col("_out") + F.least(F.lit(0.0), F.coalesce("_gap0", F.lit(0.0))))
 
-    cell = F.lit(1000.0)
+    cell = F.lit(cell_qty)
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell).cast("long"), F.floor(hi / cell).cast("long")))
     buys = run.filter("side = 'buy'").select(
         F.col("asset").alias("_ba"), F.col("price").alias("buy_price"),

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.series import scan
+from barloom.operators.economics import attach_facts
 from barloom.operators.signals import FAMILY
 from barloom.session import cut_lineage
 
@@ -155,7 +156,7 @@ def threshold_for_frequency(scored: DataFrame, per_day: float, digits: int = 6)
     facts = facts.withColumn("_q", 1.0 - per_day * F.col("span_days") / F.col("n"))
     facts = facts.withColumn("_at", (F.col("n") - 1) * F.col("_q"))
     ranked = scan(counts, [], ["score"], F.floor(F.col("score") * 1000).cast("long"), {"_upto": ("sum", F.col("_c"))})
-    ranked = ranked.withColumn("_one", F.lit(1)).join(facts.withColumn("_one", F.lit(1)), "_one")
+    ranked = attach_facts(ranked, facts, [])
     holds = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("score")))
     low = F.floor(F.col("_at"))
     cut = ranked.groupBy("n", "lowest", "span_days", "_at").agg(

@@ -133,7 +133,7 @@ def walk_forward(folded: DataFrame, columns: list[str], folds: list[int], target
         scored = win_probability(model.transform(test))
         unusual = cal.novelty(leaf_table(model.transform(train), "trade_id"), leaf_table(scored, "trade_id"))
         joined = scored.join(unusual.select(F.col("row_id").alias("trade_id"), "is_novel"), "trade_id")
-        based = ec._attach(joined, threshold.withColumnRenamed("threshold", "fold_threshold"), [])
+        based = ec.attach_facts(joined, threshold.withColumnRenamed("threshold", "fold_threshold"), [])
         gated = g.gate(based, F.col("fold_threshold"), alignment="alignment", novel="is_novel")
         parts.append(cut_lineage(gated.drop("features", "leaves", "rawPrediction", "probability")))
     return reduce(DataFrame.unionByName, parts)

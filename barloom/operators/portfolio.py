@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.stats import compounded
 from barloom.operators.bars import calendar
-from barloom.operators.economics import _attach
+from barloom.operators.economics import attach_facts
 from barloom.session import cut_lineage
 
 EPS = 1e-12
@@ -221,7 +221,7 @@ def rotation(scored: DataFrame, top_k: int, every: int, cost: float, long_short:
     """
     universe = scored.agg(F.count_distinct("asset").alias("_all"))
     shared = scored.groupBy("ts").agg(F.count_distinct("asset").alias("_k"))
-    common = _attach(shared, universe, []).filter("_k = _all").select(F.col("ts").alias("day"))
+    common = attach_facts(shared, universe, []).filter("_k = _all").select(F.col("ts").alias("day"))
     marks = calendar(common).filter(F.col("d") % every == 0).select(F.col("day").alias("ts"), (F.col("d") / every).cast("long").alias("c"))
     marks = cut_lineage(marks)
     at = scored.join(marks, "ts")

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import number_rows, time_bucket
-from barloom.operators.economics import _attach
+from barloom.operators.economics import attach_facts
 from barloom.session import cut_lineage
 
 MICROS = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -45,7 +45,7 @@ def fold_edges(trades: DataFrame, n_folds: int, purge_seconds: float, order: lis
     lean = cut_lineage(trades.select(*order))
     numbered = number_rows(lean, [], order, time_bucket(F.col(order[0])), "_row")
     total = lean.agg(F.count(F.lit(1)).alias("_n"), F.max(order[0]).alias("_last"))
-    marks = _attach(numbered, total, []).withColumn("_f", F.explode(F.sequence(F.lit(1), F.lit(n_folds - 1))))
+    marks = attach_facts(numbered, total, []).withColumn("_f", F.explode(F.sequence(F.lit(1), F.lit(n_folds - 1))))
     starts = marks.filter(F.col("_row") == F.floor(F.col("_n") * F.col("_f") / F.lit(float(n_folds)))).select(
         F.col("_f").alias("fold"), F.col(order[0]).alias("test_start"),
         (F.col("_last") + F.expr("INTERVAL 1 second")).alias("_end"))

@@ -55,6 +55,6 @@ def daily_digest(scored: DataFrame, per_day: int, costs: dict[str, float]) -> Da
     pool = cut_lineage(scored)
     cut = g.threshold_for_frequency(pool, float(per_day)).select("threshold")
     top = g.top_n_per_day(pool, per_day).withColumn("selection", F.lit("top_per_day"))
-    above = ec._attach(pool, cut, []).filter("score >= threshold").drop("threshold").withColumn("selection", F.lit("threshold"))
+    above = ec.attach_facts(pool, cut, []).filter("score >= threshold").drop("threshold").withColumn("selection", F.lit("threshold"))
     costed = ec.per_cost(top.unionByName(above), costs)
     return ec.net_economics(costed, ["selection", "cost_name"], F.col("cost"))

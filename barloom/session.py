@@ -51,8 +51,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set(CHECKPOINT_CONF, path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(path, "rdd"))
     return path
 
 
@@ -61,6 +59,7 @@ def cut_lineage(df, partition_by: list[str] | None = None):
 
     Used where one expensive frame feeds several passes: the written copy
     survives lost executors and stops the plan from being computed twice.
+    Files stay in the folder; the cluster's retention rule removes them.
     """
     import uuid
 

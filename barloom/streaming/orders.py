@@ -20,15 +20,18 @@ HOLD_BARS = 18
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
 
-ORDER_FIELDS = [("order_id", T.StringType()), ("side", T.IntegerType()), ("signal_time", T.TimestampType()),
+# Moments travel as epoch microseconds, so state does not depend on any zone.
+ORDER_FIELDS = [("order_id", T.StringType()), ("side", T.IntegerType()), ("signal_us", T.LongType()),
                 ("limit_price", T.DoubleType()), ("pt_price", T.DoubleType()), ("sl_price", T.DoubleType()),
-                ("deadline", T.TimestampType())]
-RESULT_SCHEMA = T.StructType([
-    T.StructField("order_id", T.StringType()), T.StructField("asset", T.StringType()),
-    T.StructField("side", T.IntegerType()), T.StructField("status", T.StringType()),
-    T.StructField("fill_time", T.TimestampType()), T.StructField("fill_price", T.DoubleType()),
-    T.StructField("close_time", T.TimestampType()), T.StructField("close_price", T.DoubleType()),
-    T.StructField("ret", T.DoubleType())])
+                ("deadline_us", T.LongType())]
+STATE_SCHEMA = T.StructType([T.StructField(n, k) for n, k in ORDER_FIELDS] + [
+    T.StructField("fill_us", T.LongType()), T.StructField("fill_seq", T.LongType())])
+RESULT_FIELDS = "order_id string, asset string, side int, status string, fill_us bigint, fill_price double, " \
+                "close_us bigint, close_price double, ret double"
+
+
+def micros(column: str):
+    return F.unix_micros(F.col(column).cast("timestamp"))
 
 
 def price_orders(signals: DataFrame, offset: float = 0.15, pt: float = 2.0, sl: float = 1.0) -> DataFrame:
@@ -42,18 +45,16 @@ def price_orders(signals: DataFrame, offset: float = 0.15, pt: float = 2.0, sl:
         (F.col("signal_time") + F.expr(f"INTERVAL {BAR_HOURS * FILL_BARS} HOURS")).alias("deadline"))
 
 
-def event_rows(orders: DataFrame | None, ticks: DataFrame | None) -> DataFrame:
+def event_rows(orders: DataFrame, ticks: DataFrame) -> DataFrame:
     """Orders and ticks in one schema, keyed by asset."""
-    parts = []
-    if ticks is not None:
-        parts.append(ticks.select(
-            "asset", F.col("ts").cast("timestamp").alias("at"), F.col("seq").cast("long").alias("seq"), F.col("price"),
-            *[F.lit(None).cast(kind).alias(name) for name, kind in ORDER_FIELDS]))
-    if orders is not None:
-        parts.append(orders.select(
-            "asset", F.col("signal_time").cast("timestamp").alias("at"), F.lit(-1).cast("long").alias("seq"),
-            F.lit(None).cast("double").alias("price"), *[F.col(name).cast(kind) for name, kind in ORDER_FIELDS]))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    prints = ticks.select(
+        "asset", micros("ts").alias("at_us"), F.col("seq").cast("long").alias("seq"), "price",
+        *[F.lit(None).cast(kind).alias(name) for name, kind in ORDER_FIELDS])
+    placed = orders.withColumn("signal_us", micros("signal_time")).withColumn("deadline_us", micros("deadline"))
+    placed = placed.select(
+        "asset", F.col("signal_us").alias("at_us"), F.lit(-1).cast("long").alias("seq"),
+        F.lit(None).cast("double").alias("price"), *[F.col(name).cast(kind) for name, kind in ORDER_FIELDS])
+    return prints.unionByName(placed)
 
 
 def track_orders(events: DataFrame) -> DataFrame:
@@ -64,9 +65,10 @@ def track_orders(events: DataFrame) -> DataFrame:
     """
     from pyspark.sql.streaming import StatefulProcessor
 
-    state_schema = T.StructType([T.StructField(n, k) for n, k in ORDER_FIELDS] + [
-        T.StructField("fill_time", T.TimestampType()), T.StructField("fill_seq", T.LongType())])
-    hold_hours = BAR_HOURS * HOLD_BARS
+    state_schema, names = STATE_SCHEMA, [n for n, _ in ORDER_FIELDS]
+    out_names = [part.split()[0] for part in RESULT_FIELDS.split(", ")]
+    hold_us = BAR_HOURS * HOLD_BARS * 3_600_000_000
+    never = -1  # stands for "not filled yet" inside the state
 
     class Tracker(StatefulProcessor):
         def init(self, handle):
@@ -77,53 +79,46 @@ def track_orders(events: DataFrame) -> DataFrame:
             import pandas as pd
 
             batch = pd.concat(list(rows), ignore_index=True)
-            ticks = batch[batch["price"].notna()].sort_values(["at", "seq"])
-            when = ticks["at"].to_numpy("datetime64[us]")
-            seq, price = ticks["seq"].to_numpy(), ticks["price"].to_numpy()
-            names = [n for n, _ in ORDER_FIELDS]
+            ticks = batch[batch["price"].notna()].sort_values(["at_us", "seq"])
+            when, seq, price = (ticks[c].to_numpy() for c in ("at_us", "seq", "price"))
             pending = [tuple(row) for row in self.open.get()]
             fresh = batch[batch["order_id"].notna()]
-            pending += [tuple(r) + (None, None) for r in fresh[names].itertuples(index=False)]
+            pending += [tuple(r) + (never, never) for r in fresh[names].itertuples(index=False)]
             done, still = [], []
 
             def first(mask):
                 return int(np.argmax(mask)) if mask.any() else -1
 
-            def micro(value):
-                return np.datetime64(pd.Timestamp(value).tz_localize(None), "us")
-
-            for order in pending:
-                oid, side, born, limit, pt, sl, deadline, filled, fill_seq = order
-                side = int(side)
-                if filled is None:
-                    later = when > micro(born)
+            for oid, side, born, limit, pt, sl, deadline, filled, fill_seq in pending:
+                side, born, deadline = int(side), int(born), int(deadline)
+                filled, fill_seq = int(filled), int(fill_seq)
+                if filled == never:
                     touch = price <= limit if side > 0 else price >= limit
-                    at = first(later & (touch | (when >= micro(deadline))))
-                    if at < 0:
-                        still.append(order)
-                        continue
-                    if not touch[at]:
+                    at = first((when > born) & (touch | (when >= deadline)))
+                    if at >= 0 and not touch[at]:
                         done.append((oid, key[0], side, "expired_unfilled", None, None, None, None, None))
                         continue
-                    filled, fill_seq = pd.Timestamp(when[at]), int(seq[at])
-                moved = (when > micro(filled)) | ((when == micro(filled)) & (seq > int(fill_seq)))
-                win = price >= pt if side > 0 else price <= pt
-                loss = price <= sl if side > 0 else price >= sl
-                over = when >= micro(filled) + np.timedelta64(hold_hours, "h")
-                at = first(moved & (win | loss | over))
+                    if at >= 0:
+                        filled, fill_seq = int(when[at]), int(seq[at])
+                at = -1
+                if filled != never:
+                    moved = (when > filled) | ((when == filled) & (seq > fill_seq))
+                    win = price >= pt if side > 0 else price <= pt
+                    loss = price <= sl if side > 0 else price >= sl
+                    at = first(moved & (win | loss | (when >= filled + hold_us)))
                 if at < 0:
-                    still.append((oid, side, born, limit, pt, sl, deadline, filled, int(fill_seq)))
+                    still.append((oid, side, born, limit, pt, sl, deadline, filled, fill_seq))
                     continue
                 status = "closed_win" if win[at] else "closed_loss" if loss[at] else "closed_vertical"
-                done.append((oid, key[0], side, status, pd.Timestamp(filled), limit, pd.Timestamp(when[at]),
-                             float(price[at]), side * (float(price[at]) / limit - 1)))
+                done.append((oid, key[0], side, status, filled, limit, int(when[at]), float(price[at]),
+                             side * (float(price[at]) / limit - 1)))
             if still:
-                self.open.put([(o[0], o[1], pd.Timestamp(o[2]).to_pydatetime(), o[3], o[4], o[5],
-                                pd.Timestamp(o[6]).to_pydatetime(),
-                                None if o[7] is None else pd.Timestamp(o[7]).to_pydatetime(), o[8]) for o in still])
+                self.open.put(still)
             else:
                 self.open.clear()
-            yield pd.DataFrame(done, columns=[f.name for f in RESULT_SCHEMA])
+            out = pd.DataFrame(done, columns=out_names)
+            yield out.astype({"fill_us": "Int64", "close_us": "Int64", "fill_price": "float64",
+                              "close_price": "float64", "ret": "float64"})
 
         def close(self):
             pass
@@ -131,8 +126,11 @@ def track_orders(events: DataFrame) -> DataFrame:
     spark = events.sparkSession
     if spark.conf.get(STATE_CONF, None) != ROCKS_DB:
         spark.conf.set(STATE_CONF, ROCKS_DB)
-    return events.groupBy("asset").transformWithStateInPandas(
-        statefulProcessor=Tracker(), outputStructType=RESULT_SCHEMA, outputMode="Append", timeMode="None")
+    tracked = events.groupBy("asset").transformWithStateInPandas(
+        statefulProcessor=Tracker(), outputStructType=RESULT_FIELDS, outputMode="Append", timeMode="None")
+    moment = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
+    return tracked.select("order_id", "asset", "side", "status", moment("fill_us").alias("fill_time"), "fill_price",
+                          moment("close_us").alias("close_time"), "close_price", "ret")
 
 
 # ---------------------------------------------------------------- batch twin

@@ -47,7 +47,7 @@ def new_signals(found: DataFrame, logged: DataFrame) -> DataFrame:
     return found.dropDuplicates(["asset", "signal_time"]).join(logged, ["asset", "signal_time"], "left_anti")
 
 
-def run_to_table(stream: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame) -> DataFrame:
     """Drain a stream into files of the shared folder and return them.
 
     Results go to a file sink, never through the driver; the checkpoint beside
@@ -59,4 +59,4 @@ def run_to_table(stream: DataFrame, schema: T.StructType | None = None) -> DataF
            .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
            .trigger(availableNow=True).start())
     run.awaitTermination()
-    return spark.read.schema(schema or stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
