@@ -157,7 +157,7 @@ def attach_as_of(spark, sf_dir):
 SELECT asset, ts, close, 'daily' AS source FROM bars UNION ALL SELECT asset, ts, close, 'four_hour' FROM sb""")
 def pool_assets(spark, sf_dir):
     return m.pool({"daily": t.bars(spark, sf_dir).select("asset", "ts", "close"),
-                   "four_hour": b.trade_bars(t.stream_ticks(spark, sf_dir), "4h").select("asset", "ts", "close")},
+                   "four_hour": b.trade_bars(t.stream_ticks(spark, sf_dir), "4h", seq_in_time_order=True).select("asset", "ts", "close")},
                   tag="source")
 
 
@@ -190,12 +190,12 @@ FROM (SELECT * FROM sticks) GROUP BY asset, {bucket}"""
 
 @query(_stream_bars_sql("4 hour"))
 def tick_bars_4h(spark, sf_dir):
-    return b.trade_bars(t.stream_ticks(spark, sf_dir), "4h")
+    return b.trade_bars(t.stream_ticks(spark, sf_dir), "4h", seq_in_time_order=True)
 
 
 @query(_stream_bars_sql("5 minute"))
 def tick_bars_5m(spark, sf_dir):
-    return b.trade_bars(t.stream_ticks(spark, sf_dir), "5m")
+    return b.trade_bars(t.stream_ticks(spark, sf_dir), "5m", seq_in_time_order=True)
 
 
 @query(BOOK + "SELECT asset, ts, bid_qty, ask_qty, open, high, low, close, bid_close, ask_close FROM bb")

@@ -10,12 +10,14 @@ from barloom.operators import bars as b
 from barloom.operators import features as ft
 from barloom.operators import regime as rg
 from barloom.operators import signals as sg
+from barloom.session import cut_lineage
 from barloom.sources import market as m
 from barloom.sources import tables as t
 
 
 def funded_bars(spark, sf_dir):
-    return number_rows(t.bars(spark, sf_dir).join(t.funding(spark, sf_dir), ["asset", "ts"], "left"))
+    bars = t.bars(spark, sf_dir).join(t.funding(spark, sf_dir), ["asset", "ts"], "left")
+    return cut_lineage(number_rows(cut_lineage(bars)))
 
 
 def rounded(df, **digits):
@@ -60,8 +62,8 @@ sides AS (SELECT *,
 SIDES = q.FEATURES + ",\n" + RANKS + ",\n" + CROSS
 
 
-def plain_sides(spark, sf_dir, *names):
-    frame = ft.feature_frame(t.numbered_bars(spark, sf_dir), balance="obv_divergence" in names)
+def plain_sides(bars, *names):
+    frame = ft.feature_frame(bars, balance="obv_divergence" in names)
     return sg.signal_sides(frame, {n: sg.RULES[n]() for n in names})
 
 
@@ -69,7 +71,7 @@ def _rule(name):
     sql = q.with_(SIDES, recursive=True) + f"SELECT asset, ts, bar, {name} AS side FROM sides WHERE {name} <> 0"
 
     def build(spark, sf_dir):
-        return sg.candidates(plain_sides(spark, sf_dir, name), [name]).select("asset", "ts", "bar", "side")
+        return sg.candidates(plain_sides(t.numbered_bars(spark, sf_dir), name), [name]).select("asset", "ts", "bar", "side")
     build.__name__ = f"signal_{name}"
     return query(sql)(build)
 
@@ -126,8 +128,9 @@ tf AS (SELECT *, pos - 49 AS bar, obi - lag(obi) OVER (PARTITION BY asset ORDER
 
 
 def book_frame(spark, sf_dir):
-    hourly = b.book_bars(m.normalise_book(t.book_ticks(spark, sf_dir)), "1h")
-    return ft.feature_frame(number_rows(hourly.select("asset", "ts", "open", "high", "low", "close", "obi")))
+    hourly = b.book_bars(m.normalise_book(t.book_ticks(spark, sf_dir)), "1h", seq_in_time_order=True)
+    rows = cut_lineage(hourly.select("asset", "ts", "open", "high", "low", "close", "obi"))
+    return ft.feature_frame(cut_lineage(number_rows(rows)))
 
 
 @query(_BOOK + """SELECT asset, ts, bar, round(obi, 9) AS obi_raw, round(obi - 0.5, 9) AS obi_imbalance,
@@ -169,7 +172,7 @@ SELECT s.asset, s.ts, s.bar, s.breakout AS side,
   round(s.breakout * r.trend_strength, 7) AS alignment_strength, round(s.breakout * r.leader_ret_5, 8) AS ret_5_aligned
 FROM sides s LEFT JOIN reg r ON r.ts = s.ts WHERE s.breakout <> 0""")
 def regime_alignment(spark, sf_dir):
-    trades = sg.candidates(plain_sides(spark, sf_dir, "breakout"), ["breakout"]).select("asset", "ts", "bar", "side")
+    trades = sg.candidates(plain_sides(t.numbered_bars(spark, sf_dir), "breakout"), ["breakout"]).select("asset", "ts", "bar", "side")
     regime = rg.leader_regime(rg.leader_bars(t.bars(spark, sf_dir), t.LEADER))
     out = rg.align_with_regime(trades, regime).drop(*rg.REGIME_COLUMNS)
     return rounded(out, alignment_strength=7, ret_5_aligned=8)
@@ -193,9 +196,9 @@ ls AS (SELECT *, CASE WHEN bar >= 1 THEN p0 END AS p FROM ll WHERE bar >= 0),
 s AS (SELECT asset, ts, bar, CASE WHEN p >= -0.03 AND r < -0.03 THEN -1 WHEN p <= 0.03 AND r > 0.03 THEN 1 ELSE 0 END AS side FROM ls)""",
                  recursive=True) + "SELECT * FROM s WHERE side <> 0")
 def signal_btc_lead_lag(spark, sf_dir):
-    bars = t.bars(spark, sf_dir)
+    bars = cut_lineage(t.bars(spark, sf_dir))
     regime = rg.leader_regime(rg.leader_bars(bars, t.LEADER))
-    numbered = number_rows(rg.leader_return_on_bars(bars, regime))
+    numbered = cut_lineage(number_rows(cut_lineage(rg.leader_return_on_bars(bars, regime))))
     sides = sg.signal_sides(ft.feature_frame(numbered, balance=False), {"btc_lead_lag": sg.btc_lead_lag()})
     return sg.candidates(sides, ["btc_lead_lag"]).select("asset", "ts", "bar", "side")
 
@@ -213,7 +216,7 @@ _RULES_IN_ORDER = ["breakout", "reversion", "vol_breakout", "trend_pullback", "r
     f"SELECT asset, ts, bar, '{n}' AS signal, {n} AS side FROM sides WHERE {n} <> 0" for n in _RULES_IN_ORDER))
 def signal_registry(spark, sf_dir):
     """Every price rule in one pass over the bars."""
-    sides = plain_sides(spark, sf_dir, *_RULES_IN_ORDER)
+    sides = plain_sides(t.numbered_bars(spark, sf_dir), *_RULES_IN_ORDER)
     return sg.candidates(sides, _RULES_IN_ORDER).select("asset", "ts", "bar", "signal", "side")
 
 

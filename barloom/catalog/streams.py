@@ -21,7 +21,7 @@ _BARS4 = f"""b4 AS (SELECT asset, {_B} AS ts, first(price ORDER BY ts, seq) AS o
 def stream_tick_bars(spark, sf_dir):
     """Bars the watermark has closed after the stream drained the event files."""
     ticks = t.shape_events(st.read_event_stream(pin_utc(spark), sf_dir))
-    return st.run_to_table(st.stream_bars(ticks, "4h"))
+    return st.run_to_table(st.stream_bars(ticks, "4h", seq_in_time_order=True))
 
 
 _ORDERS = """od AS (SELECT asset || '_' || epoch_us(ts + INTERVAL 4 hour) AS order_id, asset, CASE WHEN close < open THEN 1 ELSE -1 END AS side,
@@ -46,7 +46,7 @@ _COLS = "order_id, asset, side, status, fill_time, round(fill_price, 7) AS fill_
 
 def shadow_orders(spark, sf_dir):
     """Orders from every other four-hour bar: fade its direction, sized by its range."""
-    bars = b.trade_bars(t.stream_ticks(spark, sf_dir), "4h").filter((F.col("high") > F.col("low")) & (F.hour("ts") % 8 == 0))
+    bars = b.trade_bars(t.stream_ticks(spark, sf_dir), "4h", seq_in_time_order=True).filter((F.col("high") > F.col("low")) & (F.hour("ts") % 8 == 0))
     return od.price_orders(bars.select(
         "asset", (F.col("ts") + F.expr("INTERVAL 4 HOURS")).alias("signal_time"),
         F.when(F.col("close") < F.col("open"), 1).otherwise(-1).alias("side"), "close",

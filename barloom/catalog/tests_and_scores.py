@@ -226,7 +226,7 @@ def fold_stability(spark, sf_dir):
 
 
 # Fills: returned items are sells.
-_FILLS = """fills AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset, ts ORDER BY l_orderkey, l_linenumber, l_extendedprice, qty) AS seq,
+_FILLS = """fills AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset, ts ORDER BY l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) % 1048576) AS seq,
   CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, price, qty FROM ticks)"""
 
 

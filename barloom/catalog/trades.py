@@ -68,10 +68,11 @@ def filled_sql(rules) -> str:
 
 def candidate_pool(spark, sf_dir, rules, extra=()):
     """Price path by trimmed position, and the candidates of all rules."""
-    sides = plain_sides(spark, sf_dir, *rules)
+    bars = t.numbered_bars(spark, sf_dir)
+    sides = plain_sides(bars, *rules)
     cand = sg.candidates(sides, rules).select(
         "asset", "ts", "signal", "bar", "side", "close", "atr", *extra)
-    return ft.usable_path(t.numbered_bars(spark, sf_dir)), cand
+    return ft.usable_path(bars), cand
 
 
 def labelled(spark, sf_dir, rules=RULES, pt=2.0, sl=1.0, horizon=18, extra=()):

@@ -22,11 +22,17 @@ def bucket(rule: str) -> Column:
     return F.window("ts", RULES[rule])["start"]
 
 
-def moment_order(seq: str | None = "seq") -> Column:
-    """Time plus sequence as one decimal: orderable inside hash aggregation."""
+def moment_order(seq: str | None = "seq", seq_in_time_order: bool = False) -> Column:
+    """Orderable key of a tick that stays inside hash aggregation.
+
+    Feeds whose sequence number grows with time are ordered by it alone, a
+    plain long; otherwise time and sequence are packed into one decimal.
+    """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     if seq is None:
         return micros
+    if seq_in_time_order:
+        return F.col(seq).cast("long")
     return micros.cast("decimal(18,0)") * F.lit(10 ** 18).cast("decimal(19,0)") + F.col(seq).cast("decimal(18,0)")
 
 
@@ -41,18 +47,19 @@ def resample_bars(bars: DataFrame, rule: str) -> DataFrame:
     return out.na.drop(subset=["open", "high", "low", "close", "volume"])
 
 
-def trade_bars(ticks: DataFrame, rule: str) -> DataFrame:
+def trade_bars(ticks: DataFrame, rule: str, seq_in_time_order: bool = False) -> DataFrame:
     """OHLCV bars from trade prints (asset, ts, price, qty, seq)."""
-    keyed = ticks.withColumn("_o", moment_order())
+    keyed = ticks.withColumn("_o", moment_order("seq", seq_in_time_order))
     return keyed.groupBy("asset", bucket(rule).alias("ts")).agg(
         F.min_by("price", "_o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "_o").alias("close"), F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("n_ticks"))
 
 
-def partial_book_bars(ticks: DataFrame, rule: str, part: Column | None = None) -> DataFrame:
+def partial_book_bars(ticks: DataFrame, rule: str, part: Column | None = None,
+                      seq_in_time_order: bool = False) -> DataFrame:
     """Book bars with the first and last moment kept, so they can be merged again."""
     keys = ["asset", bucket(rule).alias("ts")] + ([part.alias("part")] if part is not None else [])
-    return ticks.withColumn("_o", moment_order()).groupBy(*keys).agg(
+    return ticks.withColumn("_o", moment_order("seq", seq_in_time_order)).groupBy(*keys).agg(
         F.sum("bid_qty").alias("bid_qty"), F.sum("ask_qty").alias("ask_qty"),
         F.min_by("mid", "_o").alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"),
         F.max_by("mid", "_o").alias("close"), F.max_by("bid_price", "_o").alias("bid_close"),
@@ -74,9 +81,9 @@ def with_imbalance(bars: DataFrame) -> DataFrame:
     return bars.withColumn("obi", F.col("bid_qty") / (F.col("bid_qty") + F.col("ask_qty") + 1e-9))
 
 
-def book_bars(ticks: DataFrame, rule: str) -> DataFrame:
+def book_bars(ticks: DataFrame, rule: str, seq_in_time_order: bool = False) -> DataFrame:
     """Bars of the mid price with summed sizes, last quotes and imbalance."""
-    return with_imbalance(partial_book_bars(ticks, rule).drop("first_at", "last_at"))
+    return with_imbalance(partial_book_bars(ticks, rule, None, seq_in_time_order).drop("first_at", "last_at"))
 
 
 def bar_quality(bars: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def align_pairs(prices: DataFrame, share: float = 0.8) -> DataFrame:
     both = cut_lineage(left.join(right, "ts").filter("a < b"))
     counts = both.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_ROWS)
     placed = number_rows(both, PAIR, ["ts"], time_bucket(F.col("ts"), 365)).join(counts, PAIR)
-    return placed.withColumn("in_sample", F.col("pos") < F.floor(F.col("n") * share))
+    return cut_lineage(placed.withColumn("in_sample", F.col("pos") < F.floor(F.col("n") * share)))
 
 
 def hedge_ratio(pairs: DataFrame) -> DataFrame:

@@ -22,8 +22,8 @@ EPS = 1e-12
 
 
 def index_days(panel: DataFrame) -> DataFrame:
-    """Adds the calendar number ``d`` of each day."""
-    return panel.join(calendar(panel), "day").filter("close is not null")
+    """Adds the calendar number ``d`` of each day; written once, as every step reads it."""
+    return cut_lineage(panel.join(calendar(panel), "day").filter("close is not null"))
 
 
 def asset_days(n: int):
@@ -126,6 +126,7 @@ def backtest_book(indexed: DataFrame, weights: DataFrame, cost_per_side: float |
     yesterday's weight.
     """
     cost_per_side = cost_per_side if isinstance(cost_per_side, Column) else F.lit(float(cost_per_side))
+    weights = cut_lineage(weights)
     cost_keys = [c for c in ("cost",) if c in weights.columns and c not in keys]
     days = calendar(indexed.select("day"))
     last = days.agg(F.max("d").alias("_last"))

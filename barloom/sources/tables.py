@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.series import number_rows
-from barloom.session import pin_utc
+from barloom.session import cut_lineage, pin_utc
 
 LEADER = "Brand#1"
 
@@ -30,14 +30,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def print_order() -> Column:
-    """Total order of prints: order line, then amount, then quantity.
+    """Order of prints as one long: order line first, then the low bits of the amount.
 
-    One fixed-width decimal instead of a struct keeps ``min_by``/``max_by`` in
-    hash aggregation, so no tick partition is ever sorted.
+    A fixed-width key keeps ``min_by``/``max_by`` in hash aggregation (a struct
+    would sort every tick partition); 40 bits of order key leave 20 for ties.
     """
-    line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
-    amount = (F.round(F.col("l_extendedprice") * 100) * 100 + F.col("l_quantity")).cast("decimal(15,0)")
-    return line * F.lit(10 ** 14).cast("decimal(15,0)") + amount
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return F.shiftleft(line, 20) + cents % 1048576
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return number_rows(bars(spark, sf_dir))
+    """Bars with their position per asset, written once.
+
+    Bars are far smaller than ticks and are read by every later step, so ticks
+    are scanned a single time and positions are counted a single time.
+    """
+    return cut_lineage(number_rows(cut_lineage(bars(spark, sf_dir))))
 
 
 def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly average price per supplier nation: (asset, day, close)."""
+    """Weekly average price per supplier nation: (asset, day, close), written once."""
     items = table(spark, sf_dir, "lineitem")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -69,7 +74,7 @@ def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     week = F.date_trunc("week", F.col("l_shipdate")).cast("timestamp_ntz")
     value = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double")
     size = F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")
-    return joined.groupBy(F.col("n_name").alias("asset"), week.alias("day")).agg((value / size).alias("close"))
+    return cut_lineage(joined.groupBy(F.col("n_name").alias("asset"), week.alias("day")).agg((value / size).alias("close")))
 
 
 def week_funding(spark: SparkSession, sf_dir: str) -> DataFrame:

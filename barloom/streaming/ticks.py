@@ -26,9 +26,9 @@ def read_event_stream(spark: SparkSession, folder: str, pattern: str = "events*.
     return reader.parquet(folder)
 
 
-def stream_bars(ticks: DataFrame, rule: str, delay: str = "1 hour") -> DataFrame:
+def stream_bars(ticks: DataFrame, rule: str, delay: str = "1 hour", seq_in_time_order: bool = False) -> DataFrame:
     """Tumbling OHLCV bars; a bar is emitted once the watermark passes its end."""
-    timed = ticks.withColumn("_o", moment_order()).withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = ticks.withColumn("_o", moment_order("seq", seq_in_time_order)).withColumn("ts", F.col("ts").cast("timestamp"))
     return timed.withWatermark("ts", delay).groupBy(F.window("ts", RULES[rule]), "asset").agg(
         F.min_by("price", "_o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "_o").alias("close"), F.sum("qty").alias("volume"), F.count(F.lit(1)).alias("n_ticks")
