@@ -9,7 +9,7 @@ from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
 from barloom.catalog.signals import rounded
 from barloom.catalog.trades import (
-    _CONV, _SC, KEYS, RULES, SCORED, conviction_trades, labelled, labelled_sql, scored_trades, with_scores)
+    _CONV, _SC, KEYS, RULES, conviction_trades, labelled, labelled_sql, scored_trades)
 from barloom.functions.stats import sidak
 from barloom.operators import calibration as cal
 from barloom.operators import economics as ec

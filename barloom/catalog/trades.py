@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
-from barloom.catalog.signals import FUNDED_FEATURES, SIDES, STRENGTH, plain_sides, rounded
+from barloom.catalog.signals import SIDES, STRENGTH, plain_sides, rounded
 from barloom.operators import economics as ec
 from barloom.operators import features as ft
 from barloom.operators import gating as g

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.series import FRAME, back_rows, own_rows, scan, shifted, slice_bars
+from barloom.functions.series import back_rows, own_rows, scan, shifted, slice_bars
 from barloom.operators.economics import attach_facts, position_slice
 from barloom.session import cut_lineage
 

@@ -199,12 +199,11 @@ def calendar_year_returns(pnl: DataFrame, keys: list[str], ret: str = "net") ->
 
 
 def latest_book(weights: DataFrame, days: DataFrame) -> DataFrame:
-    """Long and short names of the newest calendar day."""
-    last = days.agg(F.max("d").alias("d"))
-    now = weights.join(F.broadcast(last), "d").join(days, "d")
-    return now.groupBy("day").agg(
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("w") > 0, F.col("asset")))), ",").alias("longs"),
-        F.array_join(F.sort_array(F.collect_list(F.when(F.col("w") < 0, F.col("asset")))), ",").alias("shorts"))
+    """Long and short names of the newest calendar day; null lists when it has no book."""
+    last = days.agg(F.max_by("day", "d").alias("day"), F.max("d").alias("d"))
+    now = F.broadcast(last).join(weights, "d", "left")
+    names = lambda cond: F.nullif(F.array_join(F.sort_array(F.collect_list(F.when(cond, F.col("asset")))), ","), F.lit(""))
+    return now.groupBy("day").agg(names(F.col("w") > 0).alias("longs"), names(F.col("w") < 0).alias("shorts"))
 
 
 def best_config(stats: DataFrame, by: list[str] = []) -> DataFrame:
