@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.series import own_rows, shifted, slice_bars
+from barloom.session import cut_lineage
 
 
 def bar_path(bars: DataFrame) -> DataFrame:
@@ -33,7 +34,10 @@ def first_touch(orders: DataFrame, bars: DataFrame, keys: list[str], horizon: in
     ``orders`` carries ``keys``, asset, ``anchor`` (start position), ``side``,
     ``price`` (entry price) and ``risk`` (ATR at the signal).  Both barriers in
     one bar count as the stop.  Returns label, ret, hold, entry_pos, exit_pos.
+    Orders are read twice (walk and result), so they are written once first:
+    they are few compared with the bars behind them.
     """
+    orders = cut_lineage(orders)
     long = F.col("side") > 0
     win_dist, loss_dist = pt * F.col("risk"), sl * F.col("risk")
     set_up = orders.withColumn("upper", F.col("price") + F.when(long, win_dist).otherwise(loss_dist))
@@ -83,6 +87,7 @@ def limit_fills(candidates: DataFrame, bars: DataFrame, keys: list[str], offset:
     orders = candidates.filter(F.col("atr").isNotNull()).select(
         "*", F.col("bar").alias("signal_pos"), F.col("close").alias("signal_price"),
         (F.col("close") - F.col("side") * (F.lit(offset) * F.col("atr"))).alias("limit_price"))
+    orders = cut_lineage(orders)
     walked = walk_forward_bars(
         orders.select(*keys, *[c for c in ("asset", "side") if c not in keys], "signal_pos", "limit_price"),
         bars, "signal_pos", timeout)

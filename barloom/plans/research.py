@@ -10,6 +10,7 @@ from barloom.operators import gating as g
 from barloom.operators import labels as lb
 from barloom.operators import regime as rg
 from barloom.operators import signals as sg
+from barloom.session import cut_lineage
 
 TRADE_KEYS = ["asset", "signal", "bar"]
 MODEL_FEATURES = ["ret_2d", "ret_3d", "ret_5d", "MACD_12_26_9", "MACDh_12_26_9", "RSI_14", "RSI_70", "bb_width",
@@ -38,7 +39,7 @@ def maker_study(bars: DataFrame, rule: str, taker: float = 0.004, maker: float =
     """Instant against limit fills of one rule: economics per execution style."""
     frame = ft.feature_frame(bars, balance=rule == "obv_divergence")
     sides = sg.signal_sides(frame, {rule: sg.RULES[rule]()})
-    fired = sg.candidates(sides, [rule]).select("asset", "ts", "signal", "bar", "side", "close", "atr")
+    fired = cut_lineage(sg.candidates(sides, [rule]).select("asset", "ts", "signal", "bar", "side", "close", "atr"))
     path = ft.usable_path(bars)
     instant = lb.triple_barrier(fired, path, TRADE_KEYS, 2.0, 1.0)
     filled = lb.triple_barrier_from_fill(lb.limit_fills(fired, path, TRADE_KEYS), path, TRADE_KEYS)
@@ -50,8 +51,6 @@ def maker_study(bars: DataFrame, rule: str, taker: float = 0.004, maker: float =
 
 def daily_digest(scored: DataFrame, per_day: int, costs: dict[str, float]) -> DataFrame:
     """Economics of the day's best signals and of the frequency-matched threshold."""
-    from barloom.session import cut_lineage
-
     pool = cut_lineage(scored)
     cut = g.threshold_for_frequency(pool, float(per_day)).select("threshold")
     top = g.top_n_per_day(pool, per_day).withColumn("selection", F.lit("top_per_day"))
