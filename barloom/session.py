@@ -44,11 +44,15 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by the cluster.
 
-    Reads ``spark.checkpoint.dir``.  Only when it is unset (local tests) a
-    fresh folder is made and recorded on the session.
+    Reads ``spark.checkpoint.dir``.  Only a local session (one machine, as in
+    tests) may leave it unset: a fresh folder is then made and recorded on the
+    session.  On a cluster a machine-local folder would lose rows, so it is refused.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set(CHECKPOINT_CONF, path)
     return path
