@@ -46,7 +46,7 @@ def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def columns_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:

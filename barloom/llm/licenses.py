@@ -136,7 +136,7 @@ def license_digest(found: DataFrame) -> DataFrame:
     """
     base = F.transform("places", lambda p: p["label"])
     best = F.array_min(F.transform("spans", lambda s: s["edits"]))
-    fuzzy = F.coalesce(F.greatest(F.lit(0.1), 1.0 - best / 10.0), F.lit(0.0))
+    fuzzy = F.when(best.isNull(), 0.0).otherwise(F.greatest(F.lit(0.1), 1.0 - best / 10.0))
     return found.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"),
         F.array_min(F.transform("places", lambda p: p["word"])).alias("first_word"),
