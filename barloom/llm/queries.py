@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import licenses
-from barloom.llm.common import table
+from barloom.llm import licenses, quality
+from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,3 +23,13 @@ def query(sql: str | None = None):
 @query()
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 5 is not 0; scores every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    weights = quality.fit_quality(docs.where(~held_out), labels.where(~held_out))
+    scored = quality.score_quality(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
