@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import licenses, quality
+from barloom.llm import language, licenses, quality
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -33,3 +33,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = quality.fit_quality(docs.where(~held_out), labels.where(~held_out))
     scored = quality.score_quality(docs, weights)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 4 is not 2; predicts every document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = language.fit_languages(docs.where(~held_out))
+    found = language.identify_languages(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
