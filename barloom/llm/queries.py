@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, licenses, quality
+from barloom.llm import chat, language, licenses, quality
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -43,3 +43,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit_languages(docs.where(~held_out))
     found = language.identify_languages(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query()
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one (-1) whose texts are made of control strings."""
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
