@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, language, licenses, packing, quality
+from barloom.llm import bpe, chat, language, licenses, packing, pivot_search, quality, vectors
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -64,3 +64,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.vec, c.vec) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = vectors.finite_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", drop_zero=False)
+    whole = whole.select("vec_id", F.transform("vec", lambda x: F.floor(256 * x).cast("bigint")).alias("vec"))
+    return pivot_search.pivot_top_k(whole, whole.where(F.col("vec_id") % 50 == 0), 5)
