@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, language, licenses, packing, pivot_search, quality, vectors
+from barloom.llm import bpe, chat, collision_search, language, licenses, packing, pivot_search, quality, vectors
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = vectors.finite_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", drop_zero=False)
     whole = whole.select("vec_id", F.transform("vec", lambda x: F.floor(256 * x).cast("bigint")).alias("vec"))
     return pivot_search.pivot_top_k(whole, whole.where(F.col("vec_id") % 50 == 0), 5)
+
+
+@query()
+def op9_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = vectors.finite_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", drop_zero=True)
+    return collision_search.collision_top_k(whole, whole.where(F.col("vec_id") % 20 == 0), 20)
