@@ -14,6 +14,8 @@ from barloom.session import cut_lineage
 
 #: Bytes of text packed into one row by ``pack_documents``; one longer document is a row of its own.
 PACK_BYTES = 8_000_000
+#: Documents in a pack at most; a row's number within its pack takes 16 bits.
+PACK_DOCS = 60_000
 #: Rows and bytes of one Arrow batch handed to Python.
 ARROW_ROWS = 2_000
 ARROW_BYTES = 32_000_000
@@ -64,14 +66,14 @@ def crc_mod(column, modulus: int):
 
 
 class WordHashes(dict):
-    """Word -> 32-bit hash, remembered up to a bounded number of words."""
+    """Word (bytes) -> hash of 32 bits or, by another function, 64; remembered up to a bounded number of words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 400_000, function: Callable[[bytes], int] = zlib.crc32):
         super().__init__()
-        self.limit = limit
+        self.limit, self.function = limit, function
 
     def __missing__(self, word):
-        value = zlib.crc32(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
+        value = self.function(word)
         if len(self) >= self.limit:
             self.clear()
         self[word] = value
@@ -101,7 +103,7 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     arrow = arrow_schema(docs.sparkSession, "pack bigint, n_docs bigint, n_bytes bigint, blob binary")
 
     def run(batches):
-        first = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << 23
         ids, texts, size, number = [], [], 0, 0
 
         def row():
@@ -114,7 +116,7 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                if size + len(t) > PACK_BYTES and ids:
+                if ids and (size + len(t) > PACK_BYTES or len(ids) >= PACK_DOCS):
                     yield row()
                     ids, texts, size, number = [], [], 0, number + 1
                 ids.append(i)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, collision_search, language, licenses, packing, pivot_search, quality, vectors
+from barloom.llm import bpe, chat, collision_search, jaccard, language, licenses, packing, pivot_search, quality, vectors
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -91,3 +91,8 @@ def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = vectors.finite_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", drop_zero=True)
     return collision_search.collision_top_k(whole, whole.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query()
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
