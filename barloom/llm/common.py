@@ -55,7 +55,7 @@ def columns_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
 
-def text_bytes(column: pa.Array) -> list[bytes]:
+def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -93,42 +93,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pack_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents gathered into rows of about ``PACK_BYTES``: pack, n_docs, n_bytes, blob.
 
-    A row is compressed Arrow data (doc_id, UTF-8 text) and is written to the shared
-    folder, so that a pack's number stays the same for every later pass.
+    A row is compressed Arrow data (doc_id, UTF-8 text, then the carried columns) and is
+    written to the shared folder, so that a pack's number stays the same for every later pass.
     """
     bound_batches(docs.sparkSession)
-    arrow = arrow_schema(docs.sparkSession, "pack bigint, n_docs bigint, n_bytes bigint, blob binary")
+    schema = "pack bigint, n_docs bigint, n_bytes bigint, blob binary"
+    arrow = arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
         first = TaskContext.get().partitionId() << 23
-        ids, texts, size, number = [], [], 0, 0
+        held: list[pa.RecordBatch] = []
+        docs_, size, number = 0, 0, 0
 
         def row():
-            inner = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.large_binary())})
+            inner = pa.Table.from_batches(held)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, inner.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(inner)
-            return columns_batch({"pack": [first + number], "n_docs": [len(ids)], "n_bytes": [size],
-                                  "blob": [sink.getvalue().to_pybytes()]}, arrow)
+            return columns_batch({"pack": [first + number], "n_docs": [docs_], "n_bytes": [size], "blob": [sink.getvalue().to_pybytes()]}, arrow)
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                if ids and (size + len(t) > PACK_BYTES or len(ids) >= PACK_DOCS):
+            lengths = [len(t) for t in text_bytes(batch.column(1))]
+            start = 0
+            for i, n in enumerate(lengths):
+                if docs_ and (size + n > PACK_BYTES or docs_ >= PACK_DOCS):
+                    if i > start:
+                        held.append(batch.slice(start, i - start))
                     yield row()
-                    ids, texts, size, number = [], [], 0, number + 1
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-        if ids:
+                    held, docs_, size, number, start = [], 0, 0, number + 1, i
+                docs_, size = docs_ + 1, size + n
+            if len(lengths) > start:
+                held.append(batch.slice(start))
+        if docs_:
             yield row()
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cut_lineage(plain.mapInArrow(run, "pack bigint, n_docs bigint, n_bytes bigint, blob binary"))
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                        *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
+    return cut_lineage(plain.mapInArrow(run, schema))
+
+
+def unpack_table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 def unpack(blob: bytes) -> tuple[list[int], list[bytes]]:
-    inner = pa.ipc.open_stream(blob).read_all()
-    return inner.column("doc_id").to_pylist(), inner.column("text").to_pylist()
+    inner = unpack_table(blob)
+    return inner.column("doc_id").to_pylist(), text_bytes(inner.column("text"))

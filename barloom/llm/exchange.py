@@ -17,8 +17,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import unpack
-
 #: Bytes of text whose keys make up one bucket (about).
 BUCKET_BYTES = 12_000_000
 
@@ -55,11 +53,10 @@ def gaps_from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.frombuffer(zstandard.decompress(data[at + size:]), np.uint32)
 
 
-def repeated_keys(packs: DataFrame, keys_of: Callable[[list[int], list[bytes]], tuple[np.ndarray, np.ndarray]],
-                  bits: int, buckets: int) -> DataFrame:
+def repeated_keys(packs: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray, np.ndarray]], bits: int, buckets: int) -> DataFrame:
     """pack, body: for every pack its (cut) keys whose counts over all packs sum up to two or more, with the sums.
 
-    ``keys_of`` gives a pack's sorted distinct 64-bit keys and their counts.
+    ``keys_of`` gives the sorted distinct 64-bit keys of a pack's blob and their counts.
     """
     width = -(-(1 << bits) // buckets)
     sent = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("body", pa.binary())])
@@ -68,7 +65,7 @@ def repeated_keys(packs: DataFrame, keys_of: Callable[[list[int], list[bytes]],
     def send(batches):
         for batch in batches:
             for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys, counts = keys_of(*unpack(blob))
+                keys, counts = keys_of(blob)
                 keys = keys >> np.uint64(64 - bits)
                 keep = np.flatnonzero(np.diff(keys, prepend=np.uint64(1 << 63)) != 0)
                 counts = np.add.reduceat(counts, keep) if len(keep) else counts[:0]

@@ -97,8 +97,8 @@ def candidate_sets(packs: DataFrame, representatives: DataFrame, words: int, per
     total = corpus_bytes(packs)
     bits = key_bits(total)
 
-    def keys_of(ids, texts):
-        sets = {s.tobytes(): s for s in (shingles(t, words) for t in texts) if len(s)}
+    def keys_of(blob):
+        sets = {s.tobytes(): s for s in (shingles(t, words) for t in unpack(blob)[1]) if len(s)}
         if not sets:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.unique(np.concatenate(list(sets.values())), return_counts=True)

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, collision_search, jaccard, language, licenses, packing, pivot_search, quality, vectors
+from barloom.llm import bpe, chat, collision_search, jaccard, language, licenses, packing, pivot_search, quality, substring_dedup, vectors
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -96,3 +96,8 @@ def op9_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
