@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from barloom.session import cut_lineage
 
@@ -44,10 +46,32 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | d
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], made: str, id_col: str, text_col: str,
+              carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """doc_id, the columns that ``fn`` makes of (doc_id, text), then the text and carried columns where asked for.
+
+    Carried columns may have any names: they travel under numbers.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                        *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
+    kept = ["doc_id", *["text"] * with_text, *(f"_{i}" for i in range(len(carry)))]
+    schema = StructType([*plain.select(*kept).schema.fields, *StructType.fromDDL(made).fields])
+    arrow = arrow_schema(spark, made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = columns_batch(fn(batch), arrow)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *out.columns], names=[*kept, *out.schema.names])
 
+    found = plain.mapInArrow(run, schema)
+    names = [f.name for f in StructType.fromDDL(made)]
+    return found.select("doc_id", *names, *["text"] * with_text, *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
+
+
+def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_batches, text_bytes
+from barloom.llm.common import map_batches, map_texts, text_bytes
 
 ORDER = 3
 #: Bytes of labelled text (about) that each language's tree is learnt from, and the
@@ -174,9 +174,12 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return build_model(names, byte_counts, counts4, CLASSES, CONTEXTS)
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
+                       carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte (of the language found) of every whole text.
 
+    The text and other columns are passed on where asked for.
+
     The score is the posterior of the language under equal priors, exact ties go to the
     first name. A null text, one without a letter, or any text when nothing was learnt is
     ``und`` with score 0. Repeated rows each keep a row, other columns are ignored.
@@ -195,7 +198,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
                 found = (m.names[best], float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(raw)))
             for key, value in zip(out, found, strict=True):
                 out[key].append(value)
-        return out | {"doc_id": batch.column(0)}
+        return out
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(plain, identify, "doc_id bigint, lang_pred string, score double, bits_per_byte double")
+    return map_texts(docs, identify, "lang_pred string, score double, bits_per_byte double", id_col, text_col, carry, with_text)

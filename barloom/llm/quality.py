@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHashes, map_batches, mix, text_bytes
+from barloom.llm.common import WordHashes, map_batches, map_texts, mix, text_bytes
 
 #: Weights, as a power of two.
 BITS = 18
@@ -101,9 +101,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return np.average([np.frombuffer(r["w"], np.float32) for r in learnt], axis=0, weights=[r["n"] for r in learnt]).astype(np.float32)
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text",
+                  carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """doc_id and score (0 to 1, higher is better) of every row's whole text.
 
+    The text and other columns are passed on where asked for.
+
     An empty or null text scores by the bias alone; without weights every score is 0.5.
     Repeated rows each keep a row, other columns are ignored.
     """
@@ -115,7 +118,6 @@ def score_quality(docs: DataFrame, weights: np.ndarray | None, id_col: str = "do
         for i, text in enumerate(text_bytes(batch.column(1))):
             h, words = features(text)
             raw[i] = w[-1] + w[h].sum(dtype=np.float64) * SCALE / max(1, words)
-        return {"doc_id": batch.column(0), "score": 1.0 / (1.0 + np.exp(-np.clip(raw, -35, 35)))}
+        return {"score": 1.0 / (1.0 + np.exp(-np.clip(raw, -35, 35)))}
 
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(plain, score, "doc_id bigint, score double")
+    return map_texts(docs, score, "score double", id_col, text_col, carry, with_text)
