@@ -363,34 +363,49 @@ def gate_breakdown(spark, sf_dir):
 
 
 # Replies built from events: clean, fenced, broken, out of range, unknown word.
-_REPLY_SQL = """replies AS (SELECT event_id, event_type AS asset, ts AS signal_time, CASE event_id % 7
+_REPLY_SQL = """replies AS (SELECT event_id, event_type AS asset, ts AS signal_time, CASE event_id % 13
   WHEN 0 THEN '{"decision": "approve", "confidence": 0.9, "reason": "' || event_type || '"}'
   WHEN 1 THEN 'Sure: {"decision": "REJECT ", "confidence": 0.3, "reason": "weak"} done'
   WHEN 2 THEN 'no json here'
   WHEN 3 THEN '{"decision": "approve", "confidence": 7.5, "reason": "too sure"}'
   WHEN 4 THEN '{"decision": "maybe", "confidence": "n/a"}'
   WHEN 5 THEN '{broken'
+  WHEN 6 THEN '{''decision'': ''approve'', ''confidence'': 0.9}'
+  WHEN 7 THEN '{"decision": "approve", "confidence": 0.9} or {"decision": "reject"}'
+  WHEN 8 THEN '{"decision": "approve", "confidence": "nan", "reason": "odd"}'
+  WHEN 9 THEN '{"decision": "approve", "confidence": "0.9d", "reason": "odd"}'
+  WHEN 10 THEN '{"decision": "approve", "confidence": 0.5}, {"decision": "approve", "confidence": 0.5}'
+  WHEN 11 THEN '{"decision": "approve", "confidence": " 0.25 ", "reason": "text"}'
   ELSE '{"decision": "approve", "confidence": ' || (event_id % 100) / 100.0 || ', "reason": "ok"}' END AS text FROM events)"""
 
 
 def replies(spark, sf_dir):
-    n = F.col("event_id") % 7
+    n = F.col("event_id") % 13
     text = (F.when(n == 0, F.concat(F.lit('{"decision": "approve", "confidence": 0.9, "reason": "'), F.col("event_type"), F.lit('"}')))
             .when(n == 1, 'Sure: {"decision": "REJECT ", "confidence": 0.3, "reason": "weak"} done')
             .when(n == 2, "no json here")
             .when(n == 3, '{"decision": "approve", "confidence": 7.5, "reason": "too sure"}')
             .when(n == 4, '{"decision": "maybe", "confidence": "n/a"}')
             .when(n == 5, "{broken")
+            .when(n == 6, "{'decision': 'approve', 'confidence': 0.9}")
+            .when(n == 7, '{"decision": "approve", "confidence": 0.9} or {"decision": "reject"}')
+            .when(n == 8, '{"decision": "approve", "confidence": "nan", "reason": "odd"}')
+            .when(n == 9, '{"decision": "approve", "confidence": "0.9d", "reason": "odd"}')
+            .when(n == 10, '{"decision": "approve", "confidence": 0.5}, {"decision": "approve", "confidence": 0.5}')
+            .when(n == 11, '{"decision": "approve", "confidence": " 0.25 ", "reason": "text"}')
             .otherwise(F.concat(F.lit('{"decision": "approve", "confidence": '),
                                 ((F.col("event_id") % 100) / F.lit(100.0)).cast("string"), F.lit(', "reason": "ok"}'))))
     return t.table(spark, sf_dir, "events").select(
         "event_id", F.col("event_type").alias("asset"), F.col("ts").alias("signal_time"), text.alias("text"))
 
 
-PARSED = """parsed AS (SELECT event_id, asset, signal_time, CASE event_id % 7 WHEN 0 THEN 'approve' WHEN 3 THEN 'approve' WHEN 6 THEN 'approve' ELSE 'reject' END AS decision,
-  CASE event_id % 7 WHEN 0 THEN 0.9 WHEN 1 THEN 0.3 WHEN 3 THEN 1.0 WHEN 6 THEN (event_id % 100) / 100.0 ELSE 0.0 END::DOUBLE AS confidence,
-  CASE event_id % 7 WHEN 0 THEN asset WHEN 1 THEN 'weak' WHEN 2 THEN 'unparseable response' WHEN 3 THEN 'too sure' WHEN 4 THEN ''
-    WHEN 5 THEN 'unparseable response' ELSE 'ok' END AS reason FROM replies)"""
+PARSED = r"""bodies AS (SELECT *, nullif(regexp_extract(text, '\{.*\}', 0, 's'), '') AS body FROM replies),
+objects AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS obj FROM bodies),
+fields AS (SELECT *, lower(trim(json_extract_string(obj, '$.decision'))) AS d, trim(json_extract_string(obj, '$.confidence')) AS c,
+  json_extract_string(obj, '$.reason') AS r FROM objects),
+parsed AS (SELECT event_id, asset, signal_time, CASE WHEN d IN ('approve', 'reject') THEN d ELSE 'reject' END AS decision,
+  least(greatest(CASE WHEN regexp_full_match(coalesce(c, ''), '[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?') THEN CAST(c AS DOUBLE) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE) AS confidence,
+  CASE WHEN obj IS NULL THEN 'unparseable response' ELSE left(coalesce(r, ''), 500) END AS reason FROM fields)"""
 
 
 @query(q.with_(_REPLY_SQL, PARSED) + "SELECT event_id, decision, confidence, reason FROM parsed")
