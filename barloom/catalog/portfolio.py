@@ -51,8 +51,8 @@ def stats_sql(pnl: str, keys: str, ret: str = "net", name: str = "st") -> str:
     extra = f"{keys}, " if keys else ""
     return f"""{name}_c AS (SELECT *, product(1 + {ret}) OVER ({part}ORDER BY d) AS curve FROM {pnl}),
 {name}_d AS (SELECT *, (curve - max(curve) OVER ({part}ORDER BY d)) / max(curve) OVER ({part}ORDER BY d) AS dd FROM {name}_c),
-{name} AS (SELECT {extra}count(*) AS n_days, round(product(1 + {ret}) - 1, 7) AS total_return, round((1 + avg({ret})) ** 365 - 1, 5) AS ann_return,
-    round(avg({ret}) / stddev_samp({ret}) * sqrt(365), 7) AS sharpe, round(avg({ret}), 9) AS daily_mean, round(stddev_samp({ret}), 9) AS daily_vol,
+{name} AS (SELECT {extra}count(*) AS n_days, round(product(1 + {ret}) - 1, 7) AS total_return, round((1 + avg({ret})) ** 52 - 1, 5) AS ann_return,
+    round(avg({ret}) / stddev_samp({ret}) * sqrt(52), 7) AS sharpe, round(avg({ret}), 9) AS daily_mean, round(stddev_samp({ret}), 9) AS daily_vol,
     round(min(dd), 8) AS max_drawdown, round(avg(CAST({ret} > 0 AS INT)), 9) AS hit_rate FROM {name}_d {'GROUP BY ' + keys if keys else ''})"""
 
 
@@ -60,6 +60,8 @@ STATS_DIGITS = dict(total_return=7, ann_return=5, sharpe=7, daily_mean=9, daily_
 PNL_DIGITS = dict(gross=9, cost_paid=9, turnover=9, net=9)
 PNL_OUT = "day, round(gross, 9) AS gross, round(cost_paid, 9) AS cost_paid, round(turnover, 9) AS turnover, round(net, 9) AS net"
 M = 5
+#: The panel has a row a week.
+WEEKS = 52
 _BASE = q.PANEL + ",\n" + mom_sql(14)
 _BOOK = _BASE + ",\n" + book_sql("mom", M)
 VOL = f"""ret AS (SELECT d, asset, close / {LAGG('close', 1)} - 1 AS r FROM grid),
@@ -165,21 +167,21 @@ def book_backtest_with_funding(spark, sf_dir):
 
 @query(q.with_(_BOOK, pnl_sql("book", "0.0004")) + """, v AS (SELECT *, CASE WHEN count(net) OVER w = 30 THEN stddev_samp(net) OVER w END AS rv FROM pnl
   WINDOW w AS (ORDER BY d ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, coalesce(least(0.20 / sqrt(365) / (rv + 1e-9), 3.0), 1.0) AS leverage FROM v)
+l AS (SELECT *, coalesce(least(0.20 / sqrt(52) / (rv + 1e-9), 3.0), 1.0) AS leverage FROM v)
 SELECT day, round(leverage, 7) AS leverage, round(net * leverage, 9) AS scaled FROM l""")
 def volatility_scaled_book(spark, sf_dir):
     ix = indexed(spark, sf_dir)
-    out = pf.volatility_scale(pf.backtest_book(ix, base_book(ix), 0.0004))
+    out = pf.volatility_scale(pf.backtest_book(ix, base_book(ix), 0.0004), periods=WEEKS)
     return rounded(out.select("day", "leverage", "scaled"), leverage=7, scaled=9)
 
 
 @query(q.with_(_BOOK, pnl_sql("book", "0.0004"), stats_sql("pnl", "")) + "SELECT * FROM st")
 def equity_statistics(spark, sf_dir):
     ix = indexed(spark, sf_dir)
-    return rounded(pf.equity_stats(pf.backtest_book(ix, base_book(ix), 0.0004), []), **STATS_DIGITS)
+    return rounded(pf.equity_stats(pf.backtest_book(ix, base_book(ix), 0.0004), [], periods=WEEKS), **STATS_DIGITS)
 
 
-_LOOKS = [3, 7, 14]
+_LOOKS = [3, 7, 14, 30]
 _GRID = "feat AS (" + " UNION ALL ".join(
     f"SELECT '{kind}_{k}' AS config_id, d, day, asset, {s}({LAGG('close', 1)} / {LAGG('close', k + 1)} - 1) AS value FROM grid"
     for kind, s in (("momentum", ""), ("reversal", "-")) for k in _LOOKS) + ")"
@@ -195,13 +197,13 @@ def sweep_pnl(spark, sf_dir):
 
 @query(_SWEEP + "SELECT * FROM st")
 def factor_sweep(spark, sf_dir):
-    """Two factors x three look-backs, all in one job."""
-    return rounded(pf.equity_stats(sweep_pnl(spark, sf_dir), ["config_id"]), **STATS_DIGITS)
+    """Two factors x four look-backs, all in one job."""
+    return rounded(pf.equity_stats(sweep_pnl(spark, sf_dir), ["config_id"], periods=WEEKS), **STATS_DIGITS)
 
 
 @query(_SWEEP + "SELECT config_id, sharpe FROM st ORDER BY sharpe DESC, config_id DESC LIMIT 1")
 def factor_sweep_best(spark, sf_dir):
-    return rounded(pf.best_config(pf.equity_stats(sweep_pnl(spark, sf_dir), ["config_id"])), sharpe=7)
+    return rounded(pf.best_config(pf.equity_stats(sweep_pnl(spark, sf_dir), ["config_id"], periods=WEEKS)), sharpe=7)
 
 
 _ABL = q.with_(_FBASE, ZS, COMP, VOL, book_sql("mom", M), VT, VT.replace("vt", "vc").replace("FROM mom WHERE", "FROM comp WHERE").replace("mom.*", "comp.*"),
@@ -225,14 +227,14 @@ def ablation_pnl(spark, sf_dir):
 @query(_ABL + "SELECT * FROM st")
 def book_ablation(spark, sf_dir):
     """Equal weight, volatility target, plus carry; laddered, with funding."""
-    return rounded(pf.equity_stats(ablation_pnl(spark, sf_dir), ["config_id"]), **STATS_DIGITS)
+    return rounded(pf.equity_stats(ablation_pnl(spark, sf_dir), ["config_id"], periods=WEEKS), **STATS_DIGITS)
 
 
 @query(q.with_(_BOOK, pnl_sql("book", "0.0004"), """hs AS (SELECT *, 'FULL' AS segment FROM pnl UNION ALL SELECT *,
   CASE WHEN d < (SELECT count(*) FROM pnl) // 2 THEN 'H1' ELSE 'H2' END FROM pnl)""", stats_sql("hs", "segment")) + "SELECT * FROM st")
 def half_sample_stats(spark, sf_dir):
     ix = indexed(spark, sf_dir)
-    return rounded(pf.equity_stats(pf.half_split(pf.backtest_book(ix, base_book(ix), 0.0004), []), ["segment"]), **STATS_DIGITS)
+    return rounded(pf.equity_stats(pf.half_split(pf.backtest_book(ix, base_book(ix), 0.0004), []), ["segment"], periods=WEEKS), **STATS_DIGITS)
 
 
 @query(q.with_(_BOOK, pnl_sql("book", "0.0004")) + "SELECT year(day) AS year, round(product(1 + net) - 1, 8) AS year_return FROM pnl GROUP BY 1")
@@ -248,7 +250,7 @@ def latest_book(spark, sf_dir):
     return pf.latest_book(base_book(pf.index_days(panel)), b.calendar(panel))
 
 
-_ROT = q.with_(q.PANEL) + """, sc AS (SELECT day AS ts, asset, close, ('0x' || substr(md5(asset || '_' || epoch_us(day)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS score FROM panel),
+_ROT = q.with_(q.PANEL) + """, sc AS (SELECT day AS ts, asset, close, ('0x' || substr(md5(asset || '_' || epoch_us(day)), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS score FROM panel),
 cm AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT ts FROM sc GROUP BY ts HAVING count(DISTINCT asset) = (SELECT count(DISTINCT asset) FROM sc))),
 ck AS (SELECT ts, i // 6 AS c FROM cm WHERE i % 6 = 0),
 mv AS (SELECT * FROM (SELECT sc.*, c, lead(close) OVER (PARTITION BY asset ORDER BY c) / close - 1 AS r FROM sc JOIN ck USING (ts)) WHERE r IS NOT NULL),

@@ -10,7 +10,7 @@ TICKS = """ticks AS (
          l_orderkey, l_linenumber, l_extendedprice, l_discount, l_returnflag
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-_ORD = "l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) % 1048576"
+_ORD = "l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 BARS = TICKS + f""", bars AS (
   SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts) - 1 AS pos FROM (

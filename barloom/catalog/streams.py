@@ -26,7 +26,7 @@ def stream_tick_bars(spark, sf_dir):
 
 _ORDERS = """od AS (SELECT asset || '_' || epoch_us(ts + INTERVAL 4 hour) AS order_id, asset, CASE WHEN close < open THEN 1 ELSE -1 END AS side,
     ts + INTERVAL 4 hour AS signal_time, close - CASE WHEN close < open THEN 1 ELSE -1 END * (0.15::DOUBLE * (high - low)) AS limit_price, high - low AS atr
-  FROM b4 WHERE high > low AND hour(ts) % 8 = 0),
+  FROM b4 WHERE high > low),
 o2 AS (SELECT *, limit_price + side * (2.0::DOUBLE * atr) AS pt_price, limit_price - side * (1.0::DOUBLE * atr) AS sl_price, signal_time + INTERVAL 12 hour AS deadline FROM od),
 tk AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts, seq) AS rn FROM sticks),
 f0 AS (SELECT o.order_id, min(rn) FILTER (WHERE CASE WHEN side > 0 THEN price <= limit_price ELSE price >= limit_price END) AS f, min(rn) FILTER (WHERE k.ts >= deadline) AS e
@@ -45,8 +45,8 @@ _COLS = "order_id, asset, side, status, fill_time, round(fill_price, 7) AS fill_
 
 
 def shadow_orders(spark, sf_dir):
-    """Orders from every other four-hour bar: fade its direction, sized by its range."""
-    bars = b.trade_bars(t.stream_ticks(spark, sf_dir), "4h", seq_in_time_order=True).filter((F.col("high") > F.col("low")) & (F.hour("ts") % 8 == 0))
+    """Orders from every four-hour bar: fade its direction, sized by its range."""
+    bars = b.trade_bars(t.stream_ticks(spark, sf_dir), "4h", seq_in_time_order=True).filter((F.col("high") > F.col("low")))
     return od.price_orders(bars.select(
         "asset", (F.col("ts") + F.expr("INTERVAL 4 HOURS")).alias("signal_time"),
         F.when(F.col("close") < F.col("open"), 1).otherwise(-1).alias("side"), "close",

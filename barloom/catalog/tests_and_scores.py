@@ -46,42 +46,53 @@ def significance_verdicts(spark, sf_dir):
     return rounded(out, win_rate=9, breakeven=9, wilson_lo=8, wilson_hi=8, p_value=7, p_deflated=7)
 
 
-_ITER = 50
-_HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_PERMUTATIONS, _RESAMPLES = 10_000, 5_000
+_SEVEN = "('0x' || substr(md5({}), {}, 7))::BIGINT"
+_ITS = "its AS (SELECT it, {} + 1 AS r, {} + 1 AS t FROM range(1, {{}}) x(it))".format(_SEVEN.format("it::VARCHAR", 1), _SEVEN.format("it::VARCHAR", 8))
+
+
+def _seeded(name: str) -> str:
+    """Four numbers of a row's name."""
+    return ", ".join(f"{_SEVEN.format(name, 1 + 7 * i)} AS s{i}" for i in range(4))
+
+
+_DRAW = "(((s0 * r + s1) % 2147483647) * 2147483648 + (s2 * t + s3) % 2147483647)"
 
 
 @query(q.with_(_SC, recursive=True) + f""", pool AS (SELECT signal, trade_id, label, p_win >= 0.7 AS sel FROM scored),
 facts AS (SELECT signal, avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS n_selected, count(*) AS n_pool FROM pool GROUP BY signal),
-dr AS (SELECT signal, it, label, row_number() OVER (PARTITION BY signal, it ORDER BY {_HASH.format("trade_id || '_' || it")}, trade_id) AS rk
-  FROM pool, range(1, {_ITER + 1}) r(it)),
+{_ITS.format(_PERMUTATIONS + 1)}, sp AS (SELECT *, {_seeded("trade_id")} FROM pool),
+dr AS (SELECT signal, it, label, row_number() OVER (PARTITION BY signal, it ORDER BY {_DRAW}, trade_id) AS rk FROM sp, its),
 nul AS (SELECT signal, it, avg(label) AS m FROM dr JOIN facts USING (signal) WHERE rk <= n_selected GROUP BY signal, it)
 SELECT signal, n_selected, n_pool, round(any_value(stat), 9) AS statistic, round(avg(m), 8) AS null_mean, round(stddev_pop(m), 8) AS null_std,
-  round(quantile_cont(m, 0.95), 8) AS null_p95, round((count(*) FILTER (WHERE m >= stat) + 1) / {_ITER + 1}.0::DOUBLE, 9) AS p_value
+  round(quantile_cont(m, 0.95), 8) AS null_p95, round((count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE, 9) AS p_value
 FROM nul JOIN facts USING (signal) GROUP BY signal, n_selected, n_pool""")
 def permutation_test(spark, sf_dir):
     trades = scored_trades(spark, sf_dir)
-    out = ec.permutation_test(trades, ["signal"], F.col("label"), F.col("p_win") >= 0.7, _ITER)
+    out = ec.permutation_test(trades, ["signal"], F.col("label"), F.col("p_win") >= 0.7, _PERMUTATIONS)
     return rounded(out, statistic=9, null_mean=8, null_std=8, null_p95=8, p_value=9)
 
 
 @query(q.with_(_SC, recursive=True) + f""", v AS (SELECT signal, ret - 0.0008 AS v, row_number() OVER (PARTITION BY signal ORDER BY ts, trade_id) - 1 AS idx,
     count(*) OVER (PARTITION BY signal) AS n FROM scored),
-d AS (SELECT v.signal, v.n, it, {_HASH.format("v.signal || '_' || it || '_' || v.idx")} % v.n AS pick FROM v, range(1, {_ITER + 1}) r(it)),
+{_ITS.format(_RESAMPLES + 1)}, sv AS (SELECT *, {_seeded("signal || '_' || idx")} FROM v),
+d AS (SELECT signal, n, it, {_DRAW} % n AS pick FROM sv, its),
 m AS (SELECT d.signal, d.n, d.it, sum(v.v) / any_value(d.n) AS mean FROM d JOIN v ON v.signal = d.signal AND v.idx = d.pick GROUP BY d.signal, d.n, d.it)
-SELECT signal, n, round((count(*) FILTER (WHERE mean <= 0) + 1) / {_ITER + 1}.0::DOUBLE, 9) AS boot_p FROM m GROUP BY signal, n""")
+SELECT signal, n, round((count(*) FILTER (WHERE mean <= 0) + 1) / {_RESAMPLES + 1}.0::DOUBLE, 9) AS boot_p FROM m GROUP BY signal, n""")
 def bootstrap_mean(spark, sf_dir):
     trades = labelled(spark, sf_dir).withColumn("trade_id", F.concat_ws("_", *KEYS[:2], F.col("bar").cast("string")))
-    return rounded(ec.bootstrap_mean_pvalue(trades, ["signal"], F.col("ret") - 0.0008, _ITER), boot_p=9)
+    return rounded(ec.bootstrap_mean_pvalue(trades, ["signal"], F.col("ret") - 0.0008, _RESAMPLES), boot_p=9)
 
 
-@query(q.with_(_SC, recursive=True) + f""", steps AS (SELECT list(c ORDER BY k) AS s FROM (SELECT k, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(0, 12) r(k))),
-d AS (SELECT signal, it, ret - 0.0008 AS v, {_HASH.format("trade_id || '_' || it")} / 4294967296.0::DOUBLE AS u FROM scored, range(1, {_ITER + 1}) r(it)),
+@query(q.with_(_SC, recursive=True) + f""", steps AS (SELECT list(c ORDER BY k) AS s FROM (SELECT k, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(0, 20) r(k))),
+{_ITS.format(_RESAMPLES + 1)}, sv AS (SELECT *, {_seeded("trade_id")} FROM scored),
+d AS (SELECT signal, it, ret - 0.0008 AS v, {_DRAW} / 4611686018427387904.0::DOUBLE AS u FROM sv, its),
 w AS (SELECT d.*, len(list_filter(s, lambda x: u >= x)) AS w FROM d, steps),
 m AS (SELECT signal, it, sum(v * w) / sum(w) AS mean, count(*) AS n FROM w GROUP BY ALL)
-SELECT signal, n, round((count(*) FILTER (WHERE mean <= 0) + 1) / {_ITER + 1}.0::DOUBLE, 9) AS boot_p FROM m GROUP BY signal, n""")
+SELECT signal, n, round((count(*) FILTER (WHERE mean <= 0) + 1) / {_RESAMPLES + 1}.0::DOUBLE, 9) AS boot_p FROM m GROUP BY signal, n""")
 def bootstrap_mean_poisson(spark, sf_dir):
     trades = labelled(spark, sf_dir).withColumn("trade_id", F.concat_ws("_", *KEYS[:2], F.col("bar").cast("string")))
-    return rounded(ec.poisson_bootstrap_pvalue(trades, ["signal"], F.col("ret") - 0.0008, _ITER), boot_p=9)
+    return rounded(ec.poisson_bootstrap_pvalue(trades, ["signal"], F.col("ret") - 0.0008, _RESAMPLES), boot_p=9)
 
 
 @query(q.with_(_LAB, _COUNTS, _TAIL, recursive=True) + "SELECT signal, k, round(1 - (1 - p) ** k, 7) AS p_deflated FROM tail, (VALUES (1), (5), (20)) v(k)")
@@ -93,7 +104,7 @@ def deflated_pvalues(spark, sf_dir):
 
 
 # Positions from a repeatable score on bars.
-_P = "(('0x' || substr(md5(asset || '_' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_P = "(('0x' || substr(md5(asset || '_' || pos), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)"
 _CUT = repr(NormalDist().inv_cdf(0.9))
 POSITIONS = f"""pr AS (SELECT asset, ts, pos, close, close / {q.lag('close')} - 1 AS ret_1d, {_P} AS p_up,
     CASE WHEN pos >= 49 THEN avg(close) OVER (PARTITION BY asset ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END AS sma FROM bars),
@@ -126,7 +137,7 @@ def positions_from_scores(spark, sf_dir):
     return rounded(out.select("asset", "pos", "position", "size"), size=8)
 
 
-_D = "(('0x' || substr(md5(asset || '_' || pos || '_d'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_D = "(('0x' || substr(md5(asset || '_' || pos || '_d'), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)"
 
 
 @query(q.with_(q.BARS, POSITIONS) + f""", c AS (SELECT *, p_up AS pu, (1 - p_up) * {_D} AS pd FROM pr),
@@ -201,9 +212,10 @@ c AS (SELECT *, 'taker' AS cost_name, ret - 0.004 AS net FROM pool WHERE sel UNI
 e AS (SELECT cost_name, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_wins, avg(label) AS wr, coalesce(sum(net) FILTER (WHERE net > 0), 0) AS w,
   coalesce(sum(net) FILTER (WHERE net <= 0), 0) AS l, avg(net) AS x FROM c GROUP BY cost_name),
 facts AS (SELECT avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS ns FROM pool),
-dr AS (SELECT it, label, row_number() OVER (PARTITION BY it ORDER BY {_HASH.format("trade_id || '_' || it")}, trade_id) AS rk FROM pool, range(1, 21) r(it)),
+{_ITS.format(_PERMUTATIONS + 1)}, sp AS (SELECT *, {_seeded("trade_id")} FROM pool),
+dr AS (SELECT it, label, row_number() OVER (PARTITION BY it ORDER BY {_DRAW}, trade_id) AS rk FROM sp, its),
 nul AS (SELECT it, avg(label) AS m FROM dr, facts WHERE rk <= ns GROUP BY it),
-pm AS (SELECT (count(*) FILTER (WHERE m >= stat) + 1) / 21.0::DOUBLE AS perm_p FROM nul, facts)
+pm AS (SELECT (count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE AS perm_p FROM nul, facts)
 SELECT cost_name, n, n_wins, round(wr, 8) AS win_rate, round(w / abs(l), 7) AS profit_factor, round(x, 7) AS expectancy, round(perm_p, 8) AS perm_p FROM e, pm""")
 def selection_economics(spark, sf_dir):
     """A ranked selection at two costs with its permutation test."""
@@ -211,7 +223,7 @@ def selection_economics(spark, sf_dir):
     chosen = ec.per_cost(g.by_threshold(pool, 0.6), {"taker": 0.004, "maker": 0.0008})
     rows = ec.net_economics(chosen, ["cost_name"], F.col("cost"))
     tagged = pool.withColumn("trade_id", F.concat_ws("_", "asset", "signal", F.col("bar").cast("string")))
-    perm = ec.permutation_test(tagged, [], F.col("label"), F.col("score") >= 0.6, 20).select(F.col("p_value").alias("perm_p"))
+    perm = ec.permutation_test(tagged, [], F.col("label"), F.col("score") >= 0.6, _PERMUTATIONS).select(F.col("p_value").alias("perm_p"))
     return rounded(ec.attach_facts(rows, perm, []), win_rate=8, profit_factor=7, expectancy=7, perm_p=8)
 
 
@@ -226,7 +238,7 @@ def fold_stability(spark, sf_dir):
 
 
 # Fills: returned items are sells.
-_FILLS = """fills AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset, ts ORDER BY l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) % 1048576) AS seq,
+_FILLS = """fills AS (SELECT asset, ts, row_number() OVER (PARTITION BY asset, ts ORDER BY l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) AS seq,
   CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, price, qty FROM ticks)"""
 
 
@@ -362,7 +374,7 @@ def threshold_table(spark, sf_dir):
 
 
 _LEAFS = """leafs AS (SELECT trade_id AS row_id, ts < TIMESTAMP '1999-06-01' AS train, CAST(tree AS INT) AS tree,
-  CAST(floor(sqrt(('0x' || substr(md5(trade_id || '_' || tree), 1, 8))::BIGINT % 64)) AS INT) AS leaf FROM scored, range(0, 10) r(tree))"""
+  CAST(floor(sqrt(('0x' || substr(md5(trade_id || '_' || tree), 1, 15))::BIGINT % 64)) AS INT) AS leaf FROM scored, range(0, 10) r(tree))"""
 
 
 @query(q.with_(_SC, _LEAFS, recursive=True) + """, o AS (SELECT tree, leaf, count(*) AS k FROM leafs WHERE train GROUP BY ALL),
@@ -380,7 +392,7 @@ def leaf_novelty(spark, sf_dir):
     return rounded(out, support=9, score=9)
 
 
-@query(q.with_(q.FEATURES, recursive=True) + f""", x AS (SELECT asset, pos, vol_regime, ('0x' || substr(md5(asset || '_' || pos || '_x'), 1, 8))::BIGINT % 60 AS adx_prior,
+@query(q.with_(q.FEATURES, recursive=True) + f""", x AS (SELECT asset, pos, vol_regime, ('0x' || substr(md5(asset || '_' || pos || '_x'), 1, 15))::BIGINT % 60 AS adx_prior,
   coalesce(ret_1d, 0) AS tr_, -coalesce(ret_1d, 0) * 0.5 AS rr FROM feat),
 w AS (SELECT *, least(greatest((adx_prior - 20) / 20.0::DOUBLE, 0), 1) AS weight, coalesce({q.lag('vol_regime')}, 1.0) AS v FROM x)
 SELECT asset, pos, weight, round((weight * tr_ + (1 - weight) * rr) * CASE WHEN v > 2 THEN 0.5 ELSE 1 END, 7) AS blend_ret FROM w""")

@@ -207,7 +207,7 @@ def quote_touch_study(spark, sf_dir):
 
 # ------------------------------------------------------------------ gating
 
-UNIT = "(('0x' || substr(md5(trade_id || '_{salt}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+UNIT = "(('0x' || substr(md5(trade_id || '_{salt}'), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE)"
 SCORED = """scored AS (SELECT *, {p} AS p_win, {n} < 0.2 AS is_novel,
     CASE WHEN {a} < 0.45 THEN 1.0::DOUBLE WHEN {a} < 0.9 THEN 0.0::DOUBLE END AS alignment
   FROM (SELECT *, asset || '_' || signal || '_' || bar AS trade_id FROM lab))""".format(
@@ -419,13 +419,12 @@ _SHOWN = [f for f in g.REVIEW_FEATURES if not f.startswith("funding")]
 
 
 @query(q.with_(SIDES, pool_sql(["reversion"]), recursive=True) + f"""SELECT asset, ts, signal, concat_ws(chr(10), 'Asset: ' || asset, 'Signal type: ' || {_CASE},
-  'Candidate: ' || CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END || ' at close ' || format('{{:.6g}}', close * 0.731::DOUBLE),
+  'Candidate: ' || CASE WHEN side > 0 THEN 'LONG' ELSE 'SHORT' END || ' at close ' || format('{{:.6g}}', close),
   'ATR(14, price units): ' || format('{{:.6g}}', atr), """ + ", ".join(
     f"""'{f}: ' || format('{{:.6g}}', "{f}")""" for f in _SHOWN) + ", '" + g.CLOSING.replace("'", "''") + "') AS text FROM cand")
 def review_texts(spark, sf_dir):
-    """Review texts with prices shown in a second currency at a fixed rate."""
+    """What a reviewer is shown for each candidate."""
     _, cand = candidate_pool(spark, sf_dir, ["reversion"], extra=_SHOWN)
-    cand = cand.withColumn("close", F.col("close") * 0.731)
     return cand.select("asset", "ts", "signal", g.review_text(cand.columns).alias("text"))
 
 

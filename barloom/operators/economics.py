@@ -67,43 +67,76 @@ def verdicts(counts: DataFrame, keys: list[str], payoff: float, cost: float = 0.
 
 # ---------------------------------------------------------------- resampling
 
-HASH_BUCKETS = 4096
+#: Draws are whole numbers below 2 to this power; both halves are taken modulo a prime.
+DRAW_BITS = 62
+_PRIME = (1 << 31) - 1
+#: Draws this many standard deviations around the expected cut are ranked one by one.
+CUT_WIDTH = 8.0
 
 
-def draw_hash(*parts: Column) -> Column:
-    """Repeatable 32-bit draw from the text of ``parts``."""
+def _seven(text: Column, first: int) -> Column:
+    """Seven hexadecimal digits of the text's digest as a number."""
+    return F.conv(F.substring(F.md5(text), first, 7), 16, 10).cast("long")
+
+
+def row_seed(*parts: Column) -> Column:
+    """Four numbers of 28 bits from a row's name; hashed once, whatever the number of iterations."""
     text = F.concat_ws("_", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.array(*[_seven(text, 1 + 7 * i) for i in range(4)])
+
+
+def iterations(spark, n_iter: int) -> DataFrame:
+    """_it and its two multipliers."""
+    text = F.col("_it").cast("string")
+    return spark.range(1, n_iter + 1).select(F.col("id").alias("_it")).select(
+        "_it", (_seven(text, 1) + 1).alias("_r"), (_seven(text, 8) + 1).alias("_t"))
+
+
+def draws_of(rows: DataFrame, n_iter: int) -> DataFrame:
+    """Every row (with ``_seed``) once per iteration, with ``_h``: 62 bits, independent between rows.
+
+    Pairs with the iterations' multipliers, which are one row per iteration and broadcast.
+    """
+    its = F.broadcast(iterations(rows.sparkSession, n_iter).withColumn("_one", F.lit(1)))
+    seed = lambda i: F.col("_seed")[i]
+    high, low = (seed(0) * F.col("_r") + seed(1)) % _PRIME, (seed(2) * F.col("_t") + seed(3)) % _PRIME
+    paired = rows.withColumn("_one", F.lit(1)).join(its, "_one")
+    return paired.withColumn("_h", high * F.lit(1 << 31) + low).drop("_one", "_seed", "_r", "_t")
 
 
-def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int,
+def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int = 10_000,
                      trade_id: str = "trade_id") -> DataFrame:
     """Does the selection beat random picks of the same size?
 
-    Each iteration ranks the pool by a hash and takes the first ``n_selected``.
-    Ranks are never computed over a whole pool: hashes are counted in buckets,
-    only the bucket the cut falls into is ordered row by row.
+    Each iteration takes the ``n_selected`` rows of the smallest draws. Where the cut
+    falls is known within a few standard deviations: draws below that strip are
+    summed, those inside it are ranked, and the rest is not touched. An iteration
+    whose cut is outside the strip is ranked as a whole.
     """
     base = cut_lineage(pool.select(
-        *keys, F.col(trade_id).alias("_id"), value.cast("double").alias("_v"), selected.alias("_sel")))
-    seen = base.groupBy(*keys).agg(
+        *keys, row_seed(F.col(trade_id)).alias("_seed"), F.col(trade_id).alias("_id"), value.cast("double").alias("_v"), selected.alias("_sel")))
+    seen = cut_lineage(base.groupBy(*keys).agg(
         F.avg(F.when(F.col("_sel"), F.col("_v"))).alias("statistic"),
-        F.sum(F.col("_sel").cast("long")).alias("n_selected"), F.count(F.lit(1)).alias("n_pool"))
-    draws = base.select(*keys, "_id", "_v", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("_it"))
-    draws = draws.withColumn("_h", draw_hash(F.col("_id"), F.col("_it")))
-    draws = draws.withColumn("_b", F.shiftright("_h", 20))
+        F.sum(F.col("_sel").cast("long")).alias("n_selected"), F.count(F.lit(1)).alias("n_pool")))
+    share = F.col("n_selected") / F.col("n_pool")
+    slack = CUT_WIDTH * F.sqrt(share * (1 - share) / F.col("n_pool"))
+    strip = seen.select(*keys, "n_selected", ((share - slack) * 2.0 ** DRAW_BITS).alias("_lo"), ((share + slack) * 2.0 ** DRAW_BITS).alias("_hi"))
+    placed = attach_facts(base.drop("_sel"), strip, keys)
     part = [*keys, "_it"]
-    counts = draws.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    stacked = counts.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-                            F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"))
-    stacked = attach_facts(stacked, seen.select(*keys, "n_selected"), keys)
-    cut = stacked.filter((F.col("_n0") < F.col("n_selected")) & (F.col("_n0") + F.col("_n") >= F.col("n_selected")))
-    cut = cut.select(*part, "_b", (F.col("n_selected") - F.col("_n0")).alias("_take"), "_s0")
-    inside = draws.join(cut, [*part, "_b"])
+    near = draws_of(placed, n_iter).filter(F.col("_h") <= F.col("_hi"))
+    inside = F.col("_h") >= F.col("_lo")
+    below = near.groupBy(*part).agg(
+        F.count(F.when(~inside, 1)).alias("_n0"), F.coalesce(F.sum(F.when(~inside, F.col("_v"))), F.lit(0.0)).alias("_s0"),
+        F.count(F.lit(1)).alias("_n1"), F.first("n_selected").alias("_want"))
+    below = cut_lineage(below)
+    good = below.filter((F.col("_n0") <= F.col("_want")) & (F.col("_n1") >= F.col("_want")))
     rank = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
-    edge = inside.withColumn("_r", rank).filter(F.col("_r") <= F.col("_take")).groupBy(*part).agg(
-        (F.max("_s0") + F.sum("_v")).alias("_sum"))
+    ranked = near.filter(inside).select(*part, "_h", "_id", "_v").withColumn("_rank", rank)
+    edge = (good.join(ranked, part, "left").groupBy(*part).agg(
+        (F.first("_s0") + F.coalesce(F.sum(F.when(F.col("_rank") <= F.col("_want") - F.col("_n0"), F.col("_v"))), F.lit(0.0))).alias("_sum")))
+    missed = below.join(good.select(*part), part, "left_anti").select(*part, "_want")
+    whole = draws_of(placed, n_iter).join(missed, part).withColumn("_rank", rank)
+    edge = edge.unionByName(whole.groupBy(*part).agg(F.sum(F.when(F.col("_rank") <= F.col("_want"), F.col("_v"))).alias("_sum")))
     null = attach_facts(edge, seen.select(*keys, "n_selected", "statistic"), keys)
     null = null.withColumn("_mean", F.col("_sum") / F.col("n_selected"))
     summary = null.groupBy(*keys).agg(
@@ -134,43 +167,41 @@ def _bootstrap_p(means: DataFrame, keys: list[str], n_iter: int) -> DataFrame:
         F.first("_n").alias("n"))
 
 
-def bootstrap_mean_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int,
+def bootstrap_mean_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int = 5_000,
                           order: list[str] = ["ts", "trade_id"]) -> DataFrame:
     """Share of resampled means at or below zero, with replacement.
 
-    Every row stands for one draw per iteration and points at a hashed row
-    number of its own group, so draws are spread over all tasks.
+    Every row stands for one draw per iteration and points at a row number of its own
+    group, so draws are spread over all tasks; sums are combined before they are shuffled
+    where the values are few enough to be broadcast.
     """
     finite = values.select(*keys, *order, value.cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v") & (F.abs("_v") != float("inf")))
     finite = cut_lineage(finite)
-    rows = number_rows(finite, keys, order, time_bucket(F.col(order[0])), "_idx")
+    rows = cut_lineage(number_rows(finite, keys, order, time_bucket(F.col(order[0])), "_idx").select(*keys, "_idx", "_v"))
     sizes = finite.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2)
-    draws = attach_facts(rows.select(*keys, "_idx"), sizes, keys).withColumn(
-        "_it", F.explode(F.sequence(F.lit(1), F.lit(n_iter))))
-    pick = F.pmod(draw_hash(*[F.col(k) for k in keys], F.col("_it"), F.col("_idx")), F.col("_n"))
-    counted = draws.groupBy(*keys, "_n", "_it", pick.alias("_pick")).agg(F.count(F.lit(1)).alias("_times"))
-    picked = counted.withColumnRenamed("_pick", "_idx").join(rows.select(*keys, "_idx", "_v"), [*keys, "_idx"])
-    means = picked.groupBy(*keys, "_n", "_it").agg((F.sum(F.col("_v") * F.col("_times")) / F.first("_n")).alias("_mean"))
+    seeds = attach_facts(rows.select(*keys, row_seed(*[F.col(k) for k in keys], F.col("_idx")).alias("_seed")), sizes, keys)
+    picks = draws_of(seeds, n_iter).select(*keys, "_n", "_it", F.pmod("_h", F.col("_n")).alias("_idx"))
+    means = picks.join(rows, [*keys, "_idx"]).groupBy(*keys, "_n", "_it").agg((F.sum("_v") / F.col("_n")).alias("_mean"))
     return _bootstrap_p(means, keys, n_iter)
 
 
-def poisson_bootstrap_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int,
+def poisson_bootstrap_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int = 5_000,
                              trade_id: str = "trade_id") -> DataFrame:
     """Bootstrap by independent Poisson(1) weights: one aggregation, no join.
 
     The form for very large groups; weights come from a hash of row and
     iteration.
     """
-    steps, acc = [], 0.0
-    for k in range(12):
+    steps, acc, k = [], 0.0, 0
+    # As many steps as the resolution of the draw and of doubles can tell apart.
+    while not steps or acc < 1.0 and acc + math.exp(-1.0) / math.factorial(k) > acc:
         acc += math.exp(-1.0) / math.factorial(k)
         steps.append(acc)
-    finite = values.select(*keys, F.col(trade_id).alias("_id"), value.cast("double").alias("_v")).filter(
+        k += 1
+    finite = values.select(*keys, row_seed(F.col(trade_id)).alias("_seed"), value.cast("double").alias("_v")).filter(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    draws = finite.withColumn("_it", F.explode(F.sequence(F.lit(1), F.lit(n_iter))))
-    u = draw_hash(F.col("_id"), F.col("_it")) / F.lit(4294967296.0)
-    draws = draws.withColumn("_u", u)
+    draws = draws_of(finite, n_iter).withColumn("_u", F.col("_h") / F.lit(2.0 ** DRAW_BITS))
     weight = sum((F.col("_u") >= s).cast("int") for s in steps)
     means = draws.withColumn("_w", weight).groupBy(*keys, "_it").agg(
         (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_mean"), F.count(F.lit(1)).alias("_n"))
@@ -322,7 +353,7 @@ def fifo_round_trips(fills: DataFrame, fee: float = 0.001, order: list[str] = ["
     trips = part.groupBy("asset", *order).agg(
         F.sum(gross - paid).alias("pnl"), F.sum("_q").alias("matched"), F.first("qty").alias("qty"))
     # A sell only partly covered is skipped although the lots it took stay taken.
-    return trips.filter(F.col("qty") - F.col("matched") <= 1e-9).select("asset", *order, "qty", "pnl")
+    return trips.filter(F.col("qty") - F.col("matched") <= 1e-9 * F.greatest(F.lit(1.0), F.col("qty"))).select("asset", *order, "qty", "pnl")
 
 
 def round_trip_stats(trips: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Decision layer: thresholds, gates, overlap, ranking and review texts."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from barloom.functions.series import scan
 from barloom.operators.economics import attach_facts
@@ -209,11 +211,18 @@ REVIEW_FEATURES = ["RSI_14", "RSI_70", "ATR_ratio", "bb_width", "bb_position", "
 CLOSING = "Say approve if the figures bear out this bet in this direction; say reject if they are mixed, unclear or missing."
 
 
+@F.pandas_udf(StringType())
+def _six_digits(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None or v != v else f"{v:.6g}")
+
+
 def significant(value: Column) -> Column:
-    """Six significant digits without trailing zeros; exact decimal ties round up."""
-    digits = F.format_string("%.6g", value.cast("double"))
-    trimmed = F.regexp_replace(digits, r"(\.\d*?)0+(e|$)", "$1$2")
-    return F.regexp_replace(trimmed, r"\.(e|$)", "$1")
+    """Six significant digits of the exact binary value, ties to even.
+
+    The JVM's formatter rounds the shortest decimal form half up, so this is an
+    Arrow function; texts are made for the few candidates under review only.
+    """
+    return _six_digits(value.cast("double"))
 
 
 def review_text(columns: list[str]) -> Column:

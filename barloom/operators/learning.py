@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from barloom.operators import calibration as cal
 from barloom.operators import economics as ec
 from barloom.operators import gating as g
+from barloom.sources.tables import hash_uniform
 from barloom.session import cut_lineage
 
 SEED = 42
@@ -78,7 +79,7 @@ def search_table(model, session) -> DataFrame:
 
 def with_cv_fold(df: DataFrame, row_id: str, folds: int = 3) -> DataFrame:
     """Repeatable fold number from a hash of the row id."""
-    return df.withColumn("cv_fold", (ec.draw_hash(F.col(row_id), F.lit("cv")) % folds).cast("int"))
+    return df.withColumn("cv_fold", (hash_uniform(F.col(row_id), F.lit("cv")) % folds).cast("int"))
 
 
 def out_of_fold(train: DataFrame, columns: list[str], folds: int = 3, fold_col: str = "cv_fold", **options) -> DataFrame:

@@ -164,16 +164,16 @@ def config_days(keys: list[str]):
 
 
 def volatility_scale(pnl: DataFrame, keys: list[str] = [], target: float = 0.20, lookback: int = 30,
-                     cap: float = 3.0, extra: float = 1.0) -> DataFrame:
-    """Lever each day to a constant target volatility of the trailing returns."""
+                     cap: float = 3.0, extra: float = 1.0, periods: int = 365) -> DataFrame:
+    """Lever each row to a constant target volatility a year of ``periods`` rows, from the trailing returns."""
     w = config_days(keys).rowsBetween(-lookback, -1)
     vol = F.when(F.count("net").over(w) == lookback, F.stddev_samp("net").over(w))
-    lev = F.coalesce(F.least(F.lit(target / math.sqrt(365.0)) / (vol + 1e-9), F.lit(cap)), F.lit(1.0)) * extra
+    lev = F.coalesce(F.least(F.lit(target / math.sqrt(periods)) / (vol + 1e-9), F.lit(cap)), F.lit(1.0)) * extra
     return pnl.withColumn("leverage", lev).withColumn("scaled", F.col("net") * F.col("leverage"))
 
 
 def equity_stats(pnl: DataFrame, keys: list[str], ret: str = "net", periods: int = 365) -> DataFrame:
-    """Summary of a daily return series per config; the peak starts at the first point."""
+    """Summary of a return series (``periods`` rows a year) per config; the peak starts at the first point."""
     run = config_days(keys).rowsBetween(Window.unboundedPreceding, 0)
     curve = pnl.withColumn("_curve", F.product(1 + F.col(ret)).over(run))
     curve = curve.withColumn("_peak", F.max("_curve").over(run))

@@ -30,14 +30,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def print_order() -> Column:
-    """Order of prints as one long: order line first, then the low bits of the amount.
+    """Order of prints as one number: order, then line, then amount in cents.
 
     A fixed-width key keeps ``min_by``/``max_by`` in hash aggregation (a struct
-    would sort every tick partition); 40 bits of order key leave 20 for ties.
+    would sort every tick partition). A 38-digit decimal holds orders below 10^15,
+    lines below 10^10 and amounts below 10^13 cents without any of them wrapping.
     """
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return F.shiftleft(line, 20) + cents % 1048576
+    part = lambda c, digits: c.cast(f"decimal({digits},0)")
+    order = part(F.col("l_orderkey"), 15) * F.lit(10 ** 10).cast("decimal(11,0)") + part(F.col("l_linenumber"), 10)
+    cents = F.round(F.col("l_extendedprice") * 100)
+    return (part(order, 25) * F.expr("cast(10000000000000 as decimal(14,0))") + part(cents, 13)).cast("decimal(38,0)")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +118,9 @@ def book_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_uniform(*parts: Column) -> Column:
-    """Repeatable draw in [0, 2^32) from the text of ``parts``."""
-    return F.conv(F.substring(F.md5(F.concat_ws("_", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+    """Repeatable draw in [0, 2^60) from the text of ``parts``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("_", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
 def unit_draw(*parts: Column) -> Column:
-    return hash_uniform(*parts) / F.lit(4294967296.0)
+    return hash_uniform(*parts) / F.lit(2.0 ** 60)
