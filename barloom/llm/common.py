@@ -15,12 +15,12 @@ from pyspark.sql.types import StructType
 from barloom.session import cut_lineage
 
 #: Bytes of text packed into one row by ``pack_documents``; one longer document is a row of its own.
-PACK_BYTES = 8_000_000
+PACK_BYTES = 4_000_000
 #: Documents in a pack at most; a row's number within its pack takes 16 bits.
 PACK_DOCS = 60_000
 #: Rows and bytes of one Arrow batch handed to Python.
-ARROW_ROWS = 2_000
-ARROW_BYTES = 32_000_000
+ARROW_ROWS = 500
+ARROW_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,11 +34,11 @@ from barloom.session import cut_lineage
 
 LENGTH, GRAM = 50, 25
 #: Window starts hashed at a time, and in a run at most (the bits of a mask).
-BLOCK, RUN = 1 << 20, 32
+BLOCK, RUN = 1 << 18, 32
 #: A token of more documents than this is split by window.
 FREQUENT = 20_000
-#: Tokens sampled for the splitters (about).
-SAMPLE = 40_000
+#: Tokens sampled for the splitters (about), and suffix buckets per bucket of tokens.
+SAMPLE, FINER = 40_000, 2
 
 _B = np.uint64(0x100000001B3)
 
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = corpus_bytes(packs)
     bits, buckets = key_bits(total), bucket_count(total)
     answers = cut_lineage(repeated_keys(packs, token_counts, bits, buckets))
-    splitters = sampled_splitters(answers, bits, buckets, max(1, total // 13 // SAMPLE))
+    splitters = sampled_splitters(answers, bits, FINER * buckets, max(1, total // 13 // SAMPLE))
     sent = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("body", pa.binary())])
 
     def send(pack_rows: pa.Table, told: pa.Table) -> pa.Table:
