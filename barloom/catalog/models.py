@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
-from barloom.catalog.signals import rounded
+from barloom.catalog.signals import FUNDED_FEATURES, FUNDING_SIDES, funded_bars, rounded
 from barloom.catalog.trades import _CONV, FILL_LABELS, FILLS, SIDES, conviction_trades, label_sql, pool_sql
 from barloom.operators import calibration as cal
 from barloom.operators import economics as ec
@@ -115,6 +115,22 @@ def maker_study(spark, sf_dir):
     return rounded(rs.maker_study(t.numbered_bars(spark, sf_dir), "vol_breakout"), win_rate=8, profit_factor=7, expectancy=7)
 
 
+_FUNDING_RULES = ["funding_reversion", "funding_reversion_confirmed", "funding_reversion_regime_filtered"]
+
+
+@query(q.with_(FUNDED_FEATURES, FUNDING_SIDES, """sides AS (SELECT *, base AS funding_reversion,
+  CASE WHEN (base = 1 AND bb_position < -0.5) OR (base = -1 AND bb_position > 0.5) THEN base ELSE 0 END AS funding_reversion_confirmed,
+  CASE WHEN "ATR_ratio" < 1.05 THEN base ELSE 0 END AS funding_reversion_regime_filtered FROM fs)""",
+               pool_sql(_FUNDING_RULES), FILLS, FILL_LABELS, "orders AS (SELECT *, bar AS anchor, close AS price, atr AS risk FROM cand)",
+               label_sql("lab", "orders", 18, "2.0::DOUBLE", "1.0::DOUBLE"),
+               "x2 AS (SELECT signal, 'taker' AS execution, label, ret - 0.004 AS net FROM lab UNION ALL SELECT signal, 'maker', label, ret - 0.0008 FROM mk)",
+               _ECON.replace("SELECT execution", "SELECT signal, execution").replace("GROUP BY execution", "GROUP BY signal, execution"), recursive=True)
+       + "SELECT signal, execution, n, n_wins, round(wr, 8) AS win_rate, round(w / abs(l), 7) AS profit_factor, round(x, 7) AS expectancy FROM e")
+def funding_study(spark, sf_dir):
+    """The funding rules labelled, filled and costed both ways."""
+    return rounded(rs.rule_study(funded_bars(spark, sf_dir), _FUNDING_RULES), win_rate=8, profit_factor=7, expectancy=7)
+
+
 @query(q.with_(_CONV, recursive=True) + """, f AS (SELECT *, (n - 1) * (1.0::DOUBLE - 2.0::DOUBLE * span / n) AS rk FROM (
   SELECT count(*) AS n, greatest(date_diff('day', min(ts), max(ts)), 1) AS span, min(score) AS lo, list(score ORDER BY score) AS s FROM scd)),
 th AS (SELECT CASE WHEN 2.0 * span >= n THEN lo ELSE s[CAST(floor(rk) AS INT) + 1] + (s[CAST(floor(rk) AS INT) + 2] - s[CAST(floor(rk) AS INT) + 1]) * (rk - floor(rk)) END AS threshold FROM f),

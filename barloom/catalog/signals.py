@@ -80,10 +80,10 @@ for _name in ("breakout", "reversion", "vol_breakout", "trend_pullback", "range_
     _rule(_name)
 
 
-_FX = f"""x AS (SELECT *, {prior('quantile_cont', 'funding_rate', 90, '0.9')} AS hi, {prior('quantile_cont', 'funding_rate', 90, '0.1')} AS lo,
+FUNDING_SIDES = f"""x AS (SELECT *, {prior('quantile_cont', 'funding_rate', 90, '0.9')} AS hi, {prior('quantile_cont', 'funding_rate', 90, '0.1')} AS lo,
     {LAG('funding_rate')} AS pf FROM tf),
 fs AS (SELECT *, CASE WHEN pf >= lo AND funding_rate < lo THEN 1 WHEN pf <= hi AND funding_rate > hi THEN -1 ELSE 0 END AS base FROM x)"""
-_FSQL = q.with_(FUNDED_FEATURES, _FX, recursive=True)
+_FSQL = q.with_(FUNDED_FEATURES, FUNDING_SIDES, recursive=True)
 
 
 def _funding_rule(spark, sf_dir, name):

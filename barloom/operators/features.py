@@ -147,20 +147,27 @@ def feature_frame(bars: DataFrame, slice_rows: int = SLICE_ROWS, balance: bool =
     """
     laid = slice_bars(bars, back=BLOCK_ROWS, slice_rows=slice_rows)
     out = add_price_features(laid)
-    warmup = WARMUP_BARS if "volume" in bars.columns else PRICE_WARMUP_BARS
     if balance and "volume" in bars.columns:
         out = add_balance_features(out)
     out = out.selectExpr("*", *named(other_features(bars.columns)))
+    return trimmed(out, bars)
+
+
+def trimmed(rows: DataFrame, bars: DataFrame) -> DataFrame:
+    """Adds ``bar``: the position counted from the asset's first usable bar.
+
+    A late-starting optional column pushes that bar back. One row per asset decides
+    it, so no position is counted again; features and paths share this rule.
+    """
+    warmup = WARMUP_BARS if "volume" in bars.columns else PRICE_WARMUP_BARS
     late = {c: n for c, n in LATE_COLUMNS.items() if c in bars.columns}
     if not late:
-        return out.withColumn("bar", F.col("pos") - warmup)
-    # A late-starting optional column pushes the first usable bar back.  One
-    # row per asset decides it, so no position is counted again.
+        return rows.withColumn("bar", F.col("pos") - warmup)
     starts = bars.groupBy("asset").agg(*[
         F.min(F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_s_{c}") for c in late])
     warm = starts.select("asset", F.greatest(
         F.lit(warmup), *[F.col(f"_s_{c}") + n for c, n in late.items()]).alias("_warm"))
-    return out.join(warm, "asset", "left").withColumn("bar", F.col("pos") - F.col("_warm")).drop("_warm")
+    return rows.join(warm, "asset", "left").withColumn("bar", F.col("pos") - F.col("_warm")).drop("_warm")
 
 
 def features(bars: DataFrame, slice_rows: int = SLICE_ROWS, balance: bool = True) -> DataFrame:
@@ -170,8 +177,7 @@ def features(bars: DataFrame, slice_rows: int = SLICE_ROWS, balance: bool = True
 
 def usable_path(bars: DataFrame) -> DataFrame:
     """High, low and close by trimmed position, straight from numbered bars."""
-    warmup = WARMUP_BARS if "volume" in bars.columns else PRICE_WARMUP_BARS
-    return bars.selectExpr("asset", f"pos - {warmup} AS bar", "high", "low", "close").filter("bar >= 0")
+    return trimmed(bars, bars).select("asset", "bar", "high", "low", "close").filter("bar >= 0")
 
 
 def average_directional_index(bars: DataFrame, threshold: float = 25.0, slice_rows: int = SLICE_ROWS) -> DataFrame:

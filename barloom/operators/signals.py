@@ -134,6 +134,15 @@ RULES: dict[str, Callable[[], str]] = {
 }
 
 
+#: Sorted look-backs that rules of these names read, at their defaults.
+QUANTILE_WINDOWS: dict[str, dict[str, int]] = {
+    "obi_momentum": {"obi": 288},
+    "funding_reversion": {"funding_rate": 90},
+    "funding_reversion_confirmed": {"funding_rate": 90},
+    "funding_reversion_regime_filtered": {"funding_rate": 90},
+}
+
+
 def with_helpers(frame: DataFrame, quantile_windows: dict[str, int] | None = None) -> DataFrame:
     """Columns several rules share: the lagged width rank and sorted look-backs."""
     out = frame.selectExpr("*", f"{seen_values('bb_width', RANK_BARS)} AS _seen", *[
@@ -145,8 +154,12 @@ def with_helpers(frame: DataFrame, quantile_windows: dict[str, int] | None = Non
 
 def signal_sides(frame: DataFrame, rules: dict[str, str],
                  quantile_windows: dict[str, int] | None = None) -> DataFrame:
-    """Trimmed bars with one side column per rule, all rules in one pass."""
-    out = with_helpers(frame, quantile_windows)
+    """Trimmed bars with one side column per rule, all rules in one pass.
+
+    Look-backs other than a rule's default are named in ``quantile_windows`` (column -> rows).
+    """
+    needed = {c: n for name in rules for c, n in QUANTILE_WINDOWS.get(name, {}).items()}
+    out = with_helpers(frame, needed | (quantile_windows or {}))
     out = out.selectExpr("*", *[f"{rule} AS side_{name}" for name, rule in rules.items()])
     drop = [c for c in out.columns if c.startswith("_sorted_")]
     return own_rows(out.filter("bar >= 0")).drop(*drop)

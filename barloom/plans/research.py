@@ -35,18 +35,26 @@ def meta_label_dataset(bars: DataFrame, leader: str, rules: list[str], pt: float
     return rg.align_with_regime(trades, rg.leader_regime(rg.leader_bars(bars, leader)))
 
 
-def maker_study(bars: DataFrame, rule: str, taker: float = 0.004, maker: float = 0.0008) -> DataFrame:
-    """Instant against limit fills of one rule: economics per execution style."""
-    frame = ft.feature_frame(bars, balance=rule == "obv_divergence")
-    sides = sg.signal_sides(frame, {rule: sg.RULES[rule]()})
-    fired = cut_lineage(sg.candidates(sides, [rule]).select("asset", "ts", "signal", "bar", "side", "close", "atr"))
+def rule_study(bars: DataFrame, rules: list[str], taker: float = 0.004, maker: float = 0.0008) -> DataFrame:
+    """Instant against limit fills of any registered rules: economics per rule and execution style.
+
+    The bars carry what the rules read (funding, book imbalance, leader returns).
+    """
+    frame = ft.feature_frame(bars, balance="obv_divergence" in rules)
+    sides = sg.signal_sides(frame, {r: sg.RULES[r]() for r in rules})
+    fired = cut_lineage(sg.candidates(sides, rules).select("asset", "ts", "signal", "bar", "side", "close", "atr"))
     path = ft.usable_path(bars)
     instant = lb.triple_barrier(fired, path, TRADE_KEYS, 2.0, 1.0)
     filled = lb.triple_barrier_from_fill(lb.limit_fills(fired, path, TRADE_KEYS), path, TRADE_KEYS)
-    cols = ["label", "ret"]
+    cols = ["signal", "label", "ret"]
     both = (instant.select(F.lit("taker").alias("execution"), F.lit(taker).alias("cost"), *cols)
             .unionByName(filled.select(F.lit("maker").alias("execution"), F.lit(maker).alias("cost"), *cols)))
-    return ec.net_economics(both, ["execution"], F.col("cost"))
+    return ec.net_economics(both, ["signal", "execution"], F.col("cost"))
+
+
+def maker_study(bars: DataFrame, rule: str, taker: float = 0.004, maker: float = 0.0008) -> DataFrame:
+    """``rule_study`` of one rule."""
+    return rule_study(bars, [rule], taker, maker).drop("signal")
 
 
 def daily_digest(scored: DataFrame, per_day: int, costs: dict[str, float]) -> DataFrame:

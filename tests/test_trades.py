@@ -230,3 +230,25 @@ def test_bars_files_round_trip(spark, make_bars, tmp_path):
     assert back.count() == 5 and back.schema["ts"].dataType.simpleString() == "timestamp_ntz"
     m.write_result(bars, str(tmp_path / "pq"), partition_by=["asset"])
     assert spark.read.parquet(str(tmp_path / "pq")).filter("asset = 'B'").count() == 2
+
+
+def test_replies_that_are_not_one_strict_object_reject(spark):
+    replies = ["{'decision': 'approve', 'confidence': 0.9}", '{"decision": "approve", "confidence": 0.9} {"decision": "approve"}',
+               '{"decision": "approve", "confidence": 0.9}, {"a": 1}', '{"decision": "approve",}']
+    for text in replies:
+        r = spark.createDataFrame([(text,)], "t string").select(g.parse_reply(F.col("t")).alias("r")).select("r.*").first()
+        assert (r.decision, r.confidence, r.reason) == ("reject", 0.0, "unparseable response")
+    for value, want in (('"nan"', 0.0), ('"0.9d"', 0.0), ('" 0.25 "', 0.25), ("7", 1.0), ("-1", 0.0), ("true", 0.0), ("null", 0.0)):
+        text = '{"decision": " Approve", "confidence": %s}' % value
+        r = spark.createDataFrame([(text,)], "t string").select(g.parse_reply(F.col("t")).alias("r")).select("r.*").first()
+        assert (r.decision, r.confidence) == ("approve", want)
+
+
+def test_late_funding_moves_features_and_path_alike(spark, make_bars):
+    from barloom.operators import features as ft
+
+    rows = [(10 + i % 7, 12 + i % 7, 9 + i % 7, 11 + i % 7 + i / 1000, 5.0 + i % 3) for i in range(260)]
+    bars = make_bars({"A": rows}).withColumn("funding_rate", F.when(F.col("pos") >= 200, F.col("pos") / 1000.0))
+    frame = {r.bar: r.close for r in ft.features(bars, balance=False).select("bar", "close").collect()}
+    path = {r.bar: r.close for r in ft.usable_path(bars).select("bar", "close").collect()}
+    assert frame[0] == rows[204][3] and frame == path
