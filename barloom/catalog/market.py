@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
 from barloom.operators import bars as b
+from barloom.operators import economics as ec
 from barloom.session import shared_dir
 from barloom.functions.series import attach_asof
 from barloom.sources import market as m
@@ -249,7 +250,9 @@ def funding_panel(spark, sf_dir):
     return b.daily_funding(t.week_funding(spark, sf_dir), "1w").withColumn("funding", F.round("funding", 10))
 
 
-@query(q.with_(q.BARS) + "SELECT asset, ts, close FROM bars WHERE ts + INTERVAL 1 day <= TIMESTAMP '2000-01-01 12:00:00'")
+@query(q.with_(q.BARS) + "SELECT asset, ts, close FROM bars WHERE ts + INTERVAL 1 day <= (SELECT max(ts) + INTERVAL 12 hour FROM bars)")
 def closed_bars(spark, sf_dir):
-    now = F.lit("2000-01-01 12:00:00").cast("timestamp_ntz")
-    return b.drop_forming_bar(t.bars(spark, sf_dir), "1 day", now).select("asset", "ts", "close")
+    """Twelve hours into the newest day, which is still forming."""
+    bars = t.bars(spark, sf_dir)
+    newest = t.table(spark, sf_dir, "lineitem").agg((F.max("l_shipdate") + F.expr("INTERVAL 12 HOURS")).alias("now"))
+    return b.drop_forming_bar(ec.attach_facts(bars, newest, []), "1 day", F.col("now")).select("asset", "ts", "close")

@@ -278,16 +278,16 @@ k AS (SELECT *, sum(net) OVER (PARTITION BY asset ORDER BY ts, seq) AS cum FROM
 d AS (SELECT *, max(cum) OVER (PARTITION BY asset ORDER BY ts, seq) AS pk FROM k)
 SELECT asset, count(*) AS total_trades, round(avg(CAST(net > 0 AS INT)) * 100, 7) AS win_rate, round(avg(net) FILTER (WHERE net > 0), 3) AS avg_win,
   round(avg(net) FILTER (WHERE net <= 0), 3) AS avg_loss, round(sum(net), 2) AS total_pnl,
-  round(max((pk - cum) / (1e9 + pk) * 100), 6) AS max_drawdown_pct,
-  round(sum(net) FILTER (WHERE net > 0) / abs(sum(net) FILTER (WHERE net <= 0)), 7) AS profit_factor, round(sum(fee), 2) AS total_fees FROM d GROUP BY asset""")
+  round(sum(net) / 10000 * 100, 2) AS total_return_pct, round(max((pk - cum) / (10000 + pk) * 100), 5) AS max_drawdown_pct,
+  round(sum(net) FILTER (WHERE net > 0) / abs(sum(net) FILTER (WHERE net <= 0)), 7) AS profit_factor, round(sum(fee), 2) AS total_fees, round(sum(fee) / 10000 * 100, 2) AS fee_drag_pct FROM d GROUP BY asset""")
 def trade_list_summary(spark, sf_dir):
     """Each print exits at the next print of its asset."""
     from barloom.functions.series import scan, time_bucket
 
     rows = cut_lineage(fills(spark, sf_dir).withColumn("_desc", -F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("_dseq", -F.col("seq")))
     nxt = scan(rows, ["asset"], ["_desc", "_dseq"], -time_bucket(F.col("ts")), {"exit_price": ("last", F.col("price"))}, exclusive=True)
-    out = ec.trade_list_summary(cut_lineage(nxt), ["asset"], capital=1e9, order=["ts", "seq"]).drop("total_return_pct", "fee_drag_pct")
-    return rounded(out, win_rate=7, avg_win=3, avg_loss=3, total_pnl=2, max_drawdown_pct=6, profit_factor=7, total_fees=2)
+    out = ec.trade_list_summary(cut_lineage(nxt), ["asset"], order=["ts", "seq"])
+    return rounded(out, win_rate=7, avg_win=3, avg_loss=3, total_pnl=2, total_return_pct=2, max_drawdown_pct=5, profit_factor=7, total_fees=2, fee_drag_pct=2)
 
 
 # ------------------------------------------------------------------ splits
