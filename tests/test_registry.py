@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from barloom.catalog import ENTRIES
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -22,7 +23,8 @@ def load_compare():
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) - len(entry.oracle_sql()) <= 8
+    # The catalog's own queries; the training-data part, where present, states its tests itself.
+    assert sum(e.sql is None for e in ENTRIES.values()) <= 8
 
 
 def test_entry_runs(spark):
