@@ -11,6 +11,7 @@ of rules (which ranks of a length go where) that every row is then looked up in.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,33 +28,66 @@ CAPACITY = 2048
 #: The id that ends a document.
 END_ID = 0
 #: Rows of one length that are numbered together.
-RANK_ROWS = 20_000
+RANK_ROWS = 2_000
 #: Chunks remembered by one worker.
-CHUNKS = 400_000
+CHUNKS = 600_000
+
+
+#: Between a letter and a following sign that is no apostrophe a piece always ends.
+_SIGNS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[!-&(-/:-@\[-`{-~])")
+
+
+#: Chunks of these signs alone are split alike by both tokenizer libraries.
+_PLAIN = re.compile(r"[ -~À-ÖØ-öø-ɏ]+")
+
+
+def byte_of_letter() -> dict[str, int]:
+    """The byte-level alphabet: visible bytes stand for themselves, the others for letters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class ChunkTokenizer:
-    """Ids as little-endian 32-bit bytes; a chunk between safe cuts is tokenised once and remembered."""
+    """Ids as little-endian 32-bit bytes; a chunk between safe cuts is tokenised once and remembered.
+
+    New chunks are cut once more, before signs after letters, as their words are often known.
+    Chunks of plain signs go through the same vocabulary's ranks in the ``tiktoken`` library,
+    which takes a tenth of the time for short strings; all others through ``tokenizers``.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        byte, special = byte_of_letter(), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [cut(t) for t in texts]
         known = self.known
-        new = list(dict.fromkeys(c for chunks in chunked for c in chunks if c not in known))
+        new = {c: _SIGNS.split(c) for chunks in chunked for c in chunks if c not in known}
         if len(known) + len(new) > CHUNKS:
             known.clear()
-            new = list(dict.fromkeys(c for chunks in chunked for c in chunks))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.asarray(e.ids, "<u4").tobytes()
+            new = {c: _SIGNS.split(c) for chunks in chunked for c in chunks}
+        words = list(dict.fromkeys(w for parts in new.values() for w in parts if w not in known))
+        other = []
+        for w in words:
+            if _PLAIN.fullmatch(w):
+                known[w] = np.asarray(self.plain.encode_ordinary(w), "<u4").tobytes()
+            else:
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = np.asarray(e.ids, "<u4").tobytes()
+        for c, parts in new.items():
+            if len(parts) > 1:
+                known[c] = b"".join(map(known.__getitem__, parts))
         return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
 
 

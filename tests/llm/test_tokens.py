@@ -77,6 +77,16 @@ def test_token_digests(spark, documents, library):
     assert [r.ids for r in bpe.encode_documents(documents([(1, "hello world")]), PATH, PATTERN).collect()] == [library.encode_ordinary("hello world")]
 
 
+def test_chunks_give_the_tokenizer_s_ids():
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = True
+    rng = random.Random(12)
+    signs = ["".join(rng.choice(["don't", "it's,", "l'été", "a.b", "x_y", "é!", "(n)", "ab²,", "1,5", " ", "  ", "\n", "'s", "s'", "Ω.", "z;"]) for _ in range(12)) for _ in range(1500)]
+    texts = [*strange_texts(2000), *signs, "<|endoftext|>", "a" * 2000]
+    got = packing.chunk_tokenizer(JSON).encode(texts)
+    assert got == [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
 def sequential_best_fit(lengths, capacity):
     rest = []
     for n in sorted(lengths, reverse=True):
