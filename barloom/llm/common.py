@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -71,6 +71,15 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], made: str,
     return found.select("doc_id", *names, *["text"] * with_text, *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """A frame that several steps read: kept on the executors' disks once computed.
+
+    Its lineage stays, so what a lost executor held is computed again; costly passes over
+    all texts are written tables (``cut_lineage``) instead.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 

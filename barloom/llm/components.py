@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = live.union(live.select("b", "a"))
         point = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
         onward = point.select(F.col("a").alias("to"), F.col("to").alias("onward"))
-        point = cut_lineage(point.join(onward, "to", "left").select("a", F.coalesce("onward", "to").alias("to")))
+        point = point.join(onward, "to", "left").select("a", F.coalesce("onward", "to").alias("to"))
         labels = cut_lineage(labels.join(point.withColumnRenamed("a", "label"), "label", "left")
                              .select("node", F.coalesce("to", "label").alias("label")))
         of_a, of_b = point.select("a", F.col("to").alias("x")), point.select(F.col("a").alias("b"), F.col("to").alias("y"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHashes, mix, pack_documents, unpack
+from barloom.llm.common import WordHashes, kept, mix, pack_documents, unpack
 from barloom.llm.components import connected_components
 from barloom.llm.exchange import bucket_count, corpus_bytes, key_bits, known_keys, repeated_keys, sums_of
 from barloom.session import cut_lineage
@@ -175,8 +175,8 @@ def may_link(x: str, y: str, percent: int):
 
 def similarity_links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between representatives that give the exact connected components."""
-    posts = cut_lineage(sets.select("node", "size", "common", "weight", F.explode(F.arrays_zip("prefix", "places")).alias("t"))
-                        .select("node", "size", "common", "weight", F.col("t.prefix").alias("token"), F.col("t.places").alias("place")))
+    posts = (sets.select("node", "size", "common", "weight", F.explode(F.arrays_zip("prefix", "places")).alias("t"))
+             .select("node", "size", "common", "weight", F.col("t.prefix").alias("token"), F.col("t.places").alias("place")))
     best = F.max(F.struct("weight", (-F.col("node")).alias("less"), "size", "common", "place")).alias("p")
     pivots = (posts.groupBy("token").agg(best, F.count("*").alias("n")).where("n > 1")
               .select("token", F.struct((-F.col("p.less")).alias("node"), "p.size", "p.common", "p.place").alias("p")))
@@ -186,7 +186,7 @@ def similarity_links(sets: DataFrame, percent: int) -> DataFrame:
     # First only the pivot that most of a document's tokens point to.
     main = votes.groupBy("a").agg(F.max(F.struct("n", "b")).alias("v")).select("a", F.col("v.b").alias("b"))
     links = cut_lineage(verified(main, sets, percent))
-    labels = cut_lineage(connected_components(links))
+    labels = connected_components(links)
     label_of = lambda column, name: labels.select(F.col("node").alias(column), F.col("label").alias(name))
 
     def across(pairs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def similarity_links(sets: DataFrame, percent: int) -> DataFrame:
     # Then the other pivots, where they would join two components.
     more = cut_lineage(verified(across(votes.join(main, ["a", "b"], "left_anti")), sets, percent))
     links = links.unionByName(more)
-    labels = cut_lineage(connected_components(links))
+    labels = connected_components(links)
     # At last the members of one list that are still apart.
     posted = posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_lists = posted.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
@@ -216,7 +216,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives no rows.
     """
     packs = pack_documents(docs, id_col, text_col)
-    rows = cut_lineage(document_sets(packs, words))
+    rows = kept(document_sets(packs, words))
     node = F.shiftleft("pack", 16) + F.col("place")
     classes = cut_lineage(rows.where("size > 0").groupBy("class_key").agg(F.min("doc_id").alias("first_id"), F.min(node).alias("node")))
     places = classes.select(F.shiftright("node", 16).alias("pack"), F.expr("cast(node & 65535 as int)").alias("place"))
