@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from barloom.llm.common import mix, pack_documents, text_bytes, unpack_table
+from barloom.llm.common import kept, mix, pack_documents, text_bytes, unpack_table
 from barloom.llm.exchange import bucket_count, coded, corpus_bytes, gaps_from_bytes, key_bits, known_keys, repeated_keys, sums_of
-from barloom.session import cut_lineage
 
 LENGTH, GRAM = 50, 25
 #: Window starts hashed at a time, and in a run at most (the bits of a mask).
@@ -38,7 +37,7 @@ BLOCK, RUN = 1 << 18, 32
 #: A token of more documents than this is split by window.
 FREQUENT = 20_000
 #: Tokens sampled for the splitters (about), and suffix buckets per bucket of tokens.
-SAMPLE, FINER = 40_000, 2
+SAMPLE, FINER = 40_000, 5
 
 _B = np.uint64(0x100000001B3)
 
@@ -267,7 +266,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = pack_documents(docs, id_col, text_col, carry)
     total = corpus_bytes(packs)
     bits, buckets = key_bits(total), bucket_count(total)
-    answers = cut_lineage(repeated_keys(packs, token_counts, bits, buckets))
+    answers = kept(repeated_keys(packs, token_counts, bits, buckets))
     splitters = sampled_splitters(answers, bits, FINER * buckets, max(1, total // 13 // SAMPLE))
     sent = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("body", pa.binary())])
 
