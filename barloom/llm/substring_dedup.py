@@ -96,7 +96,8 @@ def find_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
         which = np.repeat(np.arange(len(start)), pieces)
         nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = start[which] + nth * RUN
-        found.append(Runs(doc[first], first + lo, np.minimum(length[which] - nth * RUN, RUN), token[first]))
+        # Smallest hashes lie near 0; mixed again they are spread evenly over the buckets.
+        found.append(Runs(doc[first], first + lo, np.minimum(length[which] - nth * RUN, RUN), mix(token[first])))
     if not found:
         none = np.zeros(0, np.int64)
         return Runs(none, none, none, np.zeros(0, np.uint64))
