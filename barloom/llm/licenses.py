@@ -3,7 +3,9 @@
 Fuzzy search splits each notice into one more piece than the edits it may carry
 (pigeonhole): a copy with at most that many edits holds one piece unchanged. Exact
 hits of the pieces locate candidates, and the ``regex`` library's bounded-error
-matching verifies the edits and reports the span.
+matching verifies the edits and reports the span. Where another licence's name is
+within the edits of a notice, the notice's own name must stand unedited: matches are
+built around each exact name, with the edits counted in the words on either side.
 """
 from __future__ import annotations
 
@@ -29,6 +31,13 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "this work is in the public domain": "public-domain",
 }
+#: The words of a notice that tell it from another within its edits ("bsd", "mpl", "apple"; "isn't in").
+NAMES = {
+    "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
+    "licensed under the apache license version": "apache",
+    "this work is in the public domain": "is in",
+}
 #: One edit per so many characters of a notice.
 CHARS_PER_EDIT = 10
 
@@ -48,13 +57,14 @@ def edits_of(notice: str) -> int:
 
 @lru_cache(maxsize=8)
 def compiled(notices: tuple[tuple[str, str], ...]):
-    """(bounded-error pattern, edits, length, label, [(piece, offset)]) per notice."""
+    """(bounded-error patterns: first and best match, edits, notice, label, [(piece, offset)]) per notice."""
     out = []
     for notice, label in notices:
         k, raw = edits_of(notice), notice.encode()
         cuts = [round(i * len(raw) / (k + 1)) for i in range(k + 2)]
         pieces = [(raw[a:b], a) for a, b in zip(cuts, cuts[1:], strict=False)]
-        out.append((regex.compile(b"(?be)(?:" + regex.escape(raw) + b"){e<=%d}" % k), k, len(raw), label, pieces))
+        near = b"(?:" + regex.escape(raw) + b"){e<=%d}" % k
+        out.append((regex.compile(near), regex.compile(b"(?be)" + near), k, raw, label, pieces))
     return out
 
 
@@ -66,14 +76,64 @@ def all_places(line: bytes, needle: bytes) -> list[int]:
     return out
 
 
-def fuzzy_spans(line: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple[int, int, str, int]]:
+def free_matches(line: bytes, a: int, b: int, first, best, length: int, k: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of matches of a notice in a window, from left to right.
+
+    The best match is sought only where the first one lies, in a stretch too short
+    for two, so a better match further on does not hide it.
+    """
+    out = []
+    while found := first.search(line, a, b):
+        m = best.search(line, found.start(), min(b, found.start() + length + 2 * k)) or found
+        out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+        a = m.end()
+    return out
+
+
+def edits_to_prefix(part: bytes, text: bytes, k: int) -> tuple[int, int]:
+    """Least edits between a part and any prefix of a text, and that prefix's length; over k edits give k + 1."""
+    if text.startswith(part):
+        return 0, len(part)
+    text = text[:len(part) + k]
+    row = list(range(len(text) + 1))
+    for i, c in enumerate(part, 1):
+        diagonal, row[0] = row[0], i
+        for j, d in enumerate(text, 1):
+            diagonal, row[j] = row[j], diagonal if c == d else 1 + min(diagonal, row[j], row[j - 1])
+    edits, _, used = min((e, abs(j - len(part)), j) for j, e in enumerate(row))
+    return min(edits, k + 1), used
+
+
+def named_matches(line: bytes, a: int, b: int, raw: bytes, name: bytes, k: int) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the matches in a window around the exact name.
+
+    The name is a word of its own, or has only lost the space to a neighbour of the notice.
+    """
+    at = (b" " + raw + b" ").index(b" " + name + b" ")
+    left, right = raw[:at], raw[at + len(name):]
+    before, after = left.split()[-1:], right.split()[:1]
+    out = []
+    for place in all_places(line[a:b], name):
+        start, end = a + place, a + place + len(name)
+        if not line.endswith((b" ", *before), 0, start) or not line.startswith((b" ", *after), end):
+            continue
+        d1, n1 = edits_to_prefix(left[::-1], line[max(0, start - len(left) - k):start][::-1], k)
+        if d1 <= k:
+            d2, n2 = edits_to_prefix(right, line[end:end + len(right) + k], k)
+            if d1 + d2 <= k:
+                out.append((start - n1, end + n2, d1 + d2))
+    return out
+
+
+def fuzzy_spans(line: bytes, notices: tuple[tuple[str, str], ...], names: dict[str, str] | None = None) -> list[tuple[int, int, str, int]]:
     """(start, end, label, edits) of the fuzzy matches in a normalised line.
 
-    Windows around hits of one notice are merged before verification, so a stretch
-    with many hits is matched once.
+    Notices in ``names`` match only with those words unedited. Windows around hits of
+    one notice are merged before verification, so a stretch with many hits is matched once.
     """
     found = []
-    for pattern, k, length, label, pieces in compiled(notices):
+    for first, best, k, raw, label, pieces in compiled(notices):
+        name, length = (names or {}).get(raw.decode()), len(raw)
         windows = []
         for piece, offset in pieces:
             windows += [(max(0, at - offset - k), at - offset + length + k) for at in all_places(line, piece)]
@@ -86,19 +146,20 @@ def fuzzy_spans(line: bytes, notices: tuple[tuple[str, str], ...]) -> list[tuple
                 merged.append([a, b])
                 end = b
         for a, b in merged:
-            for m in pattern.finditer(line, a, min(b, len(line))):
-                found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
+            b = min(b, len(line))
+            spans = named_matches(line, a, b, raw, name.encode(), k) if name else free_matches(line, a, b, first, best, length, k)
+            found += [(start, stop, label, edits) for start, stop, edits in spans]
     return sorted(found)
 
 
-def scan_text(text: bytes, phrases: dict[str, str], notices: tuple[tuple[str, str], ...]):
+def scan_text(text: bytes, phrases: dict[str, str], notices: tuple[tuple[str, str], ...], names: dict[str, str] = NAMES):
     """n_words, exact places [(word, label)] and fuzzy spans [(label, first, last, edits)]."""
     line = normal(text)
     n_words = line.count(b" ") - 1 if len(line) > 2 else 0
     word_at = lambda at: line.count(b" ", 0, at + 1) - 1  # noqa: E731  the word that begins at the byte
     exact = sorted((word_at(at), label) for phrase, label in phrases.items() for at in all_places(line, b" " + phrase.encode() + b" "))
     spans = []
-    for a, b, label, edits in fuzzy_spans(line, notices):
+    for a, b, label, edits in fuzzy_spans(line, notices, names):
         # A match may begin with the space before its first word, or inside a changed word.
         a, b = a + (line[a:a + 1] == b" "), b - (line[b - 1:b] == b" ")
         spans.append((label, word_at(a - 1) if line[a - 1:a] == b" " else word_at(a), word_at(b - 1), edits))
@@ -106,19 +167,20 @@ def scan_text(text: bytes, phrases: dict[str, str], notices: tuple[tuple[str, st
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
+                  phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES,
+                  names: dict[str, str] = NAMES) -> DataFrame:
     """One row per input row: doc_id, n_words, places (word, label), spans (label, words, edits).
 
     Null text is empty; empty texts have no words, places or spans; repeated rows each
     get their own row; an empty table gives an empty result; other columns are ignored.
     No text is cut, and no number of places or spans is capped.
     """
-    fixed, pairs = dict(phrases), tuple(sorted(notices.items()))
+    fixed, pairs, words = dict(phrases), tuple(sorted(notices.items())), dict(names)
 
     def scan(batch):
         out = {"doc_id": batch.column(0), "n_words": [], "places": [], "spans": []}
         for text in text_bytes(batch.column(1)):
-            n_words, exact, spans = scan_text(text, fixed, pairs)
+            n_words, exact, spans = scan_text(text, fixed, pairs, words)
             out["n_words"].append(n_words)
             out["places"].append([{"word": w, "label": label} for w, label in exact])
             out["spans"].append([dict(zip(("label", "first_word", "last_word", "edits"), s, strict=True)) for s in spans])

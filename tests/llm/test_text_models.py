@@ -135,6 +135,29 @@ def test_pigeonhole_finds_what_a_full_search_finds(prose):
         assert bool(got) == bool(full.search(line))
 
 
+def test_other_licences_are_not_labelled():
+    notices = tuple(sorted(NOTICES.items()))
+    spans = lambda text: scan_text(text.encode(), PHRASES, notices)[2]
+    for name in "bsd gpl isc mpl zlib cddl epl wtfpl artistic eclipse apple eupl afl summit mint nit".split():
+        for text in (f"Licensed under the {name} license", f"released under the {name} license", f"licensed under the {name} license version 2"):
+            assert spans(text) == [], text
+    for text in ("gnu affero general public license", "gnu general public license", "netscape public license version", "eclipse public license version",
+                 "this work isn't in the public domain", "creative commons zero"):
+        assert spans(text) == [], text
+    assert spans("licenced undr the MIT license") == [("mit", 0, 4, 2)]
+    assert spans("licensed under the mitlicense") == [("mit", 0, 3, 1)]
+    assert spans("licensed under the bsd licensed under the mit license") == [("mit", 4, 8, 0)]
+    assert spans("licensed under the apache licence versoin 2") == [("apache", 0, 5, 3)]
+
+
+def test_notices_side_by_side_are_all_found():
+    for notice, label in NOTICES.items():
+        words = len(notice.split())
+        edited = notice[:2] + "q" + notice[3:]
+        got = scan_text(f"{edited} {edited} {notice}".encode(), {}, ((notice, label),))[2]
+        assert [s[1:] for s in got] == [(i * words, (i + 1) * words - 1, e) for i, e in enumerate((1, 1, 0))], notice
+
+
 def test_license_table(spark, documents):
     rows = [(1, "cc by"), (2, None), (3, ""), (4, "released under the mit licence"), (1, "cc by"), (None, "all rights reserved")]
     got = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)
