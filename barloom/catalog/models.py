@@ -5,25 +5,27 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
-from barloom.catalog.signals import FUNDED_FEATURES, FUNDING_SIDES, funded_bars, rounded
+from barloom.catalog.signals import FUNDED_FEATURES, FUNDING_SIDES, funded_bars, rounded, rule_bars
 from barloom.catalog.trades import _CONV, FILL_LABELS, FILLS, SIDES, conviction_trades, label_sql, pool_sql
 from barloom.operators import calibration as cal
 from barloom.operators import economics as ec
 from barloom.operators import features as ft
 from barloom.operators import gating as g
 from barloom.operators import learning as ml
+from barloom.operators import signals as sg
 from barloom.operators import splits as sp
 from barloom.plans import research as rs
 from barloom.session import cut_lineage
 from barloom.sources import tables as t
 
 COLUMNS = rs.MODEL_FEATURES + ["alignment_strength"]
-RULES = ["trend_pullback", "range_fade"]
-SMALL = dict(trees=5, depth=2)
+RULES = list(sg.RULES)
+MODEL = dict(trees=ml.TREES, depth=ml.DEPTH)
+WALK_FOLDS = 4
 
 
 def dataset(spark, sf_dir):
-    rows = rs.meta_label_dataset(t.numbered_bars(spark, sf_dir), t.LEADER, RULES)
+    rows = rs.meta_label_dataset(rule_bars(spark, sf_dir), t.LEADER, RULES)
     return cut_lineage(ml.with_cv_fold(ml.finite_rows(rows, COLUMNS), "trade_id"))
 
 
@@ -36,26 +38,26 @@ def train_test(spark, sf_dir):
 def meta_model_scores(spark, sf_dir):
     """Pooled classifier fitted on the first 80% of bars, scored on the rest."""
     train, test = train_test(spark, sf_dir)
-    model = ml.classifier(COLUMNS, **SMALL).fit(train)
+    model = ml.classifier(COLUMNS, **MODEL).fit(train)
     return ml.win_probability(model.transform(test)).select("trade_id", "label", "p_win")
 
 
 @query()
 def model_search(spark, sf_dir):
-    """Grid scored by top-quantile precision."""
-    model = ml.search(dataset(spark, sf_dir), COLUMNS, depths=[2, 3], trees=[5])
+    """Drawn settings scored by top-quantile precision."""
+    model = ml.search(dataset(spark, sf_dir), COLUMNS)
     return ml.search_table(model, spark)
 
 
 @query()
 def out_of_fold_scores(spark, sf_dir):
-    return ml.out_of_fold(dataset(spark, sf_dir), COLUMNS, **SMALL).select("trade_id", "cv_fold", "label", "p_win")
+    return ml.out_of_fold(dataset(spark, sf_dir), COLUMNS, **MODEL).select("trade_id", "cv_fold", "label", "p_win")
 
 
 @query()
 def model_leaf_novelty(spark, sf_dir):
     train, test = train_test(spark, sf_dir)
-    model = ml.classifier(COLUMNS, **SMALL).fit(train)
+    model = ml.classifier(COLUMNS, **MODEL).fit(train)
     return cal.novelty(ml.leaf_table(model.transform(train), "trade_id"), ml.leaf_table(model.transform(test), "trade_id"))
 
 
@@ -63,9 +65,9 @@ def model_leaf_novelty(spark, sf_dir):
 def model_walk_forward(spark, sf_dir):
     """Per-fold fit, calibration, novelty, gate, overlap filter and summary."""
     rows = dataset(spark, sf_dir).drop("cv_fold")
-    edges = sp.fold_edges(rows, 3, 18 * 86400.0)
+    edges = sp.fold_edges(rows, WALK_FOLDS, 18 * 86400.0)
     folded = sp.assign_folds(rows, edges)
-    trades = ml.walk_forward(folded, COLUMNS, [1, 2], target=0.3, min_trades=20, **SMALL)
+    trades = ml.walk_forward(folded, COLUMNS, target=0.3, min_trades=20, **MODEL)
     taken = g.non_overlapping(trades.filter("taken"), reach=18, keys=["asset", "fold"])
     return ec.kelly_summary(taken, ["fold"], payoff=1.0, cost=0.004)
 
@@ -76,7 +78,7 @@ def feature_importances(spark, sf_dir):
     train, _ = train_test(spark, sf_dir)
     middle = train.groupBy("asset").agg(F.percentile("bar", 0.5).alias("_mid"))
     half = train.join(middle, "asset").filter("bar <= _mid")
-    return ml.importances(ml.classifier(COLUMNS, **SMALL).fit(half), COLUMNS, spark)
+    return ml.importances(ml.classifier(COLUMNS, **MODEL).fit(half), COLUMNS, spark)
 
 
 @query()
@@ -86,14 +88,14 @@ def direction_model_report(spark, sf_dir):
     labelled = ft.direction_target(rows.select("asset", "ts", "pos", "bar", *rs.MODEL_FEATURES, "ret_1d"), ft.bar_scale(24))
     data = cut_lineage(ml.finite_rows(labelled, rs.MODEL_FEATURES))
     split = sp.split_by_position(data, t.numbered_bars(spark, sf_dir))
-    model = ml.classifier(rs.MODEL_FEATURES, label="target", **SMALL).fit(split.filter("role = 'train'"))
+    model = ml.classifier(rs.MODEL_FEATURES, label="target", **MODEL).fit(split.filter("role = 'train'"))
     return ml.class_report(model.transform(split.filter("role = 'test'")), "target")
 
 
 @query()
 def geometry_model_slice(spark, sf_dir):
     """Base signal against its top score decile after the overlap filter."""
-    scored = ml.out_of_fold(dataset(spark, sf_dir), COLUMNS, **SMALL)
+    scored = ml.out_of_fold(dataset(spark, sf_dir), COLUMNS, **MODEL)
     scored = cut_lineage(scored.select("asset", "signal", "entry_pos", "exit_pos", "label", "ret", "p_win"))
     cut = cal.score_quantile(cut_lineage(cal.score_counts(scored, [])), [], 0.9)
     top = ec.attach_facts(scored, cut, []).filter("p_win >= cut").drop("cut").withColumn("chosen", F.lit("top_decile"))

@@ -20,6 +20,14 @@ def funded_bars(spark, sf_dir):
     return cut_lineage(number_rows(cut_lineage(bars)))
 
 
+def rule_bars(spark, sf_dir):
+    """Numbered bars with all that the rules read: funding, imbalance and the leader's return."""
+    bars = cut_lineage(t.bars(spark, sf_dir).join(t.funding(spark, sf_dir), ["asset", "ts"], "left")
+                       .join(t.imbalance(spark, sf_dir), ["asset", "ts"], "left"))
+    regime = rg.leader_regime(rg.leader_bars(bars, t.LEADER))
+    return cut_lineage(number_rows(cut_lineage(rg.leader_return_on_bars(bars, regime))))
+
+
 def rounded(df, **digits):
     return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 

@@ -7,14 +7,16 @@ the loop over them runs on the driver while every fit is distributed.
 """
 from __future__ import annotations
 
+import random
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ from barloom.sources.tables import hash_uniform
 from barloom.session import cut_lineage
 
 SEED = 42
+TREES, DEPTH, FOLDS, SETTINGS = 100, 3, 5, 15
+#: Fixed values of the search; the penalties on leaf weights have no counterpart in Spark ML.
+GRID = {
+    "maxDepth": [2, 3, 4],
+    "maxIter": [50, 100, 200],
+    "stepSize": [0.01, 0.03, 0.05],
+    "subsamplingRate": [0.6, 0.7, 0.8],
+    "featureSubsetStrategy": ["0.5", "0.6", "0.8"],
+    "minInstancesPerNode": [5, 10, 20],
+}
 
 
 class TopQuantilePrecision(Evaluator):
@@ -50,7 +62,7 @@ def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(good)
 
 
-def classifier(columns: list[str], label: str = "label", trees: int = 10, depth: int = 3, step: float = 0.1) -> Pipeline:
+def classifier(columns: list[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, step: float = 0.1) -> Pipeline:
     boosted = GBTClassifier(labelCol=label, featuresCol="features", leafCol="leaves", maxIter=trees,
                             maxDepth=depth, stepSize=step, minInstancesPerNode=5, seed=SEED)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), boosted])
@@ -60,14 +72,20 @@ def win_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("p_win", vector_to_array("probability")[1])
 
 
-def search(train: DataFrame, columns: list[str], folds: int = 3, depths: list[int] = [2, 3],
-           trees: list[int] = [5, 10], fold_col: str = "cv_fold"):
-    """Best of a small grid by top-quantile precision over the given folds."""
+def drawn_settings(settings: int = SETTINGS, grid: dict[str, list] = GRID) -> list[dict]:
+    """Repeatable draw of different settings from the grid; all of them if it has no more."""
+    every = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    return random.Random(SEED).sample(every, min(settings, len(every)))
+
+
+def search(train: DataFrame, columns: list[str], folds: int = FOLDS, settings: int = SETTINGS, grid: dict[str, list] = GRID,
+           fold_col: str = "cv_fold", parallelism: int = 4):
+    """Best of drawn settings by top-quantile precision over the given folds."""
     pipeline = classifier(columns)
     boosted = pipeline.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(boosted.maxDepth, depths).addGrid(boosted.maxIter, trees).build()
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=TopQuantilePrecision(),
-                          numFolds=folds, foldCol=fold_col, parallelism=2, seed=SEED).fit(train)
+    maps = [{boosted.getParam(name): value for name, value in s.items()} for s in drawn_settings(settings, grid)]
+    return CrossValidator(estimator=pipeline, estimatorParamMaps=maps, evaluator=TopQuantilePrecision(),
+                          numFolds=folds, foldCol=fold_col, parallelism=parallelism, seed=SEED).fit(train)
 
 
 def search_table(model, session) -> DataFrame:
@@ -77,12 +95,12 @@ def search_table(model, session) -> DataFrame:
     return session.createDataFrame(rows, "params string, precision double")
 
 
-def with_cv_fold(df: DataFrame, row_id: str, folds: int = 3) -> DataFrame:
+def with_cv_fold(df: DataFrame, row_id: str, folds: int = FOLDS) -> DataFrame:
     """Repeatable fold number from a hash of the row id."""
     return df.withColumn("cv_fold", (hash_uniform(F.col(row_id), F.lit("cv")) % folds).cast("int"))
 
 
-def out_of_fold(train: DataFrame, columns: list[str], folds: int = 3, fold_col: str = "cv_fold", **options) -> DataFrame:
+def out_of_fold(train: DataFrame, columns: list[str], folds: int = FOLDS, fold_col: str = "cv_fold", **options) -> DataFrame:
     """Scores of every training row from a model that did not see it."""
     parts = []
     for fold in range(folds):
@@ -117,19 +135,19 @@ def class_report(scored: DataFrame, label: str) -> DataFrame:
         F.try_divide(F.sum("hit"), F.sum("actual")).alias("recall"), F.sum("actual").alias("support"))
 
 
-def walk_forward(folded: DataFrame, columns: list[str], folds: list[int], target: float = 0.65,
-                 min_trades: int = 20, trees: int = 10, depth: int = 3) -> DataFrame:
+def walk_forward(folded: DataFrame, columns: list[str], target: float = 0.65, min_trades: int = 20,
+                 inner_folds: int = 3, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """Per-fold fit, calibration, novelty and gate; out-of-sample trades of all folds.
 
-    ``folded`` carries (fold, role) and the trade columns with alignment.
+    ``folded`` carries (fold, role) and the trade columns with alignment; every fold in it is run.
     """
-    data = cut_lineage(with_cv_fold(finite_rows(folded, columns), "trade_id"))
+    data = cut_lineage(with_cv_fold(finite_rows(folded, columns), "trade_id", inner_folds))
     parts = []
-    for fold in folds:
+    for fold in sorted(r["fold"] for r in data.select("fold").distinct().collect()):
         train = data.filter((F.col("fold") == fold) & (F.col("role") == "train"))
         test = data.filter((F.col("fold") == fold) & (F.col("role") == "test"))
         model = classifier(columns, trees=trees, depth=depth).fit(train)
-        inner = out_of_fold(train, columns, trees=trees, depth=depth).select("p_win", "label")
+        inner = out_of_fold(train, columns, inner_folds, trees=trees, depth=depth).select("p_win", "label")
         threshold = cal.calibrate_threshold(inner, [], target, min_trades).select("threshold")
         scored = win_probability(model.transform(test))
         unusual = cal.novelty(leaf_table(model.transform(train), "trade_id"), leaf_table(scored, "trade_id"))

@@ -32,7 +32,7 @@ def meta_label_dataset(bars: DataFrame, leader: str, rules: list[str], pt: float
                        horizon: int = 18) -> DataFrame:
     """Labelled candidates with entry features and leader alignment."""
     trades = labelled_candidates(bars, rules, pt, sl, horizon, keep=MODEL_FEATURES)
-    return rg.align_with_regime(trades, rg.leader_regime(rg.leader_bars(bars, leader)))
+    return rg.align_with_regime(trades, rg.leader_regime(rg.leader_bars(bars.drop("leader_ret_5"), leader)))
 
 
 def rule_study(bars: DataFrame, rules: list[str], taker: float = 0.004, maker: float = 0.0008) -> DataFrame:

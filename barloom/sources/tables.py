@@ -66,6 +66,13 @@ def funding(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((exact / F.count(F.lit(1)) - F.lit(0.05)) / F.lit(100.0)).alias("funding_rate"))
 
 
+def imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of bought quantity per brand and day; returned prints count as sales."""
+    sold = F.col("l_returnflag") == "R"
+    bought, both = F.sum(F.when(sold, 0.0).otherwise(F.col("qty"))), F.sum("qty")
+    return ticks(spark, sf_dir).groupBy("asset", "ts").agg((bought / (both + F.lit(1e-9))).alias("obi"))
+
+
 def week_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly average price per supplier nation: (asset, day, close), written once."""
     items = table(spark, sf_dir, "lineitem")
