@@ -143,6 +143,25 @@ def attach_imbalance_default(spark, sf_dir):
     return m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), thin, ["obi"], default=0.5)
 
 
+_WHOLE = q.with_(q.BARS, q.FUNDING) + """, imb AS (SELECT asset, ts,
+  CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE qty END) AS DOUBLE) / (sum(qty) + 1e-9::DOUBLE) AS obi FROM ticks GROUP BY asset, ts),
+j AS (SELECT b.asset, b.ts, b.close, f.funding_rate, i.obi FROM bars b LEFT JOIN funding f ON f.asset = b.asset AND f.ts = b.ts
+  LEFT JOIN imb i ON i.asset = b.asset AND i.ts = b.ts)"""
+
+
+@query(_WHOLE + f"SELECT asset, ts, close, {_FILLED.replace('(r ', '(funding_rate ')} AS funding_rate FROM j")
+def attach_funding_all_days(spark, sf_dir):
+    """The whole funding series on the bars."""
+    return m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), t.funding(spark, sf_dir), ["funding_rate"])
+
+
+@query(_WHOLE + f"SELECT asset, ts, close, round(coalesce({_FILLED.replace('(r ', '(obi ')}, 0.5), 12) AS obi FROM j")
+def attach_imbalance_all_days(spark, sf_dir):
+    """The whole imbalance series on the bars."""
+    out = m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), t.imbalance(spark, sf_dir), ["obi"], default=0.5)
+    return out.withColumn("obi", F.round("obi", 12))
+
+
 @query(q.with_(q.STREAM) + """, s AS (SELECT asset, ts, seq FROM sticks WHERE seq % 3 = 0),
 r AS (SELECT asset, ts, last(price ORDER BY seq) AS price FROM sticks WHERE seq % 3 <> 0 GROUP BY asset, ts)
 SELECT s.asset, s.ts, s.seq, r.price FROM s ASOF LEFT JOIN r ON s.asset = r.asset AND s.ts >= r.ts""")

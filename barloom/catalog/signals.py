@@ -228,6 +228,35 @@ def signal_registry(spark, sf_dir):
     return sg.candidates(sides, _RULES_IN_ORDER).select("asset", "ts", "bar", "signal", "side")
 
 
+# Bars with funding, imbalance and the leader's return; the latest of them decides the first usable bar.
+RULE_BARS = FUNDED.split(",\nbars AS (", 1)[0] + """,
+imb AS (SELECT asset, ts, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE qty END) AS DOUBLE) / (sum(qty) + 1e-9::DOUBLE) AS obi FROM ticks GROUP BY asset, ts),
+lr AS (SELECT ts, close / lag(close, 5) OVER (ORDER BY pos) - 1 AS r FROM bars0 WHERE asset = 'Brand#1'),
+bars AS (SELECT b.*, f.funding_rate, i.obi, last_value(lr.r IGNORE NULLS) OVER (PARTITION BY b.asset ORDER BY b.ts) AS leader_ret_5
+  FROM bars0 b LEFT JOIN funding f ON f.asset = b.asset AND f.ts = b.ts LEFT JOIN imb i ON i.asset = b.asset AND i.ts = b.ts LEFT JOIN lr ON lr.ts = b.ts)"""
+_ALL_FEATURES = q.feature_ctes(", funding_rate, obi, leader_ret_5").replace("tf AS (SELECT * FROM feat WHERE bar >= 0)", """wm AS (
+  SELECT asset, greatest(69, min(pos) FILTER (WHERE funding_rate IS NOT NULL) + 4, min(pos) FILTER (WHERE obi IS NOT NULL) + 4,
+    min(pos) FILTER (WHERE leader_ret_5 IS NOT NULL)) AS w FROM bars GROUP BY asset),
+tf AS (SELECT feat.* REPLACE (pos - w AS bar) FROM feat JOIN wm USING (asset) WHERE pos >= w)""")
+_ALL_SIDES = f"""y AS (SELECT *, {prior('quantile_cont', 'funding_rate', 90, '0.9')} AS fhi, {prior('quantile_cont', 'funding_rate', 90, '0.1')} AS flo,
+    {prior('quantile_cont', 'obi', 288, '0.9')} AS ohi, {prior('quantile_cont', 'obi', 288, '0.1')} AS olo,
+    {LAG('funding_rate')} AS pf, {LAG('obi')} AS po, {LAG('leader_ret_5')} AS pr FROM sides),
+y2 AS (SELECT *, CASE WHEN pf >= flo AND funding_rate < flo THEN 1 WHEN pf <= fhi AND funding_rate > fhi THEN -1 ELSE 0 END AS funding_reversion,
+  CASE WHEN po >= olo AND obi < olo THEN -1 WHEN po <= ohi AND obi > ohi THEN 1 ELSE 0 END AS obi_momentum,
+  CASE WHEN pr >= -0.03 AND leader_ret_5 < -0.03 THEN -1 WHEN pr <= 0.03 AND leader_ret_5 > 0.03 THEN 1 ELSE 0 END AS btc_lead_lag FROM y),
+whole AS (SELECT *, CASE WHEN (funding_reversion = 1 AND bb_position < -0.5) OR (funding_reversion = -1 AND bb_position > 0.5)
+    THEN funding_reversion ELSE 0 END AS funding_reversion_confirmed,
+  CASE WHEN "ATR_ratio" < 1.05 THEN funding_reversion ELSE 0 END AS funding_reversion_regime_filtered FROM y2)"""
+
+
+@query(q.with_(RULE_BARS, _ALL_FEATURES, RANKS, CROSS, _ALL_SIDES, recursive=True) + " UNION ALL ".join(
+    f"SELECT asset, ts, bar, '{n}' AS signal, {n} AS side FROM whole WHERE {n} <> 0" for n in sg.RULES))
+def signal_registry_all_rules(spark, sf_dir):
+    """Every rule in one pass over bars that carry all that the rules read."""
+    sides = plain_sides(rule_bars(spark, sf_dir), *sg.RULES)
+    return sg.candidates(sides, sg.RULES).select("asset", "ts", "bar", "signal", "side")
+
+
 _W14 = 1.0 / 14
 
 
