@@ -166,6 +166,18 @@ def position_pnl(spark, sf_dir):
     return out.select("asset", "pos", F.round("strat_ret", 7).alias("strat_ret"), F.round("cum_ret", 9).alias("cum_ret"))
 
 
+_LOGS = """lg AS (SELECT *, sum(CASE WHEN strat_ret > -1 THEN ln(1 + strat_ret) ELSE 0 END) OVER w AS l, max(CAST(strat_ret <= -1 AS INT)) OVER w AS lost
+  FROM pnl WINDOW w AS (PARTITION BY asset ORDER BY pos))"""
+
+
+@query(q.with_(q.BARS, POSITIONS, _LOGS) + """SELECT asset, pos, round(strat_ret, 7) AS strat_ret,
+  round(CASE WHEN lost = 1 THEN 0 ELSE exp(l) END, 6) AS cum_ret FROM lg""")
+def position_pnl_unscaled(spark, sf_dir):
+    """Bar returns and their curve, which a loss of all ends at 0."""
+    out = ec.equity_curve(position_series(spark, sf_dir), ["asset"], "strat_ret", "pos", ec.position_slice())
+    return rounded(out.select("asset", "pos", "strat_ret", F.col("curve").alias("cum_ret")), strat_ret=7, cum_ret=6)
+
+
 @query(q.with_(q.BARS, POSITIONS) + """, f AS (SELECT *, sign(position) AS sg, lag(sign(position)) OVER (PARTITION BY asset ORDER BY pos) AS psg FROM pnl),
 r AS (SELECT *, sum(CASE WHEN sg <> 0 AND coalesce(psg, 0) <> sg THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY pos) AS tid FROM f),
 t AS (SELECT asset, tid, sum(strat_ret) AS pnl FROM r WHERE sg <> 0 GROUP BY asset, tid)
@@ -197,6 +209,34 @@ def performance_report(spark, sf_dir):
                    long_share=8, short_share=8, flat_share=8)
 
 
+@query(q.with_(q.BARS, POSITIONS, _LOGS) + """, pk AS (SELECT *, max(CASE WHEN lost = 0 THEN l END) OVER (PARTITION BY asset ORDER BY pos) AS top FROM lg),
+a AS (SELECT asset, count(*) AS n_bars, CASE WHEN max(lost) = 1 THEN -1.0::DOUBLE ELSE exp(sum(ln(1 + strat_ret)) FILTER (WHERE strat_ret > -1)) - 1 END AS total,
+  last(close ORDER BY pos) / first(close ORDER BY pos) - 1 AS hold, sqrt(365) * avg(strat_ret) / (stddev_samp(strat_ret) + 1e-9) AS sharpe,
+  min(CASE WHEN lost = 1 THEN -1.0::DOUBLE ELSE exp(l - top) - 1 END) AS mdd,
+  coalesce(sum(strat_ret) FILTER (WHERE strat_ret > 0), 0) / (abs(coalesce(sum(strat_ret) FILTER (WHERE strat_ret < 0), 0)) + 1e-9) AS pf,
+  avg(CAST(position > 0 AS INT)) AS ls, avg(CAST(position < 0 AS INT)) AS ss, avg(CAST(position = 0 AS INT)) AS fs FROM pk GROUP BY asset)
+SELECT asset, n_bars, round(total, 6) AS total_return, round(hold, 6) AS buy_hold_return, round(total - hold, 6) AS alpha, round(sharpe, 6) AS sharpe,
+  round(coalesce(((1 + total) ** (365.0::DOUBLE / n_bars) - 1) / nullif(abs(mdd), 0), 0), 6) AS calmar, round(mdd, 7) AS max_drawdown,
+  round(pf, 6) AS profit_factor, round(ls, 8) AS long_share, round(ss, 8) AS short_share, round(fs, 8) AS flat_share FROM a""")
+def performance_report_unscaled(spark, sf_dir):
+    """Every column of the report on the returns as they are."""
+    series = position_series(spark, sf_dir).withColumn("ret_1d", F.coalesce("ret_1d", F.lit(0.0)))
+    out = ec.performance_report(series, ["asset"], F.lit(365))
+    return rounded(out, total_return=6, buy_hold_return=6, alpha=6, sharpe=6, calmar=6, max_drawdown=7, profit_factor=6,
+                   long_share=8, short_share=8, flat_share=8)
+
+
+@query(q.with_(_SC, recursive=True) + """, k AS (SELECT *, least(greatest(0.5 * (p_win - (1 - p_win) / 2.0), 0), 1) AS size FROM scored),
+n AS (SELECT *, ret * size - size * 0.004 AS net FROM k)
+SELECT signal, count(*) AS n_trades, round(avg(label), 9) AS win_rate,
+  round(coalesce(sum(net) FILTER (WHERE net > 0), 0) / abs(sum(net) FILTER (WHERE net <= 0)), 6) AS profit_factor,
+  round(CASE WHEN min(net) <= -1 THEN -1 ELSE exp(sum(ln(1 + net)) FILTER (WHERE net > -1)) - 1 END, 6) AS total_return,
+  round(avg(net), 7) AS avg_net_ret, round(avg(ret) / (avg(abs(ret)) + 1e-9), 7) AS expectancy_r FROM n GROUP BY signal""")
+def kelly_summary_with_total(spark, sf_dir):
+    out = ec.kelly_summary(scored_trades(spark, sf_dir), ["signal"], 2.0, 0.004)
+    return rounded(out, win_rate=9, profit_factor=6, total_return=6, avg_net_ret=7, expectancy_r=7)
+
+
 @query(q.with_(_SC, recursive=True) + """, k AS (SELECT *, least(greatest(0.5 * (p_win - (1 - p_win) / 2.0), 0), 1) AS size FROM scored),
 n AS (SELECT *, ret * size - size * 0.004 AS net FROM k)
 SELECT signal, count(*) AS n_trades, round(avg(label), 9) AS win_rate,

@@ -59,3 +59,9 @@ def profit_factor(net: Column) -> Column:
 def compounded(ret: Column) -> Column:
     """Total compounded return of a group."""
     return F.product(1 + ret) - 1
+
+
+def compounded_or_lost(ret: Column) -> Column:
+    """``compounded`` as a sum of logs; a loss of all or more ends at -1."""
+    grown = F.exp(F.sum(F.when(ret > -1, F.log1p(ret)))) - 1
+    return F.when(F.min(ret) <= -1, F.lit(-1.0)).otherwise(grown)

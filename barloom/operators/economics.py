@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.series import number_rows, scan, time_bucket
 from barloom.functions.stats import (
-    breakeven_win_rate, compounded, kelly_size, log_factorial, profit_factor, sidak, wilson_bound)
+    breakeven_win_rate, compounded_or_lost, kelly_size, log_factorial, profit_factor, sidak, wilson_bound)
 
 from barloom.session import cut_lineage
 
@@ -237,10 +237,19 @@ def trade_level_stats(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def equity_curve(series: DataFrame, keys: list[str], ret: str, order: str, slice_by: Column) -> DataFrame:
-    """Compounded curve, its running peak and the drawdown."""
-    curve = cut_lineage(scan(series, keys, [order], slice_by, {"curve": ("product", 1 + F.col(ret))}))
-    peaks = scan(curve, keys, [order], slice_by, {"peak": ("max", F.col("curve"))})
-    return peaks.withColumn("drawdown", (F.col("curve") - F.col("peak")) / F.col("peak"))
+    """Compounded curve, its running peak and the drawdown.
+
+    Logs are summed, so long curves do not overflow on the way; from a loss of all or
+    more on the curve is 0 and the drawdown -1.
+    """
+    r = F.col(ret)
+    summed = cut_lineage(scan(series, keys, [order], slice_by, {
+        "_log": ("sum", F.when(r > -1, F.log1p(r)).otherwise(0.0)), "_lost": ("max", (r <= -1).cast("int"))}))
+    lost = F.coalesce(F.col("_lost"), F.lit(0)) == 1
+    peaks = scan(summed, keys, [order], slice_by, {"_top": ("max", F.when(~lost, F.col("_log")))})
+    return peaks.withColumns({
+        "curve": F.when(lost, 0.0).otherwise(F.exp("_log")), "peak": F.coalesce(F.exp("_top"), F.lit(0.0)),
+        "drawdown": F.when(lost, -1.0).otherwise(F.exp(F.col("_log") - F.col("_top")) - 1)}).drop("_log", "_lost", "_top")
 
 
 def trade_list_summary(trades: DataFrame, keys: list[str], capital: float = 10_000.0,
@@ -277,7 +286,7 @@ def performance_report(series: DataFrame, keys: list[str], periods: Column) -> D
     r = F.col("strat_ret")
     share = lambda cond: F.avg(cond.cast("double"))
     agg = curve.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_bars"), compounded(r).alias("total_return"), compounded(F.col("ret_1d")).alias("buy_hold_return"),
+        F.count(F.lit(1)).alias("n_bars"), compounded_or_lost(r).alias("total_return"), compounded_or_lost(F.col("ret_1d")).alias("buy_hold_return"),
         (F.sqrt(F.first(periods)) * F.avg(r) / (F.stddev_samp(r) + 1e-9)).alias("sharpe"),
         F.min("drawdown").alias("max_drawdown"),
         (F.sum(F.when(r > 0, r).otherwise(0.0)) / (F.abs(F.sum(F.when(r < 0, r).otherwise(0.0))) + 1e-9)).alias("profit_factor"),
@@ -298,7 +307,7 @@ def kelly_summary(trades: DataFrame, keys: list[str], payoff: float, cost: float
     net = F.col("_net")
     return sized.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_trades"), F.avg((F.col("label") == 1).cast("double")).alias("win_rate"),
-        profit_factor(net).alias("profit_factor"), compounded(net).alias("total_return"), F.avg(net).alias("avg_net_ret"),
+        profit_factor(net).alias("profit_factor"), compounded_or_lost(net).alias("total_return"), F.avg(net).alias("avg_net_ret"),
         (F.avg("ret") / (F.avg(F.abs("ret")) + 1e-9)).alias("expectancy_r"))
 
 
