@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -80,6 +80,25 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def number_in_order(df: DataFrame, order: list, name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with every row's place (from 1) in the order of the columns ``order``.
+
+    Rows are dealt to range partitions by sampled borders and written once; partitions are
+    numbered apart and lifted by the sizes of those before them (a row a partition). Rows that tie
+    are spread as well, in any order.
+    """
+    conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_order_{i}" for i in range(len(order))]
+    keyed = df.select("*", *(c.alias(n) for c, n in zip(order, names, strict=True)), F.monotonically_increasing_id().alias("_spread"))
+    ways = [*(F.col(n) for n in names), F.col("_spread")]
+    placed = cut_lineage(keyed.repartitionByRange(max(conf, parts or 0), *ways).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lifted = placed.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*ways)) + F.col("_before")
+    return lifted.withColumn(name, place).drop(*names, "_spread", "_part", "_before")
+
+
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 

@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, chat, collision_search, jaccard, language, licenses, packing, pivot_search, quality, substring_dedup, vectors
+from barloom.llm import (bpe, chat, collision_search, jaccard, language, licenses, mixing, packing, pivot_search, quality, resampling, spelling,
+                         substring_dedup, vectors)
 from barloom.llm.common import crc_mod, table
 
 QUERIES: dict = {}
@@ -101,3 +102,133 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of the UTF-8 bytes of a string, for DuckDB: a table of 256 remainders, then a byte at a time.
+CRC = """
+crc AS MATERIALIZED (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i) ORDER BY i) AS t
+  FROM range(256) r(i)
+)"""
+
+
+def crc32(text: str) -> str:
+    codes = f"list_transform(range(0, length(hex(encode({text}))), 2), lambda i: CAST('0x' || hex(encode({text}))[i + 1:i + 2] AS BIGINT))"
+    return f"xor(4294967295, list_reduce({codes}, lambda c, b: xor(c // 256, t[1 + CAST(xor(c % 256, b) AS INTEGER)]), CAST(4294967295 AS BIGINT)))"
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""
+WITH RECURSIVE {CRC}, runs AS (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+  SELECT run, times, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc WHERE length(run) >= 5
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), less AS MATERIALIZED (
+  SELECT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT x.word AS a, y.word AS b FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT x.word, w.word FROM less x JOIN words w ON x.rest = w.word
+  UNION SELECT w.word, x.word FROM less x JOIN words w ON x.rest = w.word
+), near AS (
+  SELECT a, b, n AS near_n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place, count(*) OVER (PARTITION BY a) AS n_near
+  FROM pairs JOIN words ON b = word
+), told AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN b END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN near ON a = word AND place = 1
+), way AS (
+  SELECT word, word AS root, form AS onward FROM told
+  UNION ALL SELECT way.word, told.word, told.form FROM way JOIN told ON way.onward = told.word
+)
+SELECT told.word, form, root, n, n_near, form_n FROM told JOIN way ON told.word = way.word AND way.onward IS NULL
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH {CRC}, found AS MATERIALIZED (
+  SELECT 0 AS side, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), hashed AS MATERIALIZED (
+  SELECT word, {crc32("word")} % 10000 AS bucket FROM (SELECT DISTINCT unnest(words) AS word FROM found), crc
+), each AS MATERIALIZED (
+  SELECT side, doc_id, bucket FROM (SELECT side, doc_id, unnest(words) AS word FROM found) JOIN hashed USING (word)
+), sums AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM each GROUP BY bucket
+), total AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0 * ln(((t + 1.0::DOUBLE) * (all_s + 10000)::DOUBLE) / ((s + 1.0::DOUBLE) * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sums, total
+), weighed AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS gain FROM each JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce((gain - ((gain % n) + n) % n) // n, 0) AS weight,
+         CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) AS h
+  FROM (SELECT doc_id FROM documents) d LEFT JOIN weighed USING (doc_id)
+), noisy AS (
+  SELECT doc_id, n_features, weight, CAST(weight + floor(-1000.0 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS fit FROM noisy
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank, n_features AS n_words FROM ranked
+""")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def mixing_tier(i: int) -> str:
+    """One tier of documents drawn in Pareto order, after the tiers before it."""
+    so_far = "(SELECT key, 0 AS so_far FROM targets)" if i == 0 else f"so{i - 1}"
+    return f"""
+goal{i} AS (
+  SELECT key, words, least(greatest(rest * (CAST(upto AS DOUBLE) / CAST(source_size AS DOUBLE)) - so_far, 0.0), CAST(words AS DOUBLE)) AS goal
+  FROM by_tier JOIN {so_far} USING (key) WHERE tier = {i}
+), drawn{i} AS MATERIALIZED (
+  SELECT *, 2.0::DOUBLE * coalesce(sum(size) OVER (PARTITION BY key ORDER BY odds / (1.0::DOUBLE + odds), doc_id NULLS FIRST, size
+                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= 2.0::DOUBLE * goal AS drawn
+  FROM (SELECT placed.*, goal, CASE WHEN goal / words >= 1 THEN 0 ELSE (u / (1.0::DOUBLE - u)) / ((goal / words) / (1.0::DOUBLE - goal / words)) END AS odds
+        FROM placed JOIN goal{i} USING (key) WHERE tier = {i} AND goal > 0)
+), so{i} AS MATERIALIZED (
+  SELECT key, CAST(sum(so_far) AS BIGINT) AS so_far
+  FROM (SELECT key, so_far FROM {so_far} UNION ALL SELECT key, size FROM drawn{i} WHERE drawn) GROUP BY key
+)"""
+
+
+_TIERS = range(mixing.TIERS + 1)
+
+
+@query(f"""
+WITH sized AS MATERIALIZED (
+  SELECT row_number() OVER () AS line, doc_id, source, coalesce('s' || source, 'n') AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         (CAST(CAST('0x' || md5('13:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), sums AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM sized GROUP BY key, source
+), shares AS (
+  SELECT *, (150 * sum(source_size) OVER () - 100 * coalesce(sum(2 * source_size) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+            / (100 * sum(weight) OVER (s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share
+  FROM sums WINDOW s AS (ORDER BY source_size::DOUBLE / weight, key)
+), targets AS MATERIALIZED (
+  SELECT key, source_size, CASE WHEN weight * level > 2 * source_size THEN 2.0::DOUBLE * source_size ELSE weight * level END AS target
+  FROM shares, (SELECT arg_min(share, source_size::DOUBLE / weight) AS level FROM shares WHERE weight * share <= 2 * source_size)
+), placed AS MATERIALIZED (
+  SELECT *, CASE WHEN rest > 0 AND size > 0 THEN CASE {" ".join(f"WHEN size * {mixing.STEP ** (i + 1)}.0::DOUBLE > rest THEN {i}" for i in _TIERS[:-1])} ELSE {mixing.TIERS} END END AS tier
+  FROM (SELECT *, target - whole * source_size AS rest
+        FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM sized JOIN targets USING (key)))
+), by_tier AS MATERIALIZED (
+  SELECT *, sum(words) OVER (PARTITION BY key ORDER BY tier) AS upto
+  FROM (SELECT key, tier, rest, source_size, CAST(sum(size) AS BIGINT) AS words FROM placed WHERE tier IS NOT NULL GROUP BY ALL)
+), {",".join(mixing_tier(i) for i in _TIERS)}
+SELECT doc_id, size, source_size, target, size * (whole + coalesce(CAST(drawn AS INTEGER), 0)) AS taken, whole + coalesce(CAST(drawn AS INTEGER), 0) AS copies
+FROM placed LEFT JOIN ({" UNION ALL ".join(f"SELECT line, drawn FROM drawn{i}" for i in _TIERS)}) USING (line)
+""")
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
