@@ -37,16 +37,14 @@ def train_test(spark, sf_dir):
 @query()
 def meta_model_scores(spark, sf_dir):
     """Pooled classifier fitted on the first 80% of bars, scored on the rest."""
-    train, test = train_test(spark, sf_dir)
-    model = ml.classifier(COLUMNS, **MODEL).fit(train)
-    return ml.win_probability(model.transform(test)).select("trade_id", "label", "p_win")
+    _, scored = ml.fit_and_score(*train_test(spark, sf_dir), COLUMNS, **MODEL)
+    return scored.select("trade_id", "label", "p_win")
 
 
 @query()
 def model_search(spark, sf_dir):
-    """Drawn settings scored by top-quantile precision."""
-    model = ml.search(dataset(spark, sf_dir), COLUMNS)
-    return ml.search_table(model, spark)
+    """15 drawn settings x 5 folds, scored by top-quantile precision."""
+    return ml.search(dataset(spark, sf_dir), COLUMNS)
 
 
 @query()
@@ -56,18 +54,17 @@ def out_of_fold_scores(spark, sf_dir):
 
 @query()
 def model_leaf_novelty(spark, sf_dir):
-    train, test = train_test(spark, sf_dir)
-    model = ml.classifier(COLUMNS, **MODEL).fit(train)
-    return cal.novelty(ml.leaf_table(model.transform(train), "trade_id"), ml.leaf_table(model.transform(test), "trade_id"))
+    model, _ = ml.fit_and_score(*train_test(spark, sf_dir), COLUMNS, **MODEL)
+    return cal.novelty(model.leaves(0, False), model.leaves(0, True))
 
 
 @query()
 def model_walk_forward(spark, sf_dir):
-    """Per-fold fit, calibration, novelty, gate, overlap filter and summary."""
+    """Per-fold search (8 settings, 3 inner folds), calibration, novelty, gate, overlap filter and summary."""
     rows = dataset(spark, sf_dir).drop("cv_fold")
     edges = sp.fold_edges(rows, WALK_FOLDS, 18 * 86400.0)
     folded = sp.assign_folds(rows, edges)
-    trades = ml.walk_forward(folded, COLUMNS, target=0.3, min_trades=20, **MODEL)
+    trades = ml.walk_forward(folded, COLUMNS, target=0.3, min_trades=20)
     taken = g.non_overlapping(trades.filter("taken"), reach=18, keys=["asset", "fold"])
     return ec.kelly_summary(taken, ["fold"], payoff=1.0, cost=0.004)
 
@@ -75,10 +72,11 @@ def model_walk_forward(spark, sf_dir):
 @query()
 def feature_importances(spark, sf_dir):
     """Top features of a model fitted on the first half of the training rows."""
-    train, _ = train_test(spark, sf_dir)
+    train, test = train_test(spark, sf_dir)
     middle = train.groupBy("asset").agg(F.percentile("bar", 0.5).alias("_mid"))
     half = train.join(middle, "asset").filter("bar <= _mid")
-    return ml.importances(ml.classifier(COLUMNS, **MODEL).fit(half), COLUMNS, spark)
+    model, _ = ml.fit_and_score(half, test, COLUMNS, **MODEL)
+    return ml.importances(model, spark)
 
 
 @query()
@@ -86,10 +84,10 @@ def direction_model_report(spark, sf_dir):
     """Next-bar direction classifier: precision and recall per class."""
     rows = ft.features(t.numbered_bars(spark, sf_dir), balance=False)
     labelled = ft.direction_target(rows.select("asset", "ts", "pos", "bar", *rs.MODEL_FEATURES, "ret_1d"), ft.bar_scale(24))
-    data = cut_lineage(ml.finite_rows(labelled, rs.MODEL_FEATURES))
-    split = sp.split_by_position(data, t.numbered_bars(spark, sf_dir))
-    model = ml.classifier(rs.MODEL_FEATURES, label="target", **MODEL).fit(split.filter("role = 'train'"))
-    return ml.class_report(model.transform(split.filter("role = 'test'")), "target")
+    data = ml.finite_rows(labelled, rs.MODEL_FEATURES).withColumn("row_id", F.concat_ws("_", "asset", F.col("bar").cast("string")))
+    split = cut_lineage(sp.split_by_position(cut_lineage(data), t.numbered_bars(spark, sf_dir)))
+    _, scored = ml.fit_and_score(split.filter("role = 'train'"), split.filter("role = 'test'"), rs.MODEL_FEATURES, row_id="row_id", label="target", **MODEL)
+    return ml.class_report(scored.withColumn("prediction", (F.col("p_win") >= 0.5).cast("int")), "target")
 
 
 @query()
