@@ -59,14 +59,28 @@ def _seeded(name: str) -> str:
 _DRAW = "(((s0 * r + s1) % 2147483647) * 2147483648 + (s2 * t + s3) % 2147483647)"
 
 
-@query(q.with_(_SC, recursive=True) + f""", pool AS (SELECT signal, trade_id, label, p_win >= 0.7 AS sel FROM scored),
-facts AS (SELECT signal, avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS n_selected, count(*) AS n_pool FROM pool GROUP BY signal),
-{_ITS.format(_PERMUTATIONS + 1)}, sp AS (SELECT *, {_seeded("trade_id")} FROM pool),
-dr AS (SELECT signal, it, label, row_number() OVER (PARTITION BY signal, it ORDER BY {_DRAW}, trade_id) AS rk FROM sp, its),
-nul AS (SELECT signal, it, avg(label) AS m FROM dr JOIN facts USING (signal) WHERE rk <= n_selected GROUP BY signal, it)
+def null_means(key: str) -> str:
+    """nul (key, it, m): the wins of random picks from a pool (key, label, sel) of 0/1 labels, one hypergeometric count an iteration."""
+    return f"""facts AS (SELECT {key}, avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS n_selected, count(*) AS n_pool,
+  count(*) FILTER (WHERE label = 0) AS losses FROM pool GROUP BY {key}),
+span AS (SELECT *, n_selected * losses / n_pool::DOUBLE AS mid,
+  10 * sqrt(n_selected * losses / n_pool::DOUBLE * (n_pool - losses) / n_pool * (n_pool - n_selected) / greatest(n_pool - 1, 1)) + 1 AS wide FROM facts),
+support AS (SELECT *, greatest(0, n_selected - (n_pool - losses), CAST(floor(mid - wide) AS BIGINT)) AS lo,
+  unnest(range(greatest(0, n_selected - (n_pool - losses), CAST(floor(mid - wide) AS BIGINT)), least(n_selected, losses, CAST(ceil(mid + wide) AS BIGINT)) + 1)) AS x FROM span),
+logs AS (SELECT *, sum(CASE WHEN x = lo THEN 0 ELSE ln((losses - x + 1)::DOUBLE * (n_selected - x + 1) / (x::DOUBLE * (n_pool - losses - n_selected + x))) END)
+  OVER (PARTITION BY {key} ORDER BY x) AS lg FROM support),
+mass AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY {key})) AS m FROM logs),
+starts AS (SELECT {key}, x, coalesce(sum(m) OVER (PARTITION BY {key} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  / sum(m) OVER (PARTITION BY {key}) AS at FROM mass),
+its AS (SELECT {key}, it, n_selected, (('0x' || substr(md5(concat_ws('_', {key}, it, 0, 0)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM facts, range(1, {_PERMUTATIONS + 1}) r(it)),
+nul AS (SELECT i.{key}, i.it, (i.n_selected - s.x) / i.n_selected::DOUBLE AS m FROM its i ASOF JOIN starts s ON i.{key} = s.{key} AND i.u >= s.at)"""
+
+
+@query(q.with_(_SC, recursive=True) + f""", pool AS (SELECT signal, label, p_win >= 0.7 AS sel FROM scored), {null_means("signal")}
 SELECT signal, n_selected, n_pool, round(any_value(stat), 9) AS statistic, round(avg(m), 8) AS null_mean, round(stddev_pop(m), 8) AS null_std,
   round(quantile_cont(m, 0.95), 8) AS null_p95, round((count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE, 9) AS p_value
-FROM nul JOIN facts USING (signal) GROUP BY signal, n_selected, n_pool""")
+FROM nul JOIN (SELECT signal, stat, n_pool, n_selected FROM facts) USING (signal) GROUP BY signal, n_selected, n_pool""")
 def permutation_test(spark, sf_dir):
     trades = scored_trades(spark, sf_dir)
     out = ec.permutation_test(trades, ["signal"], F.col("label"), F.col("p_win") >= 0.7, _PERMUTATIONS)
@@ -247,23 +261,20 @@ def kelly_summary(spark, sf_dir):
     return rounded(out, win_rate=9, profit_factor=6, avg_net_ret=7, expectancy_r=7)
 
 
-@query(q.with_(_CONV, recursive=True) + f""", pool AS (SELECT *, score >= 0.6 AS sel, asset || '_' || signal || '_' || bar AS trade_id FROM scd),
+@query(q.with_(_CONV, recursive=True) + f""", pool AS (SELECT *, 'all' AS g, score >= 0.6 AS sel FROM scd),
 c AS (SELECT *, 'taker' AS cost_name, ret - 0.004 AS net FROM pool WHERE sel UNION ALL SELECT *, 'maker', ret - 0.0008 FROM pool WHERE sel),
 e AS (SELECT cost_name, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_wins, avg(label) AS wr, coalesce(sum(net) FILTER (WHERE net > 0), 0) AS w,
   coalesce(sum(net) FILTER (WHERE net <= 0), 0) AS l, avg(net) AS x FROM c GROUP BY cost_name),
-facts AS (SELECT avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS ns FROM pool),
-{_ITS.format(_PERMUTATIONS + 1)}, sp AS (SELECT *, {_seeded("trade_id")} FROM pool),
-dr AS (SELECT it, label, row_number() OVER (PARTITION BY it ORDER BY {_DRAW}, trade_id) AS rk FROM sp, its),
-nul AS (SELECT it, avg(label) AS m FROM dr, facts WHERE rk <= ns GROUP BY it),
-pm AS (SELECT (count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE AS perm_p FROM nul, facts)
+{null_means("g")},
+pm AS (SELECT (count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE AS perm_p FROM nul JOIN facts USING (g))
 SELECT cost_name, n, n_wins, round(wr, 8) AS win_rate, round(w / abs(l), 7) AS profit_factor, round(x, 7) AS expectancy, round(perm_p, 8) AS perm_p FROM e, pm""")
 def selection_economics(spark, sf_dir):
     """A ranked selection at two costs with its permutation test."""
     pool = cut_lineage(conviction_trades(spark, sf_dir).select(*KEYS, "ts", "label", "ret", "score"))
     chosen = ec.per_cost(g.by_threshold(pool, 0.6), {"taker": 0.004, "maker": 0.0008})
     rows = ec.net_economics(chosen, ["cost_name"], F.col("cost"))
-    tagged = pool.withColumn("trade_id", F.concat_ws("_", "asset", "signal", F.col("bar").cast("string")))
-    perm = ec.permutation_test(tagged, [], F.col("label"), F.col("score") >= 0.6, _PERMUTATIONS).select(F.col("p_value").alias("perm_p"))
+    tagged = pool.withColumn("g", F.lit("all"))
+    perm = ec.permutation_test(tagged, ["g"], F.col("label"), F.col("score") >= 0.6, _PERMUTATIONS).select(F.col("p_value").alias("perm_p"))
     return rounded(ec.attach_facts(rows, perm, []), win_rate=8, profit_factor=7, expectancy=7, perm_p=8)
 
 

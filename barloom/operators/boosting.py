@@ -26,6 +26,8 @@ BINS = 32
 BLOCK = 2_048
 #: A block's rows are held out of every fit of a group with this membership; -1 is neither.
 TEST = 100
+#: Nodes whose histograms one task adds up.
+NODES = 64
 #: Gradients are rounded to this many bits after the point.
 FIXED = float(1 << 30)
 #: Trees between two written states; in between a state is kept on the executors with its lineage.
@@ -273,14 +275,19 @@ def _level_splits(state: DataFrame, fits: list[Fit], grown: dict[int, Tree], tre
 
     kinds = [("fit", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("cut", pa.int32()), ("gain", pa.float64()), ("left", pa.float64()), ("right", pa.float64()), ("own", pa.float64())]
 
-    def choose(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        k, j = (int(x.as_py()) for x in key)
-        hist = sum(np.frombuffer(x, np.int64) for x in rows.column("body").to_pylist()).reshape(n_columns, bins, 2) / FIXED
-        found = best_split(hist, fits[k], allowed_columns(fits[k], tree, n_columns))
-        return pa.table([pa.array([x], t) for x, (_, t) in zip((k, j, *found), kinds, strict=True)], names=[n for n, _ in kinds])
+    def choose(batches):
+        # A task adds up the histograms of its own nodes as they come in.
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, j, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hist = np.frombuffer(body, np.int64)
+                sums[k, j] = sums[k, j] + hist if (k, j) in sums else hist
+        found = [(k, j, *best_split(body.reshape(n_columns, bins, 2) / FIXED, fits[k], allowed_columns(fits[k], tree, n_columns))) for (k, j), body in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return (state.mapInArrow(histograms, "fit int, node int, body binary").groupBy("fit", "node")
-            .applyInArrow(choose, "fit int, node int, feature int, cut int, gain double, left double, right double, own double").collect())
+    sent = state.mapInArrow(histograms, "fit int, node int, body binary")
+    return sent.repartition(-(-(len(grown) << level) // NODES), "fit", "node").mapInArrow(
+        choose, "fit int, node int, feature int, cut int, gain double, left double, right double, own double").collect()
 
 
 def _advanced(state: DataFrame, fits: list[Fit], grown: dict[int, Tree]) -> DataFrame:
@@ -307,6 +314,17 @@ def grow(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Sequ
     holds it out and any other value is its fold. Inputs must be present and finite, labels 0 or 1, row ids unique.
     A fit without rows, or with one class, predicts its base rate (0.5 without rows).
     """
+    spark = rows.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    # Many small jobs of a known size: planning them anew at run time would take as long as they do.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _grown(rows, columns, fits, members, label, row_id, bins)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _grown(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Sequence[str], label: str, row_id: str, bins: int) -> Model:
     edges = quantile_edges(rows, columns, bins)
     counted = rows.agg(*[F.sum(F.when(_trains_sql(f, members), x)).alias(f"_{i}_{j}")
                          for i, f in enumerate(fits) for j, x in enumerate((F.lit(1), F.col(label).cast("long")))]).first()

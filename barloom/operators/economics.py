@@ -70,8 +70,6 @@ def verdicts(counts: DataFrame, keys: list[str], payoff: float, cost: float = 0.
 #: Draws are whole numbers below 2 to this power; both halves are taken modulo a prime.
 DRAW_BITS = 62
 _PRIME = (1 << 31) - 1
-#: Draws this many standard deviations around the expected cut are ranked one by one.
-CUT_WIDTH = 8.0
 
 
 def _seven(text: Column, first: int) -> Column:
@@ -104,47 +102,85 @@ def draws_of(rows: DataFrame, n_iter: int) -> DataFrame:
     return paired.withColumn("_h", high * F.lit(1 << 31) + low).drop("_one", "_seed", "_r", "_t")
 
 
-def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int = 10_000,
-                     trade_id: str = "trade_id") -> DataFrame:
+def left_counts(draws: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``_x``: how many of ``drawn`` of ``size`` things fall among the first ``left`` of them, by the draw ``_u``.
+
+    The count is hypergeometric. Its distribution is laid out once for each distinct (``by``, size, left, drawn),
+    ten standard deviations to both sides of its mean, and every draw is placed in it as of ``_u``; so
+    a case takes as many rows as its deviation, not as its size.
+    """
+    case = [*by, "size", "left", "drawn"]
+    size, left, drawn = (F.col(c).cast("double") for c in ("size", "left", "drawn"))
+    mean = drawn * left / size
+    wide = 10 * F.sqrt(mean * (size - left) / size * (size - drawn) / F.greatest(size - 1, F.lit(1.0))) + 1
+    lo = F.greatest(F.lit(0.0), drawn - (size - left), F.floor(mean - wide)).cast("long")
+    hi = F.least(drawn, left, F.ceil(mean + wide)).cast("long")
+    x = F.col("_x").cast("double")
+    step = F.when(F.col("_x") == F.col("_lo"), 0.0).otherwise(F.log((left - x + 1) * (drawn - x + 1) / (x * (size - left - drawn + x))))
+    upto, whole = Window.partitionBy(*case).orderBy("_x"), Window.partitionBy(*case)
+    laid = draws.select(*case).distinct().withColumn("_lo", lo).withColumn("_x", F.explode(F.sequence("_lo", hi)))
+    laid = laid.withColumn("_log", F.sum(step).over(upto))
+    laid = laid.withColumn("_mass", F.exp(F.col("_log") - F.max("_log").over(whole)))
+    start = F.coalesce(F.sum("_mass").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.sum("_mass").over(whole)
+    rest = [c for c in draws.columns if c not in case and c != "_u"]
+    steps = laid.select(*case, start.alias("_u"), "_x", *[F.lit(None).cast(draws.schema[c].dataType).alias(c) for c in rest])
+    both = steps.unionByName(draws.withColumn("_x", F.lit(None).cast("long")))
+    order = whole.orderBy("_u", F.col("_x").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("_found", F.last("_x", True).over(order)).filter("_x IS NULL").drop("_x").withColumnRenamed("_found", "_x")
+
+
+def subset_sums(counts: DataFrame, wanted: DataFrame, keys: list[str], n_iter: int) -> DataFrame:
+    """keys, _it, _sum: values of random subsets of fixed size, drawn without replacement.
+
+    ``counts`` has (keys, _v, _c), one row per distinct value; ``wanted`` (keys, n_selected, n_pool). Each
+    iteration's number of picks is split down a binary tree over the sorted values, so the cost is
+    distinct values x iterations, whatever the number of rows: one count an iteration for 0/1 labels.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1
+    leaves = cut_lineage(counts.withColumn("_leaf", place.cast("long")))
+    most = leaves.agg(F.max("_leaf")).first()[0] or 0
+    levels = int(most).bit_length()
+    node = wanted.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("_it"), F.lit(0).cast("long").alias("_node"),
+                         F.col("n_pool").alias("size"), F.col("n_selected").alias("drawn"))
+    for level in range(levels):
+        first = leaves.groupBy(*keys, F.shiftright("_leaf", levels - level - 1).alias("_child")).agg(F.sum("_c").alias("left"))
+        first = first.filter("_child % 2 = 0").withColumn("_node", (F.col("_child") / 2).cast("long")).drop("_child")
+        met = node.join(first, [*keys, "_node"], "left").fillna(0, subset=["left"])
+        u = (_digits(F.concat_ws("_", *[F.col(k).cast("string") for k in keys], "_it", F.lit(level), F.col("_node").cast("string"))) + 0.5) / float(1 << 52)
+        split = left_counts(met.withColumn("_u", u), [*keys, "_node"])
+        child = lambda right, count, n: F.struct((F.col("_node") * 2 + right).alias("_node"), n.alias("size"), count.alias("drawn"))
+        parts = F.explode(F.array(child(0, F.col("_x"), F.col("left")), child(1, F.col("drawn") - F.col("_x"), F.col("size") - F.col("left"))))
+        node = cut_lineage(split.select(*keys, "_it", parts.alias("_p")).select(*keys, "_it", "_p.*").filter("drawn > 0"))
+    at = node.join(leaves.select(*keys, F.col("_leaf").alias("_node"), "_v"), [*keys, "_node"])
+    return at.groupBy(*keys, "_it").agg(F.sum(F.col("_v") * F.col("drawn")).alias("_sum"))
+
+
+def _digits(text: Column) -> Column:
+    """The first 52 bits of a text's digest."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+
+
+def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int = 10_000) -> DataFrame:
     """Does the selection beat random picks of the same size?
 
-    Each iteration takes the ``n_selected`` rows of the smallest draws. Where the cut
-    falls is known within a few standard deviations: draws below that strip are
-    summed, those inside it are ranked, and the rest is not touched. An iteration
-    whose cut is outside the strip is ranked as a whole.
+    The statistic is the selected rows' mean; each iteration takes as many rows of the pool at random. A null
+    value counts as 0 in the picks. Without a selection, or if all is selected, the test's columns are null.
     """
-    base = cut_lineage(pool.select(
-        *keys, row_seed(F.col(trade_id)).alias("_seed"), F.col(trade_id).alias("_id"), value.cast("double").alias("_v"), selected.alias("_sel")))
-    seen = cut_lineage(base.groupBy(*keys).agg(
-        F.avg(F.when(F.col("_sel"), F.col("_v"))).alias("statistic"),
-        F.sum(F.col("_sel").cast("long")).alias("n_selected"), F.count(F.lit(1)).alias("n_pool")))
-    share = F.col("n_selected") / F.col("n_pool")
-    slack = CUT_WIDTH * F.sqrt(share * (1 - share) / F.col("n_pool"))
-    strip = seen.select(*keys, "n_selected", ((share - slack) * 2.0 ** DRAW_BITS).alias("_lo"), ((share + slack) * 2.0 ** DRAW_BITS).alias("_hi"))
-    placed = attach_facts(base.drop("_sel"), strip, keys)
-    part = [*keys, "_it"]
-    near = draws_of(placed, n_iter).filter(F.col("_h") <= F.col("_hi"))
-    inside = F.col("_h") >= F.col("_lo")
-    below = near.groupBy(*part).agg(
-        F.count(F.when(~inside, 1)).alias("_n0"), F.coalesce(F.sum(F.when(~inside, F.col("_v"))), F.lit(0.0)).alias("_s0"),
-        F.count(F.lit(1)).alias("_n1"), F.first("n_selected").alias("_want"))
-    below = cut_lineage(below)
-    good = below.filter((F.col("_n0") <= F.col("_want")) & (F.col("_n1") >= F.col("_want")))
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
-    ranked = near.filter(inside).select(*part, "_h", "_id", "_v").withColumn("_rank", rank)
-    edge = (good.join(ranked, part, "left").groupBy(*part).agg(
-        (F.first("_s0") + F.coalesce(F.sum(F.when(F.col("_rank") <= F.col("_want") - F.col("_n0"), F.col("_v"))), F.lit(0.0))).alias("_sum")))
-    missed = below.join(good.select(*part), part, "left_anti").select(*part, "_want")
-    whole = draws_of(placed, n_iter).join(missed, part).withColumn("_rank", rank)
-    edge = edge.unionByName(whole.groupBy(*part).agg(F.sum(F.when(F.col("_rank") <= F.col("_want"), F.col("_v"))).alias("_sum")))
-    null = attach_facts(edge, seen.select(*keys, "n_selected", "statistic"), keys)
+    base = pool.select(*keys, value.cast("double").alias("_v"), F.coalesce(selected, F.lit(False)).alias("_sel"))
+    counts = cut_lineage(base.groupBy(*keys, F.coalesce("_v", F.lit(0.0)).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(F.col("_sel").cast("long")).alias("_s"), F.sum((F.col("_sel") & F.col("_v").isNotNull()).cast("long")).alias("_k")))
+    seen = cut_lineage(counts.groupBy(*keys).agg(
+        (F.sum(F.col("_v") * F.col("_k")) / F.when(F.sum("_k") > 0, F.sum("_k"))).alias("statistic"),
+        F.sum("_s").alias("n_selected"), F.sum("_c").alias("n_pool")))
+    real = (F.col("n_selected") > 0) & (F.col("n_selected") < F.col("n_pool"))
+    sums = subset_sums(counts.select(*keys, "_v", "_c"), seen.filter(real).select(*keys, "n_selected", "n_pool"), keys, n_iter)
+    null = attach_facts(sums, seen.select(*keys, "n_selected", "statistic"), keys)
     null = null.withColumn("_mean", F.col("_sum") / F.col("n_selected"))
     summary = null.groupBy(*keys).agg(
         F.avg("_mean").alias("null_mean"), F.stddev_pop("_mean").alias("null_std"),
         F.percentile("_mean", 0.95).alias("null_p95"),
         ((F.sum((F.col("_mean") >= F.col("statistic")).cast("long")) + 1) / F.lit(float(n_iter + 1))).alias("p_value"))
     out = attach_facts(seen, summary, keys, how="left")
-    real = (F.col("n_selected") > 0) & (F.col("n_selected") < F.col("n_pool"))
     return out.select(*keys, "n_selected", "n_pool", *[
         F.when(real, F.col(c)).alias(c) for c in ("statistic", "null_mean", "null_std", "null_p95", "p_value")])
 
