@@ -117,10 +117,23 @@ def crc_mod(column, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Hashes that sample rows are chosen by have so many bits, so that the smallest share still chooses some.
+SHARE_BITS = 62
+
+
+def share_hash(column: str):
+    """A hash of a column of SHARE_BITS bits; rows under ``share_bound(share)`` are about that share of all."""
+    return F.xxhash64(column).bitwiseAND(F.lit((1 << SHARE_BITS) - 1))
+
+
+def share_bound(share: float) -> int:
+    return int(min(1.0, share) * float(1 << SHARE_BITS))
+
+
 class WordHashes(dict):
     """Word (bytes) -> hash of 32 bits or, by another function, 64; remembered up to a bounded number of words."""
 
-    def __init__(self, limit: int = 400_000, function: Callable[[bytes], int] = zlib.crc32):
+    def __init__(self, limit: int = 150_000, function: Callable[[bytes], int] = zlib.crc32):
         super().__init__()
         self.limit, self.function = limit, function
 

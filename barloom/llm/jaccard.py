@@ -22,8 +22,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from barloom.llm.common import WordHashes, kept, mix, pack_documents, unpack
+from barloom.llm.common import WordHashes, kept, mix, pack_documents, unpack, unpack_table
 from barloom.llm.components import connected_components
 from barloom.llm.exchange import bucket_count, corpus_bytes, key_bits, known_keys, repeated_keys, sums_of
 from barloom.session import cut_lineage
@@ -227,3 +228,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_class = grouped.join(smallest, "label").select("class_key", "component_id")
     return (rows.join(of_class, "class_key", "left")
             .select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id (null last), of repeated ids the first.
+
+    Rows are told apart by where they stand, so rows that share an id are judged each for
+    itself. Null and blank texts have no partner and stay, one row each; all columns stay as they are.
+    """
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    packs = pack_documents(docs, id_col, text_col, tuple(rest))
+    rows = kept(document_sets(packs, words))
+    node = F.shiftleft("pack", 16) + F.col("place")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", node.alias("at"))).alias("first")
+    classes = cut_lineage(rows.where("size > 0").groupBy("class_key").agg(F.min(node).alias("node"), first))
+    places = classes.select(F.shiftright("node", 16).alias("pack"), F.expr("cast(node & 65535 as int)").alias("place"))
+    sets = cut_lineage(candidate_sets(packs, places, words, percent))
+    labels = connected_components(cut_lineage(similarity_links(sets, percent)))
+    grouped = cut_lineage(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    stays = grouped.groupBy("label").agg(F.min("first").alias("first")).select("label", F.col("first.at").alias("stays"))
+    of_class = grouped.select("class_key", "label").join(stays, "label").select("class_key", "stays")
+    gone = (rows.join(of_class, "class_key").where(node != F.col("stays")).groupBy("pack").agg(F.collect_list("place").alias("places")))
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *(StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(rest))])
+
+    def drop(pack_rows: pa.Table, told: pa.Table) -> pa.Table:
+        left_out = np.array([p for places in told.column("places").to_pylist() for p in places], np.int64)
+        tables = []
+        for blob in pack_rows.column("blob").to_pylist():
+            inner = unpack_table(blob)
+            stay = np.ones(inner.num_rows, bool)
+            stay[left_out] = False
+            tables.append(inner.filter(pa.array(stay)))
+        return pa.concat_tables(tables)
+
+    left = packs.select("pack", "blob").groupBy("pack").cogroup(gone.groupBy("pack")).applyInArrow(drop, schema)
+    named = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text").cast(docs.schema[text_col].dataType)} | {c: F.col(f"_{i}") for i, c in enumerate(rest)}
+    return left.select(*(named[c].alias(c) for c in docs.columns))

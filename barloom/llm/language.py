@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_batches, map_texts, text_bytes
+from barloom.llm.common import map_batches, map_texts, share_bound, share_hash, text_bytes
 
 ORDER = 3
 #: Bytes of labelled text (about) that each language's tree is learnt from, and the
@@ -138,12 +138,14 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     plain = plain.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["b"] for r in plain.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    names = sorted(k for k, b in sizes.items() if b)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    part = share_hash("doc_id")
+    held = plain.where(F.octet_length("text") > 0).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b"), F.min(part).alias("least"))
+    sizes = {r["lang"]: (r["b"], r["least"]) for r in held.collect()}
+    names = sorted(sizes)
     share = F.lit(False)
-    for name in names:
-        share = share | ((F.col("lang") == name) & (part < int(min(1.0, sample_bytes / sizes[name]) * 1_000_000)))
+    for name, (size, least) in sizes.items():
+        # However small the share, a language's row of the smallest hash is taken.
+        share = share | ((F.col("lang") == name) & (part < max(share_bound(sample_bytes / size), least + 1)))
     sample = plain.where(share)
 
     def count_bytes(batch):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,10 +157,15 @@ def scan_text(text: bytes, phrases: dict[str, str], notices: tuple[tuple[str, st
     """n_words, exact places [(word, label)] and fuzzy spans [(label, first, last, edits)]."""
     line = normal(text)
     n_words = line.count(b" ") - 1 if len(line) > 2 else 0
-    word_at = lambda at: line.count(b" ", 0, at + 1) - 1  # noqa: E731  the word that begins at the byte
-    exact = sorted((word_at(at), label) for phrase, label in phrases.items() for at in all_places(line, b" " + phrase.encode() + b" "))
+    places = [(at, label) for phrase, label in phrases.items() for at in all_places(line, b" " + phrase.encode() + b" ")]
+    fuzzy = fuzzy_spans(line, notices, names)
+    if not places and not fuzzy:
+        return n_words, [], []
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    word_at = lambda at: int(np.searchsorted(spaces, at, "right")) - 1  # noqa: E731  the word that begins at the byte
+    exact = sorted((word_at(at), label) for at, label in places)
     spans = []
-    for a, b, label, edits in fuzzy_spans(line, notices, names):
+    for a, b, label, edits in fuzzy:
         # A match may begin with the space before its first word, or inside a changed word.
         a, b = a + (line[a:a + 1] == b" "), b - (line[b - 1:b] == b" ")
         spans.append((label, word_at(a - 1) if line[a - 1:a] == b" " else word_at(a), word_at(b - 1), edits))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import share_bound, share_hash
 from barloom.llm.vectors import QUERY_ROWS, UNIT_ROWS, matrix, merge_top_k, search_units, top_k
 from barloom.session import cut_lineage
 
@@ -117,8 +118,7 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     # A margin above the largest norm keeps queries that are no candidates inside as well.
     norm2 = float(facts["norm2"])
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
-    sample = vectors.where(part < int(min(1.0, SAMPLE_ROWS / facts["n"]) * 1_000_000)).select("vec").toArrow()
+    sample = vectors.where(share_hash("vec_id") < share_bound(SAMPLE_ROWS / facts["n"])).select("vec").toArrow()
     if not sample.num_rows:
         sample = vectors.select("vec").limit(1).toArrow()
     pivots = choose_pivots(lifted(matrix(sample.column("vec")).astype(np.float64), norm2), PIVOTS)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHashes, map_batches, map_texts, mix, text_bytes
+from barloom.llm.common import WordHashes, map_batches, map_texts, mix, share_bound, share_hash, text_bytes
 
 #: Weights, as a power of two.
 BITS = 18
@@ -71,11 +71,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
-    total = known.count()
-    if not total:
+    part = share_hash("doc_id")
+    facts = known.agg(F.count(F.lit(1)).alias("n"), F.min(part).alias("least")).first()
+    if not facts["n"]:
         return None
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = known.where(part < int(min(1.0, sample_rows / total) * 1_000_000))
+    chosen = known.where(part < max(share_bound(sample_rows / facts["n"]), facts["least"] + 1))
     # About sample_rows pairs of numbers, so the broadcast is bounded.
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     examples = plain.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")

@@ -55,3 +55,43 @@ def test_packed_is_all_that_was_kept(stages):
     packed = stages[5].groupBy("doc_id").agg(F.count("*").alias("n"))
     assert {r.doc_id for r in packed.collect()} == ids(stages[4])
     assert stages[5].groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+@pytest.fixture()
+def clashing(spark, prose, tmp_path):
+    """Odd rows with columns named like those the operators make, and labels for some of them."""
+    rows = [(i, prose(i, 60 + i % 40), "en", 0.5) for i in range(40)]
+    rows += [(2, rows[1][1], "en", 0.1), (2, prose(777, 80), "en", 0.2), (None, prose(778, 50), None, 0.3), (50, None, None, 0.4),
+             (51, "", None, 0.4), (52, prose(5, 60_000), "en", 0.0), (53, prose(909, 70), "en", 0.0), (53, prose(909, 70), "en", 0.0)]
+    names = "doc_id bigint, text string, lang string, score double, kept_text string, n_bytes int, lang_pred string, _0 int, pack int"
+    docs = spark.createDataFrame([(*r, "k", 1, "p", 2, 3) for r in rows], names)
+    spark.createDataFrame([(i, 1 - (i % 4 == 0), 0) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return docs, str(tmp_path)
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark, clashing):
+    docs, folder = clashing
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+            assert {(r.lang_pred, r["_0"], r.pack) for r in out.collect()} == {("p", 2, 3)}
+        else:
+            assert out.count() >= docs.count()
+        assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_each(spark, clashing):
+    docs, folder = clashing
+    before, after = docs.collect(), pipeline.jaccard_join(spark, docs.repartition(3), folder).collect()
+    texts = lambda rows: sorted((r.text for r in rows if r.text), key=str)
+    # The copy of document 1 under id 2 goes, the unrelated text under id 2 stays; of two equal rows one stays.
+    assert texts(after) == sorted({r.text for r in before if r.text}, key=str)
+    assert {r.doc_id for r in after if r.text == before[1].text} == {1}
+    assert sum(r.text in (None, "") for r in after) == 2
+
+
+def test_documents_without_a_known_language_stay(spark, clashing):
+    docs, folder = clashing
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert pipeline.language_id(spark, unlabelled, folder).count() == docs.where("length(text) > 0").count()
