@@ -126,22 +126,10 @@ def result_sink_round_trip(spark, sf_dir):
     return spark.read.parquet(path).select("asset", "ts", *m.BAR_COLUMNS)
 
 
-_SPARSE = q.with_(q.BARS, q.FUNDING) + """, thin AS (SELECT * FROM funding WHERE dayofyear(ts) % 3 = 0),
-j AS (SELECT b.asset, b.ts, b.close, t.funding_rate AS r FROM bars b LEFT JOIN thin t ON t.asset = b.asset AND t.ts = b.ts)"""
-_FILLED = "last_value(r IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts)"
+def _filled(column: str) -> str:
+    return f"last_value({column} IGNORE NULLS) OVER (PARTITION BY asset ORDER BY ts)"
 
 
-@query(_SPARSE + f"SELECT asset, ts, close, {_FILLED} AS funding_rate FROM j")
-def attach_funding(spark, sf_dir):
-    thin = t.funding(spark, sf_dir).filter(F.dayofyear("ts") % 3 == 0)
-    return m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), thin, ["funding_rate"])
-
-
-@query(_SPARSE + f"SELECT asset, ts, close, coalesce({_FILLED}, 0.5) AS obi FROM j")
-def attach_imbalance_default(spark, sf_dir):
-    thin = t.funding(spark, sf_dir).filter(F.dayofyear("ts") % 3 == 0).withColumnRenamed("funding_rate", "obi")
-    return m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), thin, ["obi"], default=0.5)
-
 
 _WHOLE = q.with_(q.BARS, q.FUNDING) + """, imb AS (SELECT asset, ts,
   CAST(sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE qty END) AS DOUBLE) / (sum(qty) + 1e-9::DOUBLE) AS obi FROM ticks GROUP BY asset, ts),
@@ -149,14 +137,14 @@ j AS (SELECT b.asset, b.ts, b.close, f.funding_rate, i.obi FROM bars b LEFT JOIN
   LEFT JOIN imb i ON i.asset = b.asset AND i.ts = b.ts)"""
 
 
-@query(_WHOLE + f"SELECT asset, ts, close, {_FILLED.replace('(r ', '(funding_rate ')} AS funding_rate FROM j")
-def attach_funding_all_days(spark, sf_dir):
+@query(_WHOLE + f"SELECT asset, ts, close, {_filled('funding_rate')} AS funding_rate FROM j")
+def attach_funding(spark, sf_dir):
     """The whole funding series on the bars."""
     return m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), t.funding(spark, sf_dir), ["funding_rate"])
 
 
-@query(_WHOLE + f"SELECT asset, ts, close, round(coalesce({_FILLED.replace('(r ', '(obi ')}, 0.5), 12) AS obi FROM j")
-def attach_imbalance_all_days(spark, sf_dir):
+@query(_WHOLE + f"SELECT asset, ts, close, round(coalesce({_filled('obi')}, 0.5), 12) AS obi FROM j")
+def attach_imbalance_default(spark, sf_dir):
     """The whole imbalance series on the bars."""
     out = m.attach_series(t.bars(spark, sf_dir).select("asset", "ts", "close"), t.imbalance(spark, sf_dir), ["obi"], default=0.5)
     return out.withColumn("obi", F.round("obi", 12))

@@ -101,40 +101,17 @@ def pair_returns(spark, sf_dir):
     return rounded(pr.pair_returns(placed, 0.001), strat_ret=9)
 
 
-_TRI = """legs AS (SELECT date_trunc('hour', ts) AS snapshot, CASE event_type WHEN 'click' THEN 'ab' WHEN 'view' THEN 'bc' ELSE 'ac' END AS leg,
-    max(value) + 1 AS p FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1, 2),
+_TRI = """legs AS (SELECT date_trunc('hour', ts) AS snapshot, CASE WHEN event_type IN ('click', 'signup') THEN 'ab'
+    WHEN event_type IN ('view', 'error') THEN 'bc' ELSE 'ac' END AS leg, max(value) + 1 AS p FROM events GROUP BY 1, 2),
 w AS (SELECT snapshot, max(p) FILTER (WHERE leg = 'ab') AS ab, max(p) FILTER (WHERE leg = 'bc') AS bc, max(p * p) FILTER (WHERE leg = 'ac') AS ac FROM legs GROUP BY snapshot),
 e AS (SELECT *, (greatest(ac / (ab * bc), 1 / (ac / (ab * bc))) * (1 - 0.001::DOUBLE) ** 3 - 1) * 10000 AS edge_bps FROM w WHERE ab IS NOT NULL AND bc IS NOT NULL AND ac IS NOT NULL)"""
 
 
-def legs(spark, sf_dir):
-    """Hourly prices of three legs; the direct leg is scaled to the product of the other two."""
-    events = t.table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "view", "purchase"))
-    leg = F.when(F.col("event_type") == "click", "ab").when(F.col("event_type") == "view", "bc").otherwise("ac")
-    hourly = events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("snapshot"), leg.alias("leg")).agg(
-        (F.max("value") + 1).alias("_p"))
-    return hourly.select("snapshot", "leg", F.when(F.col("leg") == "ac", F.col("_p") * F.col("_p")).otherwise(F.col("_p")).alias("price"))
-
-
-@query(q.with_(_TRI) + "SELECT snapshot, ab, bc, ac, round(edge_bps, 5) AS edge_bps FROM e")
-def triangle_edges(spark, sf_dir):
-    return rounded(tri.triangle_edges(legs(spark, sf_dir)), edge_bps=5)
-
-
-@query(q.with_(_TRI) + """SELECT count(*) AS n_snapshots, count(*) FILTER (WHERE edge_bps > 50) AS n_viable, round(avg(CAST(edge_bps > 50 AS INT)), 9) AS viable_share,
-  round(avg(edge_bps), 4) AS mean_edge_bps, round(max(edge_bps), 4) AS max_edge_bps FROM e""")
-def triangle_summary(spark, sf_dir):
-    out = tri.triangle_summary(tri.triangle_edges(legs(spark, sf_dir)))
-    return rounded(out, viable_share=9, mean_edge_bps=4, max_edge_bps=4)
-
-
-_TRI_ALL = _TRI.replace("CASE event_type WHEN 'click' THEN 'ab' WHEN 'view' THEN 'bc' ELSE 'ac' END",
-                        "CASE WHEN event_type IN ('click', 'signup') THEN 'ab' WHEN event_type IN ('view', 'error') THEN 'bc' ELSE 'ac' END").replace(
-    "WHERE event_type IN ('click', 'view', 'purchase') ", "")
-
-
 def all_legs(spark, sf_dir):
-    """``legs`` of every event: clicks and signups, views and errors, purchases and any other type."""
+    """Hourly prices of three legs: clicks and signups, views and errors, purchases and any other type.
+
+    The direct leg is scaled to the product of the other two.
+    """
     kind = F.col("event_type")
     leg = F.when(kind.isin("click", "signup"), "ab").when(kind.isin("view", "error"), "bc").otherwise("ac")
     hourly = t.table(spark, sf_dir, "events").groupBy(
@@ -142,13 +119,13 @@ def all_legs(spark, sf_dir):
     return hourly.select("snapshot", "leg", F.when(F.col("leg") == "ac", F.col("_p") * F.col("_p")).otherwise(F.col("_p")).alias("price"))
 
 
-@query(q.with_(_TRI_ALL) + "SELECT snapshot, ab, bc, ac, round(edge_bps, 5) AS edge_bps FROM e")
-def triangle_edges_all_events(spark, sf_dir):
+@query(q.with_(_TRI) + "SELECT snapshot, ab, bc, ac, round(edge_bps, 5) AS edge_bps FROM e")
+def triangle_edges(spark, sf_dir):
     return rounded(tri.triangle_edges(all_legs(spark, sf_dir)), edge_bps=5)
 
 
-@query(q.with_(_TRI_ALL) + """SELECT count(*) AS n_snapshots, count(*) FILTER (WHERE edge_bps > 50) AS n_viable, round(avg(CAST(edge_bps > 50 AS INT)), 9) AS viable_share,
+@query(q.with_(_TRI) + """SELECT count(*) AS n_snapshots, count(*) FILTER (WHERE edge_bps > 50) AS n_viable, round(avg(CAST(edge_bps > 50 AS INT)), 9) AS viable_share,
   round(avg(edge_bps), 4) AS mean_edge_bps, round(max(edge_bps), 4) AS max_edge_bps FROM e""")
-def triangle_summary_all_events(spark, sf_dir):
+def triangle_summary(spark, sf_dir):
     out = tri.triangle_summary(tri.triangle_edges(all_legs(spark, sf_dir)))
     return rounded(out, viable_share=9, mean_edge_bps=4, max_edge_bps=4)

@@ -134,3 +134,27 @@ FEATURES = BARS + ",\n" + feature_ctes()
 
 def with_(*ctes: str, recursive: bool = False) -> str:
     return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join(ctes) + "\n"
+
+
+PERMUTATIONS = 10_000
+#: A bound of the Wilson interval of n_wins among n; the sign s is put in.
+WILSON = """(n_wins / n::DOUBLE + 1.959963984540054 ** 2 / (2 * n) {s} 1.959963984540054 * sqrt((n_wins / n::DOUBLE) * (1 - n_wins / n::DOUBLE) / n
+  + 1.959963984540054 ** 2 / (4 * n::DOUBLE * n))) / (1 + 1.959963984540054 ** 2 / n)"""
+
+
+def null_means(key: str) -> str:
+    """nul (key, it, m): the wins of random picks from a pool (key, label, sel) of 0/1 labels, one hypergeometric count an iteration."""
+    return f"""facts AS (SELECT {key}, avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS n_selected, count(*) AS n_pool,
+  count(*) FILTER (WHERE label = 0) AS losses FROM pool GROUP BY {key}),
+span AS (SELECT *, n_selected * losses / n_pool::DOUBLE AS mid,
+  10 * sqrt(n_selected * losses / n_pool::DOUBLE * (n_pool - losses) / n_pool * (n_pool - n_selected) / greatest(n_pool - 1, 1)) + 1 AS wide FROM facts),
+support AS (SELECT *, greatest(0, n_selected - (n_pool - losses), CAST(floor(mid - wide) AS BIGINT)) AS lo,
+  unnest(range(greatest(0, n_selected - (n_pool - losses), CAST(floor(mid - wide) AS BIGINT)), least(n_selected, losses, CAST(ceil(mid + wide) AS BIGINT)) + 1)) AS x FROM span),
+logs AS (SELECT *, sum(CASE WHEN x = lo THEN 0 ELSE ln((losses - x + 1)::DOUBLE * (n_selected - x + 1) / (x::DOUBLE * (n_pool - losses - n_selected + x))) END)
+  OVER (PARTITION BY {key} ORDER BY x) AS lg FROM support),
+mass AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY {key})) AS m FROM logs),
+starts AS (SELECT {key}, x, coalesce(sum(m) OVER (PARTITION BY {key} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  / sum(m) OVER (PARTITION BY {key}) AS at FROM mass),
+its AS (SELECT {key}, it, n_selected, (('0x' || substr(md5(concat_ws('_', {key}, it, 0, 0)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM facts, range(1, {PERMUTATIONS + 1}) r(it)),
+nul AS (SELECT i.{key}, i.it, (i.n_selected - s.x) / i.n_selected::DOUBLE AS m FROM its i ASOF JOIN starts s ON i.{key} = s.{key} AND i.u >= s.at)"""

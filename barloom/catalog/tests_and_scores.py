@@ -24,8 +24,7 @@ _COUNTS = "cnt AS (SELECT signal, count(*) AS n, CAST(sum(label) AS BIGINT) AS n
 _BE = "(1 / 3.0::DOUBLE + 0.004 / 3.0::DOUBLE)"
 _TAIL = f"""tail AS (SELECT signal, least(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_BE}) + (n - i) * ln(1 - {_BE}))), 1) AS p
   FROM (SELECT signal, n, unnest(range(n_wins, n + 1)) AS i FROM cnt) GROUP BY signal)"""
-_WILSON = """(n_wins / n::DOUBLE + 1.959963984540054 ** 2 / (2 * n) {s} 1.959963984540054 * sqrt((n_wins / n::DOUBLE) * (1 - n_wins / n::DOUBLE) / n
-  + 1.959963984540054 ** 2 / (4 * n::DOUBLE * n))) / (1 + 1.959963984540054 ** 2 / n)"""
+_WILSON = q.WILSON
 
 
 def win_counts(spark, sf_dir):
@@ -46,7 +45,7 @@ def significance_verdicts(spark, sf_dir):
     return rounded(out, win_rate=9, breakeven=9, wilson_lo=8, wilson_hi=8, p_value=7, p_deflated=7)
 
 
-_PERMUTATIONS, _RESAMPLES = 10_000, 5_000
+_PERMUTATIONS, _RESAMPLES = q.PERMUTATIONS, 5_000
 _SEVEN = "('0x' || substr(md5({}), {}, 7))::BIGINT"
 _ITS = "its AS (SELECT it, {} + 1 AS r, {} + 1 AS t FROM range(1, {{}}) x(it))".format(_SEVEN.format("it::VARCHAR", 1), _SEVEN.format("it::VARCHAR", 8))
 
@@ -59,22 +58,7 @@ def _seeded(name: str) -> str:
 _DRAW = "(((s0 * r + s1) % 2147483647) * 2147483648 + (s2 * t + s3) % 2147483647)"
 
 
-def null_means(key: str) -> str:
-    """nul (key, it, m): the wins of random picks from a pool (key, label, sel) of 0/1 labels, one hypergeometric count an iteration."""
-    return f"""facts AS (SELECT {key}, avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS n_selected, count(*) AS n_pool,
-  count(*) FILTER (WHERE label = 0) AS losses FROM pool GROUP BY {key}),
-span AS (SELECT *, n_selected * losses / n_pool::DOUBLE AS mid,
-  10 * sqrt(n_selected * losses / n_pool::DOUBLE * (n_pool - losses) / n_pool * (n_pool - n_selected) / greatest(n_pool - 1, 1)) + 1 AS wide FROM facts),
-support AS (SELECT *, greatest(0, n_selected - (n_pool - losses), CAST(floor(mid - wide) AS BIGINT)) AS lo,
-  unnest(range(greatest(0, n_selected - (n_pool - losses), CAST(floor(mid - wide) AS BIGINT)), least(n_selected, losses, CAST(ceil(mid + wide) AS BIGINT)) + 1)) AS x FROM span),
-logs AS (SELECT *, sum(CASE WHEN x = lo THEN 0 ELSE ln((losses - x + 1)::DOUBLE * (n_selected - x + 1) / (x::DOUBLE * (n_pool - losses - n_selected + x))) END)
-  OVER (PARTITION BY {key} ORDER BY x) AS lg FROM support),
-mass AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY {key})) AS m FROM logs),
-starts AS (SELECT {key}, x, coalesce(sum(m) OVER (PARTITION BY {key} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-  / sum(m) OVER (PARTITION BY {key}) AS at FROM mass),
-its AS (SELECT {key}, it, n_selected, (('0x' || substr(md5(concat_ws('_', {key}, it, 0, 0)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM facts, range(1, {_PERMUTATIONS + 1}) r(it)),
-nul AS (SELECT i.{key}, i.it, (i.n_selected - s.x) / i.n_selected::DOUBLE AS m FROM its i ASOF JOIN starts s ON i.{key} = s.{key} AND i.u >= s.at)"""
+null_means = q.null_means
 
 
 @query(q.with_(_SC, recursive=True) + f""", pool AS (SELECT signal, label, p_win >= 0.7 AS sel FROM scored), {null_means("signal")}
@@ -98,6 +82,16 @@ def bootstrap_mean(spark, sf_dir):
     return rounded(ec.bootstrap_mean_pvalue(trades, ["signal"], F.col("ret") - 0.0008, _RESAMPLES), boot_p=9)
 
 
+def poisson_means(source: str, key: str, value: str) -> str:
+    """boot (key, boot_p) by Poisson weights of the rows of ``source`` (key, trade_id, label, ret)."""
+    return f"""steps AS (SELECT list(c ORDER BY k) AS s FROM (SELECT k, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(0, 20) r(k))),
+bits AS (SELECT it, {_SEVEN.format("it::VARCHAR", 1)} + 1 AS r, {_SEVEN.format("it::VARCHAR", 8)} + 1 AS t FROM range(1, {_RESAMPLES + 1}) x(it)),
+seeded AS (SELECT {key}, {value} AS v, {_seeded("trade_id")} FROM {source}),
+weighted AS (SELECT {key}, it, v, len(list_filter(s, lambda x: {_DRAW} / 4611686018427387904.0::DOUBLE >= x)) AS w FROM seeded, bits, steps),
+boot AS (SELECT {key}, (count(*) FILTER (WHERE mean <= 0) + 1) / {_RESAMPLES + 1}.0::DOUBLE AS boot_p
+  FROM (SELECT {key}, it, sum(v * w) / sum(w) AS mean FROM weighted GROUP BY ALL) GROUP BY {key})"""
+
+
 @query(q.with_(_SC, recursive=True) + f""", steps AS (SELECT list(c ORDER BY k) AS s FROM (SELECT k, sum(exp(-1) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(0, 20) r(k))),
 {_ITS.format(_RESAMPLES + 1)}, sv AS (SELECT *, {_seeded("trade_id")} FROM scored),
 d AS (SELECT signal, it, ret - 0.0008 AS v, {_DRAW} / 4611686018427387904.0::DOUBLE AS u FROM sv, its),
@@ -171,22 +165,13 @@ def positions_hard_labels(spark, sf_dir):
     return cal.positions_from_labels(rows).select("asset", "pos", "position", "size")
 
 
-@query(q.with_(q.BARS, POSITIONS) + """SELECT asset, pos, round(strat_ret, 7) AS strat_ret,
-  round(product(1 + strat_ret * 0.00001::DOUBLE) OVER (PARTITION BY asset ORDER BY pos), 9) AS cum_ret FROM pnl""")
-def position_pnl(spark, sf_dir):
-    """Bar returns, and the curve of a thin slice of exposure."""
-    series = position_series(spark, sf_dir).withColumn("_thin", F.col("strat_ret") * 0.00001)
-    out = cal.cumulative_return(series, ["asset"], "_thin")
-    return out.select("asset", "pos", F.round("strat_ret", 7).alias("strat_ret"), F.round("cum_ret", 9).alias("cum_ret"))
-
-
 _LOGS = """lg AS (SELECT *, sum(CASE WHEN strat_ret > -1 THEN ln(1 + strat_ret) ELSE 0 END) OVER w AS l, max(CAST(strat_ret <= -1 AS INT)) OVER w AS lost
   FROM pnl WINDOW w AS (PARTITION BY asset ORDER BY pos))"""
 
 
 @query(q.with_(q.BARS, POSITIONS, _LOGS) + """SELECT asset, pos, round(strat_ret, 7) AS strat_ret,
   round(CASE WHEN lost = 1 THEN 0 ELSE exp(l) END, 6) AS cum_ret FROM lg""")
-def position_pnl_unscaled(spark, sf_dir):
+def position_pnl(spark, sf_dir):
     """Bar returns and their curve, which a loss of all ends at 0."""
     out = ec.equity_curve(position_series(spark, sf_dir), ["asset"], "strat_ret", "pos", ec.position_slice())
     return rounded(out.select("asset", "pos", "strat_ret", F.col("curve").alias("cum_ret")), strat_ret=7, cum_ret=6)
@@ -203,26 +188,6 @@ def trade_level_stats(spark, sf_dir):
     return rounded(out, win_rate=9, avg_win=7, avg_loss=7, profit_factor=6)
 
 
-@query(q.with_(q.BARS, POSITIONS) + """, r0 AS (SELECT *, strat_ret * 0.00001::DOUBLE AS r, coalesce(ret_1d, 0) * 0.00001::DOUBLE AS h FROM pnl),
-k AS (SELECT *, product(1 + r) OVER (PARTITION BY asset ORDER BY pos) AS lg FROM r0),
-d AS (SELECT *, (lg - max(lg) OVER (PARTITION BY asset ORDER BY pos)) / max(lg) OVER (PARTITION BY asset ORDER BY pos) AS dd FROM k),
-a AS (SELECT asset, count(*) AS n_bars, product(1 + r) - 1 AS total, product(1 + h) - 1 AS hold,
-  sqrt(365) * avg(r) / (stddev_samp(r) + 1e-9) AS sharpe, min(dd) AS mdd,
-  coalesce(sum(r) FILTER (WHERE r > 0), 0) / (abs(coalesce(sum(r) FILTER (WHERE r < 0), 0)) + 1e-9) AS pf,
-  avg(CAST(position > 0 AS INT)) AS ls, avg(CAST(position < 0 AS INT)) AS ss, avg(CAST(position = 0 AS INT)) AS fs FROM d GROUP BY asset)
-SELECT asset, n_bars, round(total, 8) AS total_return, round(ln(1 + hold), 5) AS buy_hold_log, round(sharpe, 6) AS sharpe,
-  round(coalesce(((1 + total) ** (365.0::DOUBLE / n_bars) - 1) / nullif(abs(mdd), 0), 0), 6) AS calmar, round(mdd, 7) AS max_drawdown,
-  round(pf, 6) AS profit_factor, round(ls, 8) AS long_share, round(ss, 8) AS short_share, round(fs, 8) AS flat_share FROM a""")
-def performance_report(spark, sf_dir):
-    """Report on a thin slice of exposure, so curves on this data stay finite."""
-    series = position_series(spark, sf_dir).withColumn("strat_ret", F.col("strat_ret") * 0.00001).withColumn(
-        "ret_1d", F.coalesce("ret_1d", F.lit(0.0)) * 0.00001)
-    out = ec.performance_report(series, ["asset"], F.lit(365)).withColumn(
-        "buy_hold_log", F.log1p("buy_hold_return")).drop("buy_hold_return", "alpha")
-    return rounded(out, total_return=8, buy_hold_log=5, sharpe=6, calmar=6, max_drawdown=7, profit_factor=6,
-                   long_share=8, short_share=8, flat_share=8)
-
-
 @query(q.with_(q.BARS, POSITIONS, _LOGS) + """, pk AS (SELECT *, max(CASE WHEN lost = 0 THEN l END) OVER (PARTITION BY asset ORDER BY pos) AS top FROM lg),
 a AS (SELECT asset, count(*) AS n_bars, CASE WHEN max(lost) = 1 THEN -1.0::DOUBLE ELSE exp(sum(ln(1 + strat_ret)) FILTER (WHERE strat_ret > -1)) - 1 END AS total,
   last(close ORDER BY pos) / first(close ORDER BY pos) - 1 AS hold, sqrt(365) * avg(strat_ret) / (stddev_samp(strat_ret) + 1e-9) AS sharpe,
@@ -232,7 +197,7 @@ a AS (SELECT asset, count(*) AS n_bars, CASE WHEN max(lost) = 1 THEN -1.0::DOUBL
 SELECT asset, n_bars, round(total, 6) AS total_return, round(hold, 6) AS buy_hold_return, round(total - hold, 6) AS alpha, round(sharpe, 6) AS sharpe,
   round(coalesce(((1 + total) ** (365.0::DOUBLE / n_bars) - 1) / nullif(abs(mdd), 0), 0), 6) AS calmar, round(mdd, 7) AS max_drawdown,
   round(pf, 6) AS profit_factor, round(ls, 8) AS long_share, round(ss, 8) AS short_share, round(fs, 8) AS flat_share FROM a""")
-def performance_report_unscaled(spark, sf_dir):
+def performance_report(spark, sf_dir):
     """Every column of the report on the returns as they are."""
     series = position_series(spark, sf_dir).withColumn("ret_1d", F.coalesce("ret_1d", F.lit(0.0)))
     out = ec.performance_report(series, ["asset"], F.lit(365))
@@ -246,46 +211,45 @@ SELECT signal, count(*) AS n_trades, round(avg(label), 9) AS win_rate,
   round(coalesce(sum(net) FILTER (WHERE net > 0), 0) / abs(sum(net) FILTER (WHERE net <= 0)), 6) AS profit_factor,
   round(CASE WHEN min(net) <= -1 THEN -1 ELSE exp(sum(ln(1 + net)) FILTER (WHERE net > -1)) - 1 END, 6) AS total_return,
   round(avg(net), 7) AS avg_net_ret, round(avg(ret) / (avg(abs(ret)) + 1e-9), 7) AS expectancy_r FROM n GROUP BY signal""")
-def kelly_summary_with_total(spark, sf_dir):
+def kelly_summary(spark, sf_dir):
     out = ec.kelly_summary(scored_trades(spark, sf_dir), ["signal"], 2.0, 0.004)
     return rounded(out, win_rate=9, profit_factor=6, total_return=6, avg_net_ret=7, expectancy_r=7)
 
 
-@query(q.with_(_SC, recursive=True) + """, k AS (SELECT *, least(greatest(0.5 * (p_win - (1 - p_win) / 2.0), 0), 1) AS size FROM scored),
-n AS (SELECT *, ret * size - size * 0.004 AS net FROM k)
-SELECT signal, count(*) AS n_trades, round(avg(label), 9) AS win_rate,
-  round(coalesce(sum(net) FILTER (WHERE net > 0), 0) / abs(sum(net) FILTER (WHERE net <= 0)), 6) AS profit_factor,
-  round(avg(net), 7) AS avg_net_ret, round(avg(ret) / (avg(abs(ret)) + 1e-9), 7) AS expectancy_r FROM n GROUP BY signal""")
-def kelly_summary(spark, sf_dir):
-    out = ec.kelly_summary(scored_trades(spark, sf_dir), ["signal"], 2.0, 0.004).drop("total_return")
-    return rounded(out, win_rate=9, profit_factor=6, avg_net_ret=7, expectancy_r=7)
-
-
-@query(q.with_(_CONV, recursive=True) + f""", pool AS (SELECT *, 'all' AS g, score >= 0.6 AS sel FROM scd),
-c AS (SELECT *, 'taker' AS cost_name, ret - 0.004 AS net FROM pool WHERE sel UNION ALL SELECT *, 'maker', ret - 0.0008 FROM pool WHERE sel),
-e AS (SELECT cost_name, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_wins, avg(label) AS wr, coalesce(sum(net) FILTER (WHERE net > 0), 0) AS w,
-  coalesce(sum(net) FILTER (WHERE net <= 0), 0) AS l, avg(net) AS x FROM c GROUP BY cost_name),
+@query(q.with_(_CONV, recursive=True) + f""", pool AS (SELECT *, 'all' AS g, score >= 0.6 AS sel, asset || '_' || signal || '_' || bar AS trade_id FROM scd),
+c AS (SELECT *, 'taker' AS cost_name, 0.004::DOUBLE AS cost FROM pool WHERE sel UNION ALL SELECT *, 'maker', 0.0008::DOUBLE FROM pool WHERE sel),
+e AS (SELECT cost_name, any_value(cost) AS cost, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_wins, avg(label) AS wr, coalesce(sum(ret - cost) FILTER (WHERE ret > cost), 0) AS w,
+  coalesce(sum(ret - cost) FILTER (WHERE ret <= cost), 0) AS l, avg(ret - cost) AS x FROM c GROUP BY cost_name),
+days AS (SELECT greatest(date_diff('day', min(ts), max(ts)), 1) AS days FROM pool),
 {null_means("g")},
-pm AS (SELECT (count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE AS perm_p FROM nul JOIN facts USING (g))
-SELECT cost_name, n, n_wins, round(wr, 8) AS win_rate, round(w / abs(l), 7) AS profit_factor, round(x, 7) AS expectancy, round(perm_p, 8) AS perm_p FROM e, pm""")
+pm AS (SELECT (count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE AS perm_p FROM nul JOIN facts USING (g)),
+{poisson_means("c", "cost_name", "ret - cost")}
+SELECT cost_name, n, n_wins, round(n / days::DOUBLE, 8) AS per_day, round(wr, 8) AS win_rate, round(least(greatest({_WILSON.format(s='-')}, 0), 1), 8) AS wilson_lo,
+  round(least(greatest({_WILSON.format(s='+')}, 0), 1), 8) AS wilson_hi, round(1 / 3.0::DOUBLE + cost / 3.0::DOUBLE, 9) AS breakeven,
+  round(w / abs(l), 7) AS profit_factor, round(x, 7) AS expectancy, round(perm_p, 8) AS perm_p, round(boot_p, 9) AS boot_p, round(1 - (1 - boot_p) ** 2, 8) AS boot_p_deflated
+FROM e JOIN boot USING (cost_name), pm, days""")
 def selection_economics(spark, sf_dir):
-    """A ranked selection at two costs with its permutation test."""
+    """A ranked selection at two costs: rate per day, interval, breakeven, permutation and bootstrap tests."""
     pool = cut_lineage(conviction_trades(spark, sf_dir).select(*KEYS, "ts", "label", "ret", "score"))
-    chosen = ec.per_cost(g.by_threshold(pool, 0.6), {"taker": 0.004, "maker": 0.0008})
-    rows = ec.net_economics(chosen, ["cost_name"], F.col("cost"))
-    tagged = pool.withColumn("g", F.lit("all"))
-    perm = ec.permutation_test(tagged, ["g"], F.col("label"), F.col("score") >= 0.6, _PERMUTATIONS).select(F.col("p_value").alias("perm_p"))
-    return rounded(ec.attach_facts(rows, perm, []), win_rate=8, profit_factor=7, expectancy=7, perm_p=8)
-
-
-@query(q.with_(_LAB, recursive=True) + """, s AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM lab),
-f AS (SELECT lab.*, least(6, CAST(floor((epoch_us(ts) - lo) / ((hi - lo) / 6.0::DOUBLE)) AS INT) + 1) AS fold, ret - 0.0008 AS net FROM lab, s)
-SELECT fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_wins, round(avg(label), 9) AS win_rate,
-  round(coalesce(sum(net) FILTER (WHERE net > 0), 0) / abs(sum(net) FILTER (WHERE net <= 0)), 7) AS profit_factor, round(avg(net), 7) AS expectancy
-FROM f GROUP BY fold""")
+    tagged = pool.withColumn("trade_id", F.concat_ws("_", "asset", "signal", F.col("bar").cast("string")))
+    out = ec.selection_report(tagged, F.col("score") >= 0.6, {"taker": 0.004, "maker": 0.0008}, 2.0, _PERMUTATIONS, _RESAMPLES)
+    return rounded(out, per_day=8, win_rate=8, wilson_lo=8, wilson_hi=8, breakeven=9, profit_factor=7, expectancy=7, perm_p=8, boot_p=9, boot_p_deflated=8)
+
+
+@query(q.with_(_LAB, recursive=True) + f""", s AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM lab),
+one AS (SELECT lab.*, asset || '_' || signal || '_' || bar AS trade_id, least(6, CAST(floor((epoch_us(ts) - lo) / ((hi - lo) / 6.0::DOUBLE)) AS INT) + 1) AS fold, ret - 0.0008 AS net FROM lab, s),
+f AS (SELECT * FROM one UNION ALL SELECT * REPLACE (0 AS fold) FROM one),
+e AS (SELECT fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_wins, avg(label) AS wr,
+  coalesce(sum(net) FILTER (WHERE net > 0), 0) / abs(sum(net) FILTER (WHERE net <= 0)) AS pf, avg(net) AS x FROM f GROUP BY fold),
+{poisson_means("f", "fold", "net")},
+up AS (SELECT count(*) FILTER (WHERE x > 0) AS up, count(*) FILTER (WHERE pf > 1) AS won FROM e WHERE fold > 0)
+SELECT fold, n, n_wins, round(wr, 9) AS win_rate, round(pf, 7) AS profit_factor, round(x, 7) AS expectancy, round(boot_p, 9) AS boot_p,
+  CASE WHEN fold = 0 THEN up END AS positive_folds, CASE WHEN fold = 0 THEN won END AS winning_folds FROM e JOIN boot USING (fold), up""")
 def fold_stability(spark, sf_dir):
-    trades = cut_lineage(labelled(spark, sf_dir).select("ts", "label", "ret"))
-    return rounded(ec.fold_stability(trades, 6, 0.0008), win_rate=9, profit_factor=7, expectancy=7)
+    """Folds, and all of them together as fold 0 with the number of folds that are positive."""
+    trades = labelled(spark, sf_dir).withColumn("trade_id", F.concat_ws("_", *KEYS[:2], F.col("bar").cast("string")))
+    trades = cut_lineage(trades.select("trade_id", "ts", "label", "ret"))
+    return rounded(ec.fold_stability(trades, 6, 0.0008, _RESAMPLES), win_rate=9, profit_factor=7, expectancy=7, boot_p=9)
 
 
 # Fills: returned items are sells.

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
 from barloom.catalog.signals import SIDES, STRENGTH, plain_sides, rounded
+from barloom.functions.stats import wilson_bound
 from barloom.operators import economics as ec
 from barloom.operators import features as ft
 from barloom.operators import gating as g
 from barloom.operators import labels as lb
 from barloom.operators import regime as rg
 from barloom.operators import signals as sg
+from barloom.session import cut_lineage
 from barloom.sources import tables as t
 
 KEYS = ["asset", "signal", "bar"]
@@ -337,16 +339,27 @@ _NET = "(ret * size - size * 0.004)"
     f"SELECT *, '{n}' AS variant, asset || '/{n}' AS grp FROM scored WHERE {c}" for n, c in _VARIANTS.items()) + ")",
     NON_OVERLAP.format(src="var").replace("PARTITION BY asset", "PARTITION BY grp").replace("SELECT asset, rn", "SELECT grp, rn")
     .replace("o.asset, o.rn", "o.grp, o.rn").replace("o.asset = w.asset", "o.grp = w.grp").replace("USING (asset, rn)", "USING (grp, rn)"),
-    recursive=True) + f""", k AS (SELECT *, least(greatest(0.5 * (p_win - (1 - p_win) / 2.0), 0), 1) AS size FROM kept)
-SELECT variant, count(*) AS n_trades, round(avg(label), 8) AS win_rate,
+    recursive=True) + f""", k AS (SELECT *, least(greatest(0.5 * (p_win - (1 - p_win) / 2.0), 0), 1) AS size FROM kept),
+pool AS ({" UNION ALL ".join(f"SELECT '{n}' AS variant, label, {c} AS sel FROM scored" for n, c in _VARIANTS.items())}), {q.null_means("variant")},
+pm AS (SELECT variant, CASE WHEN any_value(facts.n_selected) < any_value(n_pool) THEN (count(*) FILTER (WHERE m >= stat) + 1) / {q.PERMUTATIONS + 1}.0::DOUBLE END AS p
+  FROM nul JOIN facts USING (variant) GROUP BY variant),
+e AS (SELECT variant, count(*) AS n, sum(label) AS n_wins, round(avg(label), 8) AS win_rate,
   round(coalesce(sum({_NET}) FILTER (WHERE {_NET} > 0), 0) / abs(sum({_NET}) FILTER (WHERE {_NET} <= 0)), 6) AS profit_factor,
-  round(avg({_NET}), 7) AS avg_net_ret, round(avg(ret) / (avg(abs(ret)) + 1e-9), 6) AS expectancy_r FROM k GROUP BY variant""")
+  round(CASE WHEN min({_NET}) <= -1 THEN -1 ELSE exp(sum(ln(1 + {_NET})) FILTER (WHERE {_NET} > -1)) - 1 END, 6) AS total_return,
+  round(avg({_NET}), 7) AS avg_net_ret, round(avg(ret) / (avg(abs(ret)) + 1e-9), 6) AS expectancy_r FROM k GROUP BY variant)
+SELECT variant, n AS n_trades, win_rate, round(least(greatest({q.WILSON.format(s='-')}, 0), 1), 8) AS wilson_lo, round(least(greatest({q.WILSON.format(s='+')}, 0), 1), 8) AS wilson_hi,
+  profit_factor, total_return, avg_net_ret, expectancy_r, round(p, 9) AS perm_p FROM e LEFT JOIN pm USING (variant)""")
 def gate_ablation(spark, sf_dir):
-    trades = scored_trades(spark, sf_dir).select(
-        *KEYS, "side", "label", "ret", "entry_pos", "exit_pos", "p_win", "alignment", "is_novel")
-    taken = g.non_overlapping(g.gate_variants(trades, F.lit(0.5)), reach=18, keys=["asset", "variant"])
-    out = ec.kelly_summary(taken, ["variant"], payoff=2.0, cost=0.004).drop("total_return")
-    return rounded(out, win_rate=8, profit_factor=6, avg_net_ret=7, expectancy_r=6)
+    """Every gate variant after the overlap filter: economics, interval, and whether its picks beat random ones."""
+    trades = cut_lineage(scored_trades(spark, sf_dir).select(
+        *KEYS, "side", "label", "ret", "entry_pos", "exit_pos", "p_win", "alignment", "is_novel"))
+    taken = cut_lineage(g.non_overlapping(g.gate_variants(trades, F.lit(0.5)), reach=18, keys=["asset", "variant"]))
+    bounds = taken.groupBy("variant").agg(F.sum(F.col("label").cast("long")).alias("w"), F.count(F.lit(1)).alias("n")).select(
+        "variant", wilson_bound(F.col("w"), F.col("n"), False).alias("wilson_lo"), wilson_bound(F.col("w"), F.col("n"), True).alias("wilson_hi"))
+    perm = ec.permutation_test(g.gate_flags(trades, F.lit(0.5)), ["variant"], F.col("label"), F.col("take"), q.PERMUTATIONS)
+    out = (ec.kelly_summary(taken, ["variant"], payoff=2.0, cost=0.004).join(bounds, "variant")
+           .join(perm.select("variant", F.col("p_value").alias("perm_p")), "variant", "left"))
+    return rounded(out, win_rate=8, wilson_lo=8, wilson_hi=8, profit_factor=6, total_return=6, avg_net_ret=7, expectancy_r=6, perm_p=9)
 
 
 @query(q.with_(_SC, recursive=True) + """SELECT CASE WHEN is_novel THEN 'novel' ELSE 'familiar' END AS novelty,

@@ -222,12 +222,10 @@ def bootstrap_mean_pvalue(values: DataFrame, keys: list[str], value: Column, n_i
     return _bootstrap_p(means, keys, n_iter)
 
 
-def poisson_bootstrap_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int = 5_000,
-                             trade_id: str = "trade_id") -> DataFrame:
-    """Bootstrap by independent Poisson(1) weights: one aggregation, no join.
+def poisson_sums(values: DataFrame, keys: list[str], value: Column, n_iter: int = 5_000, trade_id: str = "trade_id") -> DataFrame:
+    """keys, _it, _sum, _w, _n: weighted sums, weights and rows of each iteration, by independent Poisson(1) weights of the rows.
 
-    The form for very large groups; weights come from a hash of row and
-    iteration.
+    One aggregation, no join; weights come from a hash of row and iteration, so groups of the same rows can share them.
     """
     steps, acc, k = [], 0.0, 0
     # As many steps as the resolution of the draw and of doubles can tell apart.
@@ -239,9 +237,15 @@ def poisson_bootstrap_pvalue(values: DataFrame, keys: list[str], value: Column,
         F.col("_v").isNotNull() & ~F.isnan("_v"))
     draws = draws_of(finite, n_iter).withColumn("_u", F.col("_h") / F.lit(2.0 ** DRAW_BITS))
     weight = sum((F.col("_u") >= s).cast("int") for s in steps)
-    means = draws.withColumn("_w", weight).groupBy(*keys, "_it").agg(
-        (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    return _bootstrap_p(means, keys, n_iter)
+    return draws.withColumn("_w", weight).groupBy(*keys, "_it").agg(
+        F.sum(F.col("_v") * F.col("_w")).alias("_sum"), F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
+
+
+def poisson_bootstrap_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int = 5_000,
+                             trade_id: str = "trade_id") -> DataFrame:
+    """Bootstrap by Poisson weights, the form for very large groups: share of resampled means at or below zero."""
+    sums = poisson_sums(values, keys, value, n_iter, trade_id)
+    return _bootstrap_p(sums.withColumn("_mean", F.col("_sum") / F.col("_w")), keys, n_iter)
 
 
 # ---------------------------------------------------------------- runs and curves
@@ -347,14 +351,48 @@ def kelly_summary(trades: DataFrame, keys: list[str], payoff: float, cost: float
         (F.avg("ret") / (F.avg(F.abs("ret")) + 1e-9)).alias("expectancy_r"))
 
 
-def fold_stability(trades: DataFrame, n_folds: int, cost: float) -> DataFrame:
-    """Economics per equal-width calendar fold; the last edge belongs to the last fold."""
+def fold_stability(trades: DataFrame, n_folds: int, cost: float, n_iter: int = 5_000) -> DataFrame:
+    """Economics and bootstrap p per equal-width calendar fold; the last edge belongs to the last fold.
+
+    Fold 0 pools all trades and says how many folds have a positive expectancy and a profit factor above 1.
+    """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     span = trades.agg(F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
     at = attach_facts(trades, span, [])
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(n_folds))
     fold = F.least(F.lit(n_folds), F.floor((micros - F.col("_lo")) / width) + 1).cast("int")
-    return net_economics(at.withColumn("fold", fold), ["fold"], cost)
+    both = at.withColumn("fold", F.explode(F.array(fold, F.lit(0))))
+    rows = cut_lineage(net_economics(both, ["fold"], cost))
+    # A trade's weights are the same in its fold and in the pool, so the pool's sums are those of its folds.
+    sums = cut_lineage(poisson_sums(at.withColumn("fold", fold), ["fold"], F.col("ret") - cost, n_iter))
+    pool = sums.groupBy(F.lit(0).alias("fold"), "_it").agg(*[F.sum(c).alias(c) for c in ("_sum", "_w", "_n")])
+    boot = _bootstrap_p(sums.unionByName(pool).withColumn("_mean", F.col("_sum") / F.col("_w")), ["fold"], n_iter)
+    tested = rows.join(boot.select("fold", "boot_p"), "fold", "left")
+    good = rows.filter("fold > 0").agg(F.count(F.when(F.col("expectancy") > 0, 1)).alias("_up"), F.count(F.when(F.col("profit_factor") > 1, 1)).alias("_won"))
+    pooled = lambda c: F.when(F.col("fold") == 0, F.col(c))
+    return attach_facts(tested, good, []).select(*rows.columns, "boot_p", pooled("_up").alias("positive_folds"), pooled("_won").alias("winning_folds"))
+
+
+def selection_report(pool: DataFrame, selected: Column, costs: dict[str, float], payoff: float, n_permutations: int = 10_000,
+                     n_resamples: int = 5_000) -> DataFrame:
+    """Economics of a selection from ``pool`` (trade_id, ts, label, ret) at several costs, with its significance.
+
+    The permutation test asks whether the selection beats random ones of its size, the bootstrap whether the mean
+    after costs is above zero, corrected for the number of costs tried; rates are per day of the pool's span.
+    """
+    chosen = cut_lineage(pool.filter(selected))
+    rows = net_economics(per_cost(chosen, costs), ["cost_name", "cost"], F.col("cost"))
+    # A cost takes the same from every resampled mean, so all costs share the draws.
+    sums = poisson_sums(chosen, [], F.col("ret"), n_resamples).withColumn("_gross", F.col("_sum") / F.col("_w"))
+    boot = _bootstrap_p(per_cost(sums, costs).withColumn("_mean", F.col("_gross") - F.col("cost")), ["cost_name"], n_resamples).select("cost_name", "boot_p")
+    days = pool.agg(F.greatest(F.floor((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 86_400_000_000),
+                               F.lit(1)).alias("_days"))
+    perm = permutation_test(pool.withColumn("g", F.lit("all")), ["g"], F.col("label"), selected, n_permutations).select(F.col("p_value").alias("perm_p"))
+    out = attach_facts(attach_facts(rows.join(boot, "cost_name", "left"), perm, []), days, [])
+    return out.select(
+        "cost_name", "n", "n_wins", (F.col("n") / F.col("_days")).alias("per_day"), "win_rate", wilson_bound(F.col("n_wins"), F.col("n"), False).alias("wilson_lo"),
+        wilson_bound(F.col("n_wins"), F.col("n"), True).alias("wilson_hi"), breakeven_win_rate(payoff, F.col("cost")).alias("breakeven"),
+        "profit_factor", "expectancy", "perm_p", "boot_p", sidak(F.col("boot_p"), len(costs)).alias("boot_p_deflated"))
 
 
 def fifo_round_trips(fills: DataFrame, fee: float = 0.001, order: list[str] = ["ts", "seq"],

@@ -175,16 +175,20 @@ def mark_selected(pool: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFr
     return pool.join(flags, keys, "left").withColumn("selected", F.coalesce("_in", F.lit(False))).drop("_in")
 
 
-def gate_variants(trades: DataFrame, base: Column) -> DataFrame:
-    """One copy of each trade per gate variant that takes it."""
+def gate_flags(trades: DataFrame, base: Column) -> DataFrame:
+    """One copy of each trade per gate variant, and whether the variant takes it."""
     p, align, novel = F.col("p_win"), F.col("alignment"), F.col("is_novel")
     takes = {
         "all": F.lit(True), "fixed_055": p >= 0.55, "calibrated": p >= base,
         "alignment": p >= effective_threshold(base, align), "novelty": p >= effective_threshold(base, None, novel),
         "full": p >= effective_threshold(base, align, novel)}
-    chosen = F.filter(F.array(*[F.struct(F.lit(n).alias("variant"), c.alias("take")) for n, c in takes.items()]),
-                      lambda s: s["take"])
-    return trades.withColumn("_v", F.explode(chosen)).select("*", "_v.variant").drop("_v")
+    flags = F.array(*[F.struct(F.lit(n).alias("variant"), F.coalesce(c, F.lit(False)).alias("take")) for n, c in takes.items()])
+    return trades.withColumn("_v", F.explode(flags)).select("*", "_v.variant", "_v.take").drop("_v")
+
+
+def gate_variants(trades: DataFrame, base: Column) -> DataFrame:
+    """One copy of each trade per gate variant that takes it."""
+    return gate_flags(trades, base).filter("take").drop("take")
 
 
 def gate_breakdown(trades: DataFrame, tag: str) -> DataFrame:

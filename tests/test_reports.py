@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from barloom.operators import economics as ec
 
 
-@pytest.mark.parametrize("name", ["position_pnl_unscaled", "performance_report_unscaled", "kelly_summary_with_total"])
+@pytest.mark.parametrize("name", ["position_pnl", "performance_report", "kelly_summary"])
 def test_unscaled_query_equals_sql(spark, name):
     tool = load_compare()
     con = duckdb.connect()

@@ -6,8 +6,8 @@ from test_registry import SF, load_compare
 import __spark_entry__ as entry
 from barloom.operators import signals as sg
 
-WHOLE = ["signal_registry_all_rules", "attach_funding_all_days", "attach_imbalance_all_days", "triangle_edges_all_events",
-         "triangle_summary_all_events"]
+WHOLE = ["signal_registry", "attach_funding", "attach_imbalance_default", "triangle_edges",
+         "triangle_summary"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -21,14 +21,14 @@ def test_whole_query_equals_sql(spark, name):
 
 
 def test_every_rule_fires(spark):
-    rows = entry.queries()["signal_registry_all_rules"](spark, "/root/testdata/sf0.01")
+    rows = entry.queries()["signal_registry"](spark, "/root/testdata/sf0.01")
     assert {r.signal for r in rows.select("signal").distinct().collect()} == set(sg.RULES)
 
 
 def test_no_charge_day_is_stale(spark):
     from barloom.sources import tables as t
 
-    rows = entry.queries()["attach_funding_all_days"](spark, SF)
+    rows = entry.queries()["attach_funding"](spark, SF)
     charged = t.funding(spark, SF).withColumnRenamed("funding_rate", "charge")
     assert rows.join(charged, ["asset", "ts"]).filter("NOT funding_rate <=> charge").count() == 0
 
