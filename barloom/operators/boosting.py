@@ -30,6 +30,8 @@ TEST = 100
 NODES = 64
 #: Gradients are rounded to this many bits after the point.
 FIXED = float(1 << 30)
+#: (Row, fit) pairs of a task: at least so many, as a Python task has a cost of its own, and at most so many, for its memory.
+TASK_PAIRS, MOST_PAIRS = 400_000, 20_000_000
 #: Trees between two written states; in between a state is kept on the executors with its lineage.
 WRITE_EVERY = 25
 
@@ -167,13 +169,11 @@ def quantile_edges(rows: DataFrame, columns: Sequence[str], bins: int = BINS) ->
 
 
 def pack_rows(rows: DataFrame, columns: Sequence[str], members: Sequence[str], edges: list[np.ndarray], base: np.ndarray,
-              label: str, row_id: str) -> DataFrame:
+              label: str, row_id: str, parts: int) -> DataFrame:
     """Rows as blocks of bin numbers, labels and memberships, every fit's margin at its base."""
-    spark = rows.sparkSession
     plain = rows.select(F.col(row_id).cast("string").alias("id"), F.xxhash64(F.col(row_id).cast("string")).alias("key"), F.col(label).cast("int").alias("label"),
                         *(F.coalesce(F.col(m).cast("int"), F.lit(-1)).alias(f"m{i}") for i, m in enumerate(members)),
                         *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     first, n_members = 3, len(members)
 
     def run(batches):
@@ -196,7 +196,7 @@ def pack_rows(rows: DataFrame, columns: Sequence[str], members: Sequence[str], e
         if sum(b.num_rows for b in held):
             yield block(pa.Table.from_batches(held))
 
-    return cut_lineage(plain.repartition(parts, "key").mapInArrow(run, _STATE))
+    return cut_lineage(plain.repartition(parts, "key").mapInArrow(run, _STATE)).coalesce(parts)
 
 
 def _sampled(key: np.ndarray, fit: Fit, tree: int) -> np.ndarray:
@@ -326,13 +326,16 @@ def grow(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Sequ
 
 def _grown(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Sequence[str], label: str, row_id: str, bins: int) -> Model:
     edges = quantile_edges(rows, columns, bins)
-    counted = rows.agg(*[F.sum(F.when(_trains_sql(f, members), x)).alias(f"_{i}_{j}")
+    counted = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.when(_trains_sql(f, members), x)).alias(f"_{i}_{j}")
                          for i, f in enumerate(fits) for j, x in enumerate((F.lit(1), F.col(label).cast("long")))]).first()
     n = np.array([counted[f"_{i}_0"] or 0 for i in range(len(fits))], float)
     won = np.array([counted[f"_{i}_1"] or 0 for i in range(len(fits))], float)
     share = np.clip(np.where(n > 0, won / np.maximum(n, 1), 0.5), 1e-6, 1 - 1e-6)
     base = np.log(share / (1 - share))
-    state = pack_rows(rows, columns, members, edges, base, label, row_id)
+    pairs = max(1, counted["rows"] * len(fits))
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-pairs // MOST_PAIRS), min(-(-pairs // TASK_PAIRS), usual))
+    state = pack_rows(rows, columns, members, edges, base, label, row_id, parts)
     model = Model(state, fits, list(columns), base, [[] for _ in fits])
     kept: list[DataFrame] = []
     for t in range(max(f.trees for f in fits)):
@@ -356,7 +359,7 @@ def _grown(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Se
             model.trees[k].append(tree)
         state = _advanced(state, fits, grown)
         if (t + 1) % WRITE_EVERY == 0:
-            state = cut_lineage(state)
+            state = cut_lineage(state).coalesce(parts)
             for old in kept:
                 old.unpersist()
             kept = []
