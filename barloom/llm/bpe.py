@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import map_batches, text_bytes
 
-#: States, pairs, and chunks and pieces remembered by one worker.
-STATES, PAIRS, CHUNKS = 200_000, 400_000, 500_000
+#: States, pairs, and chunks and pieces (together) remembered by one worker.
+STATES, PAIRS, CHUNKS = 200_000, 400_000, 800_000
 
 
 class Vocabulary:
@@ -88,8 +88,12 @@ def merge_by_rank(ranks: dict[bytes, int], piece: bytes, until: int = 1) -> list
     return parts
 
 
+#: Keys of a state's own entries, beside its bytes: its hypotheses, and the tokens due if the piece ends here.
+OWN, FINAL = -1, -2
+
+
 class Transducer:
-    """Encodes pieces; ``steps[state]`` maps a byte to (next state, tokens emitted)."""
+    """Encodes pieces; a state maps a byte to (next state, tokens emitted)."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -97,22 +101,16 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.finals: list[tuple[int, ...]] = []
+        self.states: dict[tuple, dict] = {}
         # A hypothesis: (trie node of the unfinished token, last token before it, tokens not yet emitted).
         self.start = self.state(((0, None, ()),))
 
-    def state(self, hypotheses: tuple) -> int:
-        number = self.numbers.get(hypotheses)
-        if number is None:
-            number = self.numbers[hypotheses] = len(self.states)
-            self.states.append(hypotheses)
-            self.steps.append({})
+    def state(self, hypotheses: tuple) -> dict:
+        state = self.states.get(hypotheses)
+        if state is None:
             # The hypothesis at the trie's root is the encoding of all that was read.
-            self.finals.append(hypotheses[-1][2])
-        return number
+            state = self.states[hypotheses] = {OWN: hypotheses, FINAL: hypotheses[-1][2]}
+        return state
 
     def follows(self, last: int | None, token: int) -> bool:
         """Whether the two tokens' joint bytes are encoded as just these two."""
@@ -125,52 +123,57 @@ class Transducer:
             known = self.may_follow[last, token] = self.v.stand_apart(last, token)
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def step(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """Work out a transition that has not been taken before."""
         trie, ends = self.v.trie, self.v.ends
         going, ended = [], None
-        for node, last, held in self.states[state]:
+        for node, last, held in state[OWN]:
             node = trie[node].get(byte)
             if node is None:
                 continue
             token = ends[node]
             if ended is None and token is not None and self.follows(last, token):
-                ended = (0, token, held + (token,))
+                ended = (0, token, (*held, token))
             if trie[node]:
                 going.append((node, last, held))
         if ended is None:
             raise ValueError("the vocabulary lacks a single byte")
-        going.append(ended)
         # Emit what all hypotheses agree on.
-        shared = 0
-        shortest = min(len(h[2]) for h in going)
-        while shared < shortest and all(h[2][shared] == ended[2][shared] for h in going):
-            shared += 1
-        made = (self.state(tuple((n, last, held[shared:]) for n, last, held in going)), ended[2][:shared])
-        self.steps[state][byte] = made
+        agreed = ended[2]
+        shared = len(agreed)
+        for _, _, held in going:
+            shared = min(shared, len(held))
+            for i in range(shared):
+                if held[i] != agreed[i]:
+                    shared = i
+                    break
+            if not shared:
+                break
+        going.append(ended)
+        if shared:
+            going = [(n, last, held[shared:]) for n, last, held in going]
+        made = state[byte] = (self.state(tuple(going)), agreed[:shared])
         return made
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > STATES:
             self.reset()
         out: list[int] = []
-        state, steps = self.start, self.steps
+        state = self.start
         for b in piece:
-            made = steps[state].get(b) or self.step(state, b)
+            made = state.get(b) or self.step(state, b)
             state = made[0]
             if made[1]:
                 out += made[1]
-            if len(self.states) > 4 * STATES:
-                state = self.renew(state)
-                steps = self.steps
-        out += self.finals[state]
+                if len(self.states) > 4 * STATES:
+                    state = self.renew(state)
+        out += state[FINAL]
         return out
 
-    def renew(self, state: int) -> int:
+    def renew(self, state: dict) -> dict:
         """Forget all states but the current one (in the midst of a very long piece)."""
-        hypotheses = self.states[state]
         self.reset()
-        return self.state(hypotheses)
+        return self.state(state[OWN])
 
 
 #: A state of the UTF-8 machine: (bytes of the unfinished character, bytes still needed, lowest and highest next byte).
@@ -256,35 +259,52 @@ class Remembered:
         return value
 
 
+#: Chunks that are one piece whatever follows: an optional space and letters.
+_ONE_PIECE = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
 class Encoder:
-    """Whole texts: chunks between safe cuts, pieces by the pattern, tokens by the transducer."""
+    """Whole texts: chunks between safe cuts, pieces by the pattern, tokens by the transducer.
+
+    A piece standing alone is its own only piece, so chunks and pieces share one memory.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(path)
         self.transducer = Transducer(self.vocabulary)
         self.pieces = regex.compile(pattern)
-        self.chunks, self.words = Remembered(CHUNKS), Remembered(CHUNKS)
+        # The short way holds for patterns that keep letters together.
+        self.whole = _ONE_PIECE if self.pieces.findall(" aZé") == [" aZé"] else lambda chunk: None
+        self.known = Remembered(CHUNKS)
         self.names = {rank: str(rank) for rank in self.vocabulary.tokens}
         self.decoder = StreamDecoder(self.vocabulary.tokens)
 
     def piece(self, piece: str) -> tuple[int, ...]:
-        known = self.words.look(piece)
-        return known if known is not None else self.words.keep(piece, tuple(self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
+        known = self.known.look(piece)
+        return known if known is not None else self.known.keep(piece, tuple(self.transducer.encode(piece.encode("utf-8", "surrogatepass"))))
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
-        known = self.chunks.look(chunk)
+        if self.whole(chunk):
+            return self.piece(chunk)
+        known = self.known.look(chunk)
         if known is not None:
             return known
-        return self.chunks.keep(chunk, tuple(t for piece in self.pieces.findall(chunk) for t in self.piece(piece)))
+        pieces = self.pieces.findall(chunk)
+        if len(pieces) == 1:
+            return self.piece(chunk)
+        out: list[int] = []
+        for piece in pieces:
+            out += self.piece(piece)
+        return self.known.keep(chunk, tuple(out))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.chunks.new.get
+        known = self.known.new.get
         for chunk in cut(text):
             made = known(chunk)
             if made is None:
                 made = self.chunk(chunk)
-                known = self.chunks.new.get
+                known = self.known.new.get
             out += made
         return out
 
