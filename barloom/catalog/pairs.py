@@ -129,3 +129,39 @@ def triangle_edges(spark, sf_dir):
 def triangle_summary(spark, sf_dir):
     out = tri.triangle_summary(tri.triangle_edges(all_legs(spark, sf_dir)))
     return rounded(out, viable_share=9, mean_edge_bps=4, max_edge_bps=4)
+
+
+_GRAPH = """g AS (SELECT date_trunc('hour', ts) AS snapshot, 'A' || lpad((user_id % 12)::VARCHAR, 2, '0') AS base,
+    'A' || lpad((json_extract_string(props, '$.k')::BIGINT % 12)::VARCHAR, 2, '0') AS quote, 1 + value / 10000 AS price FROM events),
+p AS (SELECT snapshot, least(base, quote) AS x, greatest(base, quote) AS y, max(CASE WHEN base < quote THEN price ELSE 1 / price END) AS there,
+    max(1 / CASE WHEN base < quote THEN price ELSE 1 / price END) AS back FROM g WHERE base <> quote GROUP BY ALL),
+tr AS (SELECT l.snapshot, l.x AS a, l.y AS b, m.y AS c, (greatest(l.there * m.there * n.back, n.there * m.back * l.back) * (1 - 0.001::DOUBLE) ** 3 - 1) * 10000 AS edge_bps
+  FROM p l JOIN p m ON m.snapshot = l.snapshot AND m.x = l.y JOIN p n ON n.snapshot = l.snapshot AND n.x = l.x AND n.y = m.y),
+ta AS (SELECT asset, count(*) AS n_triangles, sum(CAST(edge_bps > 50 AS INT)) AS n_viable, avg(CAST(edge_bps > 50 AS INT)) AS viable_share,
+    avg(edge_bps) AS mean_edge_bps, max(edge_bps) AS max_edge_bps FROM (SELECT edge_bps, unnest([a, b, c]) AS asset FROM tr) GROUP BY asset)"""
+_ASSET_COLS = """SELECT asset, n_triangles, n_viable, round(viable_share, 9) AS viable_share, round(mean_edge_bps, 4) AS mean_edge_bps,
+  round(max_edge_bps, 4) AS max_edge_bps FROM ta"""
+
+
+def price_graph(spark, sf_dir):
+    """Hourly quotes among twelve assets: every event prices its user's asset in the one its property names."""
+    asset = lambda number: F.concat(F.lit("A"), F.lpad((number % 12).cast("string"), 2, "0"))
+    return t.table(spark, sf_dir, "events").select(
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("snapshot"), asset(F.col("user_id")).alias("base"),
+        asset(F.get_json_object("props", "$.k").cast("long")).alias("quote"), (1 + F.col("value") / 10_000).alias("price"))
+
+
+@query(q.with_(_GRAPH) + "SELECT snapshot, a, b, c, round(edge_bps, 5) AS edge_bps FROM tr")
+def triangle_listing(spark, sf_dir):
+    return rounded(tri.list_triangles(price_graph(spark, sf_dir)), edge_bps=5)
+
+
+@query(q.with_(_GRAPH) + _ASSET_COLS)
+def triangle_assets(spark, sf_dir):
+    return rounded(tri.triangle_assets(tri.list_triangles(price_graph(spark, sf_dir))), viable_share=9, mean_edge_bps=4, max_edge_bps=4)
+
+
+@query(q.with_(_GRAPH) + _ASSET_COLS + " ORDER BY ta.max_edge_bps DESC, asset LIMIT 5")
+def triangle_top_assets(spark, sf_dir):
+    out = tri.top_assets(tri.triangle_assets(tri.list_triangles(price_graph(spark, sf_dir))))
+    return rounded(out, viable_share=9, mean_edge_bps=4, max_edge_bps=4)

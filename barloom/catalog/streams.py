@@ -24,6 +24,41 @@ def stream_tick_bars(spark, sf_dir):
     return st.run_to_table(st.stream_bars(ticks, "4h", seq_in_time_order=True))
 
 
+_OHLC = """first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low,
+    last(price ORDER BY ts, seq) AS close, sum(qty) AS volume, count(*) AS n_ticks"""
+_SLIDING = f"""s4 AS (SELECT asset, w AS ts, w + INTERVAL 4 hour AS ends, {_OHLC} FROM (
+  SELECT *, time_bucket(INTERVAL 1 hour, ts) - k * INTERVAL 1 hour AS w FROM sticks, range(0, 4) r(k)) GROUP BY asset, w)"""
+_SESSIONS = f"""g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 20 minute THEN 0 ELSE 1 END AS fresh FROM sticks
+  WINDOW w AS (PARTITION BY asset ORDER BY ts, seq)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY asset ORDER BY ts, seq) AS no FROM g),
+s20 AS (SELECT asset, min(ts) AS ts, max(ts) + INTERVAL 20 minute AS ends, {_OHLC} FROM n GROUP BY asset, no)"""
+_CLOSED = " WHERE ends <= (SELECT max(ts) - INTERVAL 1 hour FROM sticks)"
+
+
+@query(q.with_(q.STREAM, _SLIDING) + "SELECT * FROM s4" + _CLOSED)
+def stream_sliding_bars(spark, sf_dir):
+    """Four-hour bars every hour that the watermark has closed after the stream drained the event files."""
+    ticks = t.shape_events(st.read_event_stream(pin_utc(spark), sf_dir))
+    return st.run_to_table(st.sliding_bars(ticks, "4 hours", "1 hour", seq_in_time_order=True))
+
+
+@query(q.with_(q.STREAM, _SLIDING) + "SELECT * FROM s4")
+def sliding_bars(spark, sf_dir):
+    return st.sliding_bars(t.stream_ticks(spark, sf_dir), "4 hours", "1 hour", seq_in_time_order=True)
+
+
+@query(q.with_(q.STREAM, _SESSIONS) + "SELECT * FROM s20" + _CLOSED)
+def stream_session_bars(spark, sf_dir):
+    """Sessions with pauses of at most 20 minutes that the watermark has closed."""
+    ticks = t.shape_events(st.read_event_stream(pin_utc(spark), sf_dir))
+    return st.run_to_table(st.session_bars(ticks, "20 minutes", seq_in_time_order=True))
+
+
+@query(q.with_(q.STREAM, _SESSIONS) + "SELECT * FROM s20")
+def session_bars(spark, sf_dir):
+    return st.session_bars(t.stream_ticks(spark, sf_dir), "20 minutes", seq_in_time_order=True)
+
+
 _ORDERS = """od AS (SELECT asset || '_' || epoch_us(ts + INTERVAL 4 hour) AS order_id, asset, CASE WHEN close < open THEN 1 ELSE -1 END AS side,
     ts + INTERVAL 4 hour AS signal_time, close - CASE WHEN close < open THEN 1 ELSE -1 END * (0.15::DOUBLE * (high - low)) AS limit_price, high - low AS atr
   FROM b4 WHERE high > low),
