@@ -32,6 +32,10 @@ HYST = """st AS (SELECT a, b, pos, z, CASE WHEN abs(z) > 1.8 THEN TRUE ELSE FALS
   FROM st s JOIN zz n ON n.a = s.a AND n.b = s.b AND n.pos = s.pos + 1),
 hp AS (SELECT *, coalesce(lag(CASE WHEN z IS NULL THEN 0 ELSE cur END) OVER (PARTITION BY a, b ORDER BY pos), 0) AS position FROM st)"""
 _TO_Z = (ALIGN, HEDGE, SPREAD, HALF, ZS)
+PAIR_RETURNS = (*_TO_Z, HYST, """j AS (SELECT hp.a, hp.b, hp.pos, hp.position, zz.ts, in_sample, x, y, lag(x) OVER w AS x0, lag(y) OVER w AS y0,
+    lag(position) OVER w AS p0, lag(in_sample) OVER w AS was FROM hp JOIN zz USING (a, b, pos) WINDOW w AS (PARTITION BY a, b ORDER BY pos)),
+pr AS (SELECT a, b, pos, ts, position, CASE WHEN was THEN -2 * abs(position) * 0.001 ELSE position * ((x / x0 - 1) - (y / y0 - 1)) - 2 * abs(position - p0) * 0.001 END AS strat_ret
+  FROM j WHERE NOT in_sample)""")
 RULE = dict(entry=1.0, leave=0.3, stop=1.8)
 
 
@@ -92,13 +96,13 @@ def pair_positions(spark, sf_dir):
     return pr.hysteresis_positions(scored(spark, sf_dir), **RULE).select("a", "b", "pos", "stopped", "position")
 
 
-@query(q.with_(*_TO_Z, HYST, recursive=True) + """, j AS (SELECT hp.a, hp.b, hp.pos, hp.position, zz.ts, in_sample, x, y, lag(x) OVER w AS x0, lag(y) OVER w AS y0,
-    lag(position) OVER w AS p0, lag(in_sample) OVER w AS was FROM hp JOIN zz USING (a, b, pos) WINDOW w AS (PARTITION BY a, b ORDER BY pos))
-SELECT a, b, pos, ts, position, round(CASE WHEN was THEN -2 * abs(position) * 0.001 ELSE position * ((x / x0 - 1) - (y / y0 - 1)) - 2 * abs(position - p0) * 0.001 END, 9) AS strat_ret
-FROM j WHERE NOT in_sample""")
+def net_pair_returns(spark, sf_dir):
+    return pr.pair_returns(pr.hysteresis_positions(scored(spark, sf_dir), **RULE), 0.001)
+
+
+@query(q.with_(*PAIR_RETURNS, recursive=True) + "SELECT a, b, pos, ts, position, round(strat_ret, 9) AS strat_ret FROM pr")
 def pair_returns(spark, sf_dir):
-    placed = pr.hysteresis_positions(scored(spark, sf_dir), **RULE)
-    return rounded(pr.pair_returns(placed, 0.001), strat_ret=9)
+    return rounded(net_pair_returns(spark, sf_dir), strat_ret=9)
 
 
 _TRI = """legs AS (SELECT date_trunc('hour', ts) AS snapshot, CASE WHEN event_type IN ('click', 'signup') THEN 'ab'

@@ -249,15 +249,18 @@ def signal_registry(spark, sf_dir):
 _W14 = 1.0 / 14
 
 
-@query(q.with_(q.BARS, f"""m AS (SELECT *, greatest(high - low, abs(high - {q.lag('close')}), abs(low - {q.lag('close')})) AS tr,
+#: Wilder's index by recursion: ``o`` holds it for every bar.
+ADX = f"""m AS (SELECT *, greatest(high - low, abs(high - {q.lag('close')}), abs(low - {q.lag('close')})) AS tr,
     high - {q.lag('high')} AS um, {q.lag('low')} - low AS dm FROM bars),
 m2 AS (SELECT *, CASE WHEN um > dm AND um > 0 THEN um ELSE 0 END AS pdm, CASE WHEN dm > um AND dm > 0 THEN dm ELSE 0 END AS mdm FROM m),
 {q.ewm('ea', 'm2', _W14, 'tr')}, {q.ewm('ep', 'm2', _W14, 'pdm')}, {q.ewm('em', 'm2', _W14, 'mdm')},
 di AS (SELECT m2.asset, m2.pos, m2.ts, 100 * (ep.y / nullif(ea.y, 0)) AS plus_di, 100 * (em.y / nullif(ea.y, 0)) AS minus_di
   FROM m2 JOIN ea USING (asset, pos) JOIN ep USING (asset, pos) JOIN em USING (asset, pos)),
 dx AS (SELECT *, 100 * abs(plus_di - minus_di) / (plus_di + minus_di + 1e-9) AS dx FROM di),
-{q.ewm('ex', 'dx', _W14, 'dx')}, o AS (SELECT dx.*, ex.y AS adx FROM dx LEFT JOIN ex USING (asset, pos))""", recursive=True) + """
-SELECT asset, ts, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di, round(adx, 6) AS adx,
+{q.ewm('ex', 'dx', _W14, 'dx')}, o AS (SELECT dx.*, ex.y AS adx FROM dx LEFT JOIN ex USING (asset, pos))"""
+
+
+@query(q.with_(q.BARS, ADX, recursive=True) + """SELECT asset, ts, round(plus_di, 6) AS plus_di, round(minus_di, 6) AS minus_di, round(adx, 6) AS adx,
   CASE WHEN adx > 25 THEN 1 ELSE 0 END AS trending,
   round(coalesce(lag(adx) OVER (PARTITION BY asset ORDER BY pos), 0), 6) AS adx_prior FROM o""")
 def feature_adx(spark, sf_dir):

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from barloom.catalog import sqltext as q
 from barloom.catalog.registry import query
-from barloom.catalog.signals import rounded
+from barloom.catalog.pairs import PAIR_RETURNS, net_pair_returns
+from barloom.catalog.signals import ADX, rounded
 from barloom.catalog.trades import (
     _CONV, _SC, KEYS, RULES, conviction_trades, labelled, labelled_sql, scored_trades)
+from barloom.functions.series import own_rows
 from barloom.functions.stats import sidak
 from barloom.operators import calibration as cal
 from barloom.operators import economics as ec
@@ -407,15 +409,23 @@ def leaf_novelty(spark, sf_dir):
     return rounded(out, support=9, score=9)
 
 
-@query(q.with_(q.FEATURES, recursive=True) + f""", x AS (SELECT asset, pos, vol_regime, ('0x' || substr(md5(asset || '_' || pos || '_x'), 1, 15))::BIGINT % 60 AS adx_prior,
-  coalesce(ret_1d, 0) AS tr_, -coalesce(ret_1d, 0) * 0.5 AS rr FROM feat),
+@query(q.with_(q.FEATURES, ADX, *PAIR_RETURNS, recursive=True) + f""", ps AS (SELECT ts, avg(strat_ret) AS pair_ret FROM pr GROUP BY ts),
+x AS (SELECT f.asset, f.pos, vol_regime, coalesce(lag(adx) OVER (PARTITION BY f.asset ORDER BY f.pos), 0) AS adx_prior,
+    coalesce(ret_1d, 0) AS tr_, -coalesce(ret_1d, 0) * 0.5 AS rr, coalesce(pair_ret, 0) AS pair_ret
+  FROM feat f JOIN o ON o.asset = f.asset AND o.pos = f.pos LEFT JOIN ps ON ps.ts = f.ts),
 w AS (SELECT *, least(greatest((adx_prior - 20) / 20.0::DOUBLE, 0), 1) AS weight, coalesce({q.lag('vol_regime')}, 1.0) AS v FROM x)
-SELECT asset, pos, weight, round((weight * tr_ + (1 - weight) * rr) * CASE WHEN v > 2 THEN 0.5 ELSE 1 END, 7) AS blend_ret FROM w""")
+SELECT asset, pos, round(weight, 7) AS weight, round(pair_ret, 9) AS pair_ret,
+  round((0.3 * pair_ret + 0.7 * (weight * tr_ + (1 - weight) * rr)) * CASE WHEN v > 2 THEN 0.5 ELSE 1 END, 7) AS blend_ret FROM w""")
 def blended_returns(spark, sf_dir):
-    frame = ft.feature_frame(t.numbered_bars(spark, sf_dir), balance=False)
-    from barloom.functions.series import own_rows
+    """A trend and a range stream mixed by the ADX of the bar before, and 30 % of the mean return of all pairs.
 
-    rows = own_rows(frame).select(
-        "asset", "pos", "vol_regime", (t.hash_uniform(F.col("asset"), F.col("pos"), F.lit("x")) % 60).alias("adx_prior"),
-        F.coalesce("ret_1d", F.lit(0.0)).alias("trend_ret"), (-F.coalesce("ret_1d", F.lit(0.0)) * 0.5).alias("range_ret"))
-    return rounded(cal.blend_returns(rows).select("asset", "pos", "weight", "blend_ret"), blend_ret=7)
+    Pairs are weekly: their return falls on the bar that opens the week, all other bars have none.
+    """
+    bars = t.numbered_bars(spark, sf_dir)
+    strength = ft.average_directional_index(bars).select("asset", "pos", "adx_prior")
+    pairs = net_pair_returns(spark, sf_dir).groupBy("ts").agg(F.avg("strat_ret").alias("pair_ret"))
+    rows = own_rows(ft.feature_frame(bars, balance=False)).join(strength, ["asset", "pos"]).join(pairs, "ts", "left").select(
+        "asset", "pos", "vol_regime", "adx_prior", F.coalesce("ret_1d", F.lit(0.0)).alias("trend_ret"),
+        (-F.coalesce("ret_1d", F.lit(0.0)) * 0.5).alias("range_ret"), F.coalesce("pair_ret", F.lit(0.0)).alias("pair_ret"))
+    out = cal.blend_returns(rows, third=True).select("asset", "pos", "weight", "pair_ret", "blend_ret")
+    return rounded(out, weight=7, pair_ret=9, blend_ret=7)
