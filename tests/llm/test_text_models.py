@@ -43,6 +43,57 @@ def test_language_block_edges_do_not_change_lengths(monkeypatch, prose):
     assert np.allclose(whole, language.code_length(model, text))
 
 
+def plain_code_length(learnt, asked, symbols, contexts):
+    """A coder with a dictionary per context, one symbol at a time."""
+    counts: list[dict] = [{} for _ in range(4)]
+    for text in learnt:
+        padded = [0, 0, 0, *text]
+        for i in range(3, len(padded)):
+            for k in range(4):
+                after = counts[k].setdefault(tuple(padded[i - k:i]), {})
+                after[padded[i]] = after.get(padded[i], 0) + 1
+    frequent = sorted(counts[3], key=lambda c: (-sum(counts[3][c].values()), c))[:contexts]
+    counts[3] = {c: counts[3][c] for c in frequent}
+    bits, padded = 0.0, [0, 0, 0, *asked]
+    for i in range(3, len(padded)):
+        excluded, chance = set(), 1.0
+        for k in (3, 2, 1, 0):
+            after = counts[k].get(tuple(padded[i - k:i]), {})
+            left = {c: n for c, n in after.items() if c not in excluded}
+            excluded |= after.keys()
+            if padded[i] in left:
+                chance *= left[padded[i]] / (sum(left.values()) + len(left))
+                break
+            if left:
+                chance *= len(left) / (sum(left.values()) + len(left))
+        else:
+            chance /= symbols - len(excluded)
+        bits -= np.log2(chance)
+    return bits
+
+
+@pytest.mark.parametrize("contexts", [10_000, 40, 0])
+def test_ppm_equals_a_plain_coder(prose, contexts):
+    learnt = [prose(i, 40) for i in range(6)] + ["", "a", "zz top", "naïve café über"]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in learnt]
+    byte_counts = np.bincount(np.concatenate(raw), minlength=256)
+    classes = language.class_map(byte_counts, language.CLASSES)
+    rows = [classes[r].astype(np.int64) for r in raw]
+    keys, n = np.unique(np.concatenate([language.grams(r, language.CLASSES) for r in rows]), return_counts=True)
+    model = language.build_model(["x"], byte_counts, [dict(zip(keys.tolist(), n.tolist(), strict=True))], language.CLASSES, contexts)
+    for text in (prose(99, 60), "q", "", "Übung 7: XYZ ß 漢字", "aaaa" * 20, learnt[0]):
+        asked = classes[np.frombuffer(text.encode(), np.uint8)].astype(int).tolist()
+        want = plain_code_length([r.tolist() for r in rows], asked, language.CLASSES, contexts)
+        assert language.code_length(model, text.encode())[0] == pytest.approx(want, rel=1e-5, abs=1e-4)
+
+
+def test_tied_languages_take_the_first_name(spark, documents, prose):
+    rows = [(i, prose(i % 5, 30)) for i in range(10)]
+    learn = documents(rows).withColumn("lang", F.when(F.col("doc_id") < 5, "bb").otherwise("aa"))
+    got = language.identify_languages(documents([(1, prose(2, 30)), (2, "x")]), language.fit_languages(learn)).collect()
+    assert [(r.lang_pred, r.score) for r in got] == [("aa", 0.5)] * 2
+
+
 def test_no_labels_teach_nothing(spark, documents):
     model = language.fit_languages(documents([(1, "abc")]))
     assert model.names == ()
