@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.vectors import QUERY_ROWS, UNIT_ROWS, matrix, merge_top_k, search_units, top_k
+from barloom.llm.vectors import QUERY_ROWS, UNIT_ROWS, matrix, merge_top_k, one_length, search_units, sizes, top_k
 from barloom.session import cut_lineage
 
 #: Projections, collisions that make a candidate, half a window's width in radii, growth of the radius, seed.
@@ -92,17 +92,18 @@ class SortedProjections:
 def collision_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query row.
 
-    Both tables have vec_id bigint and vec array<double> of one length. A query's own row (same id)
+    Both tables have vec_id bigint and vec array<double>; shorter vectors count as filled up with zeros. A query's own row (same id)
     is no candidate; with fewer than k candidates all are returned; ties go to the smaller id;
     repeated rows count as often as they occur; an empty table gives no rows. Rows are dealt to units by a
     hash and queries to blocks; every row is indexed.
     """
     spark = vectors.sparkSession
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
-    facts = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("norm2")).first()
-    n_queries = queries.count()
+    facts, asked = vectors.agg(*sizes(), F.max(norm).alias("norm2")).first(), queries.agg(*sizes()).first()
+    n_queries = asked["n"]
     if not facts["n"] or not n_queries:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    vectors, queries = one_length([vectors, queries], [facts, asked])
     norm2 = float(facts["norm2"])
     # At least a few units, so that a small table is searched side by side as well.
     units, blocks = max(1, -(-facts["n"] // UNIT_ROWS)), -(-n_queries // QUERY_ROWS)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import share_bound, share_hash
-from barloom.llm.vectors import QUERY_ROWS, UNIT_ROWS, matrix, merge_top_k, search_units, top_k
+from barloom.llm.vectors import QUERY_ROWS, UNIT_ROWS, matrix, merge_top_k, one_length, search_units, sizes, top_k
 from barloom.session import cut_lineage
 
 #: Pivots, and the rows (at most about) they are chosen from.
@@ -104,18 +104,19 @@ def search_annuli(ids: np.ndarray, rows: np.ndarray, dist: np.ndarray, q_ids: np
 def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of each query row's k largest inner products.
 
-    Both tables have vec_id bigint and vec array<bigint> (whole numbers; of one length). A
-    query's own row (same id) is no candidate; fewer than k candidates are all returned; ties go to
+    Both tables have vec_id bigint and vec array<bigint> (whole numbers; shorter vectors
+    count as filled up with zeros). A query's own row (same id) is no candidate; fewer than k candidates are all returned; ties go to
     the smaller id; repeated rows count as often as they occur; an empty table gives no rows.
     The driver holds the pivots and four numbers a pivot. Pivots with many vectors are dealt
     to units by a hash, queries to blocks, so no task grows with a pivot.
     """
     spark = vectors.sparkSession
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    facts = vectors.agg(F.count("*").alias("n"), F.max(norm).alias("norm2")).first()
-    n_queries = queries.count()
+    facts, asked = vectors.agg(*sizes(), F.max(norm).alias("norm2")).first(), queries.agg(*sizes()).first()
+    n_queries = asked["n"]
     if not facts["n"] or not n_queries:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    vectors, queries = one_length([vectors, queries], [facts, asked])
     # A margin above the largest norm keeps queries that are no candidates inside as well.
     norm2 = float(facts["norm2"])
     sample = vectors.where(share_hash("vec_id") < share_bound(SAMPLE_ROWS / facts["n"])).select("vec").toArrow()

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 #: Index rows of one unit and queries of one block that meet in a task.
@@ -22,6 +22,24 @@ def finite_vectors(df: DataFrame, id_col: str, vec_col: str, drop_zero: bool) ->
     return found.where(F.exists("vec", lambda c: c != 0)) if drop_zero else found
 
 
+def sizes() -> list[Column]:
+    """Aggregates of a vector table: n, and the longest and shortest vector."""
+    return [F.count("*").alias("n"), F.max(F.size("vec")).alias("longest"), F.min(F.size("vec")).alias("shortest")]
+
+
+def one_length(tables: list[DataFrame], facts: list[Row]) -> list[DataFrame]:
+    """The tables with shorter vectors filled up with zeros, which no inner product between them notices."""
+    longest = max(f["longest"] for f in facts)
+    if all(f["shortest"] == longest for f in facts):
+        return tables
+
+    def fill(df: DataFrame) -> DataFrame:
+        zero = F.lit(0).cast(df.schema["vec"].dataType.elementType)
+        return df.withColumn("vec", F.concat("vec", F.array_repeat(zero, F.lit(longest) - F.size("vec"))))
+
+    return [fill(df) for df in tables]
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Rows of a list column; vectors of one table have one length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -90,3 +90,24 @@ def test_equal_vectors_tie_to_the_smaller_id(spark, clustered):
     df = vectors.finite_vectors(table(spark, short), "vec_id", "embedding", drop_zero=True)
     got = collision_search.collision_top_k(df, df.where("vec_id = 7"), 10).orderBy("rank").collect()
     assert [r.vec_id for r in got] == list(range(100, 110))
+
+
+def test_unequal_lengths_are_filled_up(spark, clustered):
+    cut = [(i, v[:16 - i % 5]) for i, v in clustered[:200]]
+    filled = [(i, v + [0.0] * (16 - len(v))) for i, v in cut]
+    df = whole(table(spark, cut))
+    got = {tuple(r) for r in pivot_search.pivot_top_k(df, df.where("vec_id % 50 = 1"), 5).collect()}
+    assert got == brute(filled, range(1, 200, 50), 5)
+    near, even = (vectors.finite_vectors(table(spark, rows), "vec_id", "embedding", drop_zero=True) for rows in (cut, filled))
+    search = lambda found: {tuple(r) for r in collision_search.collision_top_k(found, found.where("vec_id % 50 = 1"), 5).collect()}
+    assert search(near) == search(even) and len(search(near)) == 20
+
+
+def test_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [0.5, 1.0]), (5, [0.5, 1.0]), (7, [0.25, 0.0])]
+    df = whole(table(spark, rows))
+    got = sorted(tuple(r) for r in pivot_search.pivot_top_k(df, df.where("vec_id = 0"), 5).collect())
+    assert got == sorted(2 * [(0, 1, 5, 128 * 256), (0, 2, 5, 128 * 256), (0, 3, 7, 64 * 256)])
+    near = vectors.finite_vectors(table(spark, rows), "vec_id", "embedding", drop_zero=True)
+    got = sorted(tuple(r) for r in collision_search.collision_top_k(near, near.where("vec_id = 0"), 5).collect())
+    assert got == sorted(2 * [(0, 1, 5, 0.5), (0, 2, 5, 0.5), (0, 3, 7, 0.25)])
