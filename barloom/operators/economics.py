@@ -198,8 +198,9 @@ def attach_facts(df: DataFrame, small: DataFrame, keys: list[str], how: str = "i
 
 
 def _bootstrap_p(means: DataFrame, keys: list[str], n_iter: int) -> DataFrame:
+    """Share of means at or below zero; an iteration without a mean is none of them."""
     return means.groupBy(*keys).agg(
-        ((F.sum((F.col("_mean") <= 0).cast("long")) + 1) / F.lit(float(n_iter + 1))).alias("boot_p"),
+        ((F.count_if(F.col("_mean") <= 0) + 1) / F.lit(float(n_iter + 1))).alias("boot_p"),
         F.first("_n").alias("n"))
 
 
@@ -226,6 +227,7 @@ def poisson_sums(values: DataFrame, keys: list[str], value: Column, n_iter: int
     """keys, _it, _sum, _w, _n: weighted sums, weights and rows of each iteration, by independent Poisson(1) weights of the rows.
 
     One aggregation, no join; weights come from a hash of row and iteration, so groups of the same rows can share them.
+    In a group of few rows an iteration's weights may all be 0: take its mean by ``poisson_mean``.
     """
     steps, acc, k = [], 0.0, 0
     # As many steps as the resolution of the draw and of doubles can tell apart.
@@ -241,11 +243,16 @@ def poisson_sums(values: DataFrame, keys: list[str], value: Column, n_iter: int
         F.sum(F.col("_v") * F.col("_w")).alias("_sum"), F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
 
 
+def poisson_mean() -> Column:
+    """An iteration's weighted mean; null where all weights are 0."""
+    return F.try_divide(F.col("_sum"), F.col("_w"))
+
+
 def poisson_bootstrap_pvalue(values: DataFrame, keys: list[str], value: Column, n_iter: int = 5_000,
                              trade_id: str = "trade_id") -> DataFrame:
     """Bootstrap by Poisson weights, the form for very large groups: share of resampled means at or below zero."""
     sums = poisson_sums(values, keys, value, n_iter, trade_id)
-    return _bootstrap_p(sums.withColumn("_mean", F.col("_sum") / F.col("_w")), keys, n_iter)
+    return _bootstrap_p(sums.withColumn("_mean", poisson_mean()), keys, n_iter)
 
 
 # ---------------------------------------------------------------- runs and curves
@@ -366,7 +373,7 @@ def fold_stability(trades: DataFrame, n_folds: int, cost: float, n_iter: int = 5
     # A trade's weights are the same in its fold and in the pool, so the pool's sums are those of its folds.
     sums = cut_lineage(poisson_sums(at.withColumn("fold", fold), ["fold"], F.col("ret") - cost, n_iter))
     pool = sums.groupBy(F.lit(0).alias("fold"), "_it").agg(*[F.sum(c).alias(c) for c in ("_sum", "_w", "_n")])
-    boot = _bootstrap_p(sums.unionByName(pool).withColumn("_mean", F.col("_sum") / F.col("_w")), ["fold"], n_iter)
+    boot = _bootstrap_p(sums.unionByName(pool).withColumn("_mean", poisson_mean()), ["fold"], n_iter)
     tested = rows.join(boot.select("fold", "boot_p"), "fold", "left")
     good = rows.filter("fold > 0").agg(F.count(F.when(F.col("expectancy") > 0, 1)).alias("_up"), F.count(F.when(F.col("profit_factor") > 1, 1)).alias("_won"))
     pooled = lambda c: F.when(F.col("fold") == 0, F.col(c))
@@ -383,7 +390,7 @@ def selection_report(pool: DataFrame, selected: Column, costs: dict[str, float],
     chosen = cut_lineage(pool.filter(selected))
     rows = net_economics(per_cost(chosen, costs), ["cost_name", "cost"], F.col("cost"))
     # A cost takes the same from every resampled mean, so all costs share the draws.
-    sums = poisson_sums(chosen, [], F.col("ret"), n_resamples).withColumn("_gross", F.col("_sum") / F.col("_w"))
+    sums = poisson_sums(chosen, [], F.col("ret"), n_resamples).withColumn("_gross", poisson_mean())
     boot = _bootstrap_p(per_cost(sums, costs).withColumn("_mean", F.col("_gross") - F.col("cost")), ["cost_name"], n_resamples).select("cost_name", "boot_p")
     days = pool.agg(F.greatest(F.floor((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))) / 86_400_000_000),
                                F.lit(1)).alias("_days"))

@@ -55,3 +55,24 @@ def test_permutation_of_returns_and_of_nothing(spark):
     assert abs(got["k"].null_mean - sum(v for k, v, _ in rows if k == "k") / 300) < 0.03
     assert got["n"].n_selected == 0 and got["n"].p_value is None
     assert ec.permutation_test(df.limit(0), ["k"], F.col("v"), F.col("sel"), 10).collect() == []
+
+
+def test_poisson_bootstrap_of_few_rows_skips_iterations_without_weight(spark):
+    """One row weighs 0 in about every third iteration: no mean, and not counted."""
+    df = spark.createDataFrame([("up", "x_1", 0.5), ("down", "y_1", -0.5), ("few", "z_1", 2.0), ("few", "z_2", -1.0)], "k string, trade_id string, v double")
+    weights = {(r.k, r._it): r._w for r in ec.poisson_sums(df, ["k"], F.col("v"), 300).collect()}
+    empty = {k: sum(w == 0 for (key, _), w in weights.items() if key == k) for k in ("up", "down", "few")}
+    assert 80 < empty["up"] < 140 and 80 < empty["down"] < 140 and 20 < empty["few"] < 65
+    got = {r.k: r.boot_p for r in ec.poisson_bootstrap_pvalue(df, ["k"], F.col("v"), 300).collect()}
+    assert got["up"] == 1 / 301 and got["down"] == pytest.approx((300 - empty["down"] + 1) / 301)
+    assert 1 / 301 < got["few"] < (300 - empty["few"] + 1) / 301
+
+
+def test_reports_with_iterations_without_weight(spark):
+    import datetime as dt
+    rows = [(f"t_{i}", dt.datetime(2024, 1, 1 + i), i % 2, 0.1 * (1 + i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "trade_id string, ts timestamp_ntz, label int, ret double")
+    folds = {r.fold: r.boot_p for r in ec.fold_stability(df, 3, 0.0, 300).collect()}
+    assert folds == {f: 1 / 301 for f in range(4)}
+    report = ec.selection_report(df, F.col("label") == 1, {"none": 0.0, "high": 1.0}, 2.0, 20, 300).collect()
+    assert {r.cost_name: r.boot_p for r in report}["none"] == 1 / 301 and 0.4 < {r.cost_name: r.boot_p for r in report}["high"] < 0.8
