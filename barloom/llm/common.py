@@ -1,8 +1,11 @@
 """Helpers shared by the training-data operators: Arrow batches, hashed words, document packs."""
 from __future__ import annotations
 
+import ctypes
+import inspect
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,51 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Returns what a finished task held to the machine.
+
+    Spark keeps Python workers for later stages, several an executor; without this each would hold on to
+    the largest amount that any stage took.
+    """
+    for words in WordHashes.remembered:
+        words.clear()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def freeing(run: Callable) -> Callable:
+    """``run`` (over batches) and ``give_back`` at its end."""
+    def batches_then_free(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return batches_then_free
+
+
+def freeing_groups(fn: Callable) -> Callable:
+    """``fn`` (of one group's table, or of two cogrouped ones) and ``give_back`` after every call."""
+    def one(rows: pa.Table) -> pa.Table:
+        try:
+            return fn(rows)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return fn(left, right)
+        finally:
+            give_back()
+
+    return one if len(inspect.signature(fn).parameters) == 1 else two
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dict], schema: str) -> DataFrame:
     """Run ``fn`` on every Arrow batch of ``df``; it returns a dict of columns."""
     bound_batches(df.sparkSession)
@@ -43,7 +91,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | d
             if batch.num_rows:
                 yield columns_batch(fn(batch), arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freeing(run), schema)
 
 
 def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], made: str, id_col: str, text_col: str,
@@ -66,7 +114,7 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], dict], made: str,
                 out = columns_batch(fn(batch), arrow)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *out.columns], names=[*kept, *out.schema.names])
 
-    found = plain.mapInArrow(run, schema)
+    found = plain.mapInArrow(freeing(run), schema)
     names = [f.name for f in StructType.fromDDL(made)]
     return found.select("doc_id", *names, *["text"] * with_text, *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))
 
@@ -131,11 +179,15 @@ def share_bound(share: float) -> int:
 
 
 class WordHashes(dict):
-    """Word (bytes) -> hash of 32 bits or, by another function, 64; remembered up to a bounded number of words."""
+    """Word (bytes) -> hash of 32 bits or, by another function, 64; remembered up to a bounded number of words, until the task ends."""
+
+    #: All of a Python worker's, which ``give_back`` empties.
+    remembered: list[WordHashes] = []
 
     def __init__(self, limit: int = 150_000, function: Callable[[bytes], int] = zlib.crc32):
         super().__init__()
         self.limit, self.function = limit, function
+        self.remembered.append(self)
 
     def __missing__(self, word):
         value = self.function(word)
@@ -197,7 +249,7 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str
 
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
-    return cut_lineage(plain.mapInArrow(run, schema))
+    return cut_lineage(plain.mapInArrow(freeing(run), schema))
 
 
 def unpack_table(blob: bytes) -> pa.Table:

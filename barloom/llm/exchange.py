@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import freeing, freeing_groups
+
 #: Bytes of text whose keys make up one bucket (about).
 BUCKET_BYTES = 12_000_000
 
@@ -94,8 +96,8 @@ def repeated_keys(packs: DataFrame, keys_of: Callable[[bytes], tuple[np.ndarray,
         some = [i for i, b in enumerate(out) if b is not None]
         return pa.table([pa.array([packs_[i] for i in some], pa.int64()), pa.array([out[i] for i in some], pa.binary())], schema=answered)
 
-    keyed = packs.select("pack", "blob").mapInArrow(send, "bucket int, pack bigint, body binary")
-    return keyed.groupBy("bucket").applyInArrow(answer, "pack bigint, body binary")
+    keyed = packs.select("pack", "blob").mapInArrow(freeing(send), "bucket int, pack bigint, body binary")
+    return keyed.groupBy("bucket").applyInArrow(freeing_groups(answer), "pack bigint, body binary")
 
 
 def known_keys(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from barloom.llm.common import WordHashes, kept, mix, pack_documents, unpack, unpack_table
+from barloom.llm.common import WordHashes, freeing, freeing_groups, kept, mix, pack_documents, unpack, unpack_table
 from barloom.llm.components import connected_components
 from barloom.llm.exchange import bucket_count, corpus_bytes, key_bits, known_keys, repeated_keys, sums_of
 from barloom.session import cut_lineage
@@ -86,7 +86,7 @@ def document_sets(packs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([pack] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()),
                                                   pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=out)
 
-    return packs.select("pack", "blob").mapInArrow(run, "pack bigint, place int, doc_id bigint, size bigint, class_key binary")
+    return packs.select("pack", "blob").mapInArrow(freeing(run), "pack bigint, place int, doc_id bigint, size bigint, class_key binary")
 
 
 def candidate_sets(packs: DataFrame, representatives: DataFrame, words: int, percent: int) -> DataFrame:
@@ -133,7 +133,7 @@ def candidate_sets(packs: DataFrame, representatives: DataFrame, words: int, per
                              tokens[first[at]].view(np.int64).tolist(), at.tolist()))
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))}, schema=out)
 
-    return (packs.select("pack", "blob").groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(prepare, SETS))
+    return (packs.select("pack", "blob").groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(freeing_groups(prepare), SETS))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=out)
 
     return joined.select("a", "b", F.col("x.tokens").alias("x_tokens"), F.col("x.other_prefixes").alias("x_prefixes"),
-                         F.col("y.tokens").alias("y_tokens"), F.col("y.other_prefixes").alias("y_prefixes")).mapInArrow(check, "a bigint, b bigint")
+                         F.col("y.tokens").alias("y_tokens"), F.col("y.other_prefixes").alias("y_prefixes")).mapInArrow(freeing(check), "a bigint, b bigint")
 
 
 def is_similar(x: np.ndarray, y: np.ndarray, x_prefixes: np.ndarray, y_prefixes: np.ndarray, percent: int) -> bool:
@@ -261,6 +261,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             tables.append(inner.filter(pa.array(stay)))
         return pa.concat_tables(tables)
 
-    left = packs.select("pack", "blob").groupBy("pack").cogroup(gone.groupBy("pack")).applyInArrow(drop, schema)
+    left = packs.select("pack", "blob").groupBy("pack").cogroup(gone.groupBy("pack")).applyInArrow(freeing_groups(drop), schema)
     named = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text").cast(docs.schema[text_col].dataType)} | {c: F.col(f"_{i}") for i, c in enumerate(rest)}
     return left.select(*(named[c].alias(c) for c in docs.columns))

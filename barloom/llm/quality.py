@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHashes, map_batches, map_texts, mix, share_bound, share_hash, text_bytes
+from barloom.llm.common import WordHashes, freeing_groups, map_batches, map_texts, mix, share_bound, share_hash, text_bytes
 
 #: Weights, as a power of two.
 BITS = 18
@@ -95,7 +95,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         w = ftrl([(np.frombuffer(hs[i], np.int32).astype(np.int64), ws[i], ls[i]) for i in picks], 1 << BITS)
         return pa.table({"n": pa.array([order.num_rows], pa.int64()), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
-    learnt = encoded.groupBy("shard").applyInArrow(learn, "n bigint, w binary").collect()
+    learnt = encoded.groupBy("shard").applyInArrow(freeing_groups(learn), "n bigint, w binary").collect()
     if not learnt:
         return None
     return np.average([np.frombuffer(r["w"], np.float32) for r in learnt], axis=0, weights=[r["n"] for r in learnt]).astype(np.float32)

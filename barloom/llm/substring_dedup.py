@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from barloom.llm.common import kept, mix, pack_documents, text_bytes, unpack_table
+from barloom.llm.common import freeing, freeing_groups, kept, mix, pack_documents, text_bytes, unpack_table
 from barloom.llm.exchange import bucket_count, coded, corpus_bytes, gaps_from_bytes, key_bits, known_keys, repeated_keys, sums_of
 
 LENGTH, GRAM = 50, 25
@@ -286,8 +286,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table([rows.column("pack"), rows.column("bucket"), pa.array(settle(rows.column("body").to_pylist()), pa.binary())], names=["pack", "bucket", "masks"])
 
     by_pack = packs.select("pack", "blob").groupBy("pack")
-    suffixes = by_pack.cogroup(answers.groupBy("pack")).applyInArrow(send, "bucket int, pack bigint, body binary")
-    masks = suffixes.groupBy("bucket").applyInArrow(sort_bucket, "pack bigint, bucket int, masks binary")
+    suffixes = by_pack.cogroup(answers.groupBy("pack")).applyInArrow(freeing_groups(send), "bucket int, pack bigint, body binary")
+    masks = suffixes.groupBy("bucket").applyInArrow(freeing_groups(sort_bucket), "pack bigint, bucket int, masks binary")
     told_all = answers.select("pack", "body", F.lit(None).cast("int").alias("bucket")).unionByName(
         masks.select("pack", F.col("masks").alias("body"), "bucket"))
 
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             tables.append(documents_table(pack, covered_bytes(pack, c, own), with_text, len(carry)))
         return pa.concat_tables(tables) if tables else None
 
-    done = by_pack.cogroup(told_all.groupBy("pack")).applyInArrow(remove, schema)
+    done = by_pack.cogroup(told_all.groupBy("pack")).applyInArrow(freeing_groups(remove), schema)
     if not with_text:
         return done
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").cast("string").alias("kept_text"),
@@ -349,7 +349,7 @@ def sampled_splitters(answers: DataFrame, bits: int, buckets: int, stride: int)
                 keys = keys[mix(keys ^ np.uint64(pack)) % np.uint64(stride) == 0] << np.uint64(64 - bits)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["token"])
 
-    sample = np.sort(answers.select("pack", "body").mapInArrow(take, "token bigint").toArrow().column("token").to_numpy().view(np.uint64))
+    sample = np.sort(answers.select("pack", "body").mapInArrow(freeing(take), "token bigint").toArrow().column("token").to_numpy().view(np.uint64))
     if not len(sample):
         return np.zeros(0, np.uint64)
     at = np.linspace(0, len(sample) - 1, buckets + 1)[1:-1].astype(np.int64)

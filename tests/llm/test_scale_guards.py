@@ -1,7 +1,10 @@
 """Shares that very large corpora give, and stretches of many hits."""
 import time
 
-from barloom.llm import language, licenses, packing, quality
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from barloom.llm import jaccard, language, licenses, packing, quality
 
 
 def test_the_smallest_share_still_learns(spark, documents, prose):
@@ -29,3 +32,17 @@ def test_stretches_are_the_text():
     parts = packing.stretches(text)
     assert "".join(p for p, _ in parts) == text and {p for _, p in parts} == {True, False}
     assert packing.stretches("") == [] and packing.stretches("a\nb") == [("a\nb", True)]
+
+
+def test_python_workers_forget_the_words_of_finished_tasks(spark, documents, prose):
+    """Spark keeps workers for later stages: what one stage remembered must not stay beside the next one's."""
+    docs = documents([(i, prose(i, 200)) for i in range(40)])
+    docs = docs.withColumn("text", F.concat_ws(" ", "text", F.md5("text"))).repartition(4)
+    weights = quality.fit_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int"))
+    assert jaccard.keep_one(docs).count() == quality.score_quality(docs, weights).count() == 40
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(jaccard._HASHES) + len(quality._HASHES)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, numPartitions=16).mapInArrow(held, "n bigint").collect()} == {0}
