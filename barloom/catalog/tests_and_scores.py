@@ -63,13 +63,17 @@ _DRAW = "(((s0 * r + s1) % 2147483647) * 2147483648 + (s2 * t + s3) % 2147483647
 null_means = q.null_means
 
 
-@query(q.with_(_SC, recursive=True) + f""", pool AS (SELECT signal, label, p_win >= 0.7 AS sel FROM scored), {null_means("signal")}
+@query(q.with_(_SC, recursive=True) + f""", pool AS (SELECT signal, trade_id, label, p_win >= 0.7 AS sel FROM scored),
+facts AS (SELECT signal, avg(label) FILTER (WHERE sel) AS stat, count(*) FILTER (WHERE sel) AS n_selected, count(*) AS n_pool FROM pool GROUP BY signal),
+{_ITS.format(_PERMUTATIONS + 1)}, sp AS (SELECT *, {_seeded("trade_id")} FROM pool),
+dr AS (SELECT signal, it, label, row_number() OVER (PARTITION BY signal, it ORDER BY {_DRAW}, trade_id) AS rk FROM sp, its),
+nul AS (SELECT signal, it, avg(label) AS m FROM dr JOIN facts USING (signal) WHERE rk <= n_selected GROUP BY signal, it)
 SELECT signal, n_selected, n_pool, round(any_value(stat), 9) AS statistic, round(avg(m), 8) AS null_mean, round(stddev_pop(m), 8) AS null_std,
   round(quantile_cont(m, 0.95), 8) AS null_p95, round((count(*) FILTER (WHERE m >= stat) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE, 9) AS p_value
-FROM nul JOIN (SELECT signal, stat, n_pool, n_selected FROM facts) USING (signal) GROUP BY signal, n_selected, n_pool""")
+FROM nul JOIN facts USING (signal) GROUP BY signal, n_selected, n_pool""")
 def permutation_test(spark, sf_dir):
     trades = scored_trades(spark, sf_dir)
-    out = ec.permutation_test(trades, ["signal"], F.col("label"), F.col("p_win") >= 0.7, _PERMUTATIONS)
+    out = ec.row_permutation_test(trades, ["signal"], F.col("label"), F.col("p_win") >= 0.7, _PERMUTATIONS)
     return rounded(out, statistic=9, null_mean=8, null_std=8, null_p95=8, p_value=9)
 
 

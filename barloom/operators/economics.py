@@ -70,6 +70,8 @@ def verdicts(counts: DataFrame, keys: list[str], payoff: float, cost: float = 0.
 #: Draws are whole numbers below 2 to this power; both halves are taken modulo a prime.
 DRAW_BITS = 62
 _PRIME = (1 << 31) - 1
+#: Draws this many standard deviations around the expected cut are ranked one by one.
+CUT_WIDTH = 8.0
 
 
 def _seven(text: Column, first: int) -> Column:
@@ -160,12 +162,55 @@ def _digits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
 
 
+def row_sums(rows: DataFrame, wanted: DataFrame, keys: list[str], n_iter: int) -> DataFrame:
+    """keys, _it, _sum: values of random subsets of fixed size, every row drawn anew in every iteration.
+
+    ``rows`` has (keys, _seed, _id, _v), ``wanted`` (keys, n_selected, n_pool). An iteration takes the rows of the
+    smallest draws. Where the cut falls is known within a few standard deviations: draws below that strip are
+    summed, those inside it are ranked, and the rest is not touched. An iteration whose cut is outside the strip is
+    ranked as a whole.
+    """
+    share = F.col("n_selected") / F.col("n_pool")
+    slack = CUT_WIDTH * F.sqrt(share * (1 - share) / F.col("n_pool"))
+    strip = wanted.select(*keys, F.col("n_selected").alias("_want"), ((share - slack) * 2.0 ** DRAW_BITS).alias("_lo"), ((share + slack) * 2.0 ** DRAW_BITS).alias("_hi"))
+    placed = attach_facts(rows, strip, keys)
+    part = [*keys, "_it"]
+    near = draws_of(placed, n_iter).filter(F.col("_h") <= F.col("_hi"))
+    inside = F.col("_h") >= F.col("_lo")
+    below = cut_lineage(near.groupBy(*part).agg(
+        F.count(F.when(~inside, 1)).alias("_n0"), F.coalesce(F.sum(F.when(~inside, F.col("_v"))), F.lit(0.0)).alias("_s0"),
+        F.count(F.lit(1)).alias("_n1"), F.first("_want").alias("_want")))
+    good = below.filter((F.col("_n0") <= F.col("_want")) & (F.col("_n1") >= F.col("_want")))
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "_id"))
+    ranked = near.filter(inside).select(*part, "_h", "_id", "_v").withColumn("_rank", rank)
+    edge = (good.join(ranked, part, "left").groupBy(*part).agg(
+        (F.first("_s0") + F.coalesce(F.sum(F.when(F.col("_rank") <= F.col("_want") - F.col("_n0"), F.col("_v"))), F.lit(0.0))).alias("_sum")))
+    # An iteration without any row near the cut is missing from ``below`` as well.
+    every = wanted.select(*keys, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n_iter).cast("long"))).alias("_it"))
+    missed = every.join(good.select(*part), part, "left_anti")
+    whole = draws_of(placed, n_iter).join(missed, part).withColumn("_rank", rank)
+    return edge.unionByName(whole.groupBy(*part).agg(F.coalesce(F.sum(F.when(F.col("_rank") <= F.col("_want"), F.col("_v"))), F.lit(0.0)).alias("_sum")))
+
+
+def row_permutation_test(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int = 10_000,
+                         trade_id: str = "trade_id") -> DataFrame:
+    """``permutation_test`` whose picks are drawn row by row, by a hash of ``trade_id`` and iteration."""
+    rows = cut_lineage(pool.select(*keys, row_seed(F.col(trade_id)).alias("_seed"), F.col(trade_id).alias("_id"), value.cast("double").alias("_v"), selected.alias("_sel")))
+    picks = lambda counts, wanted: row_sums(rows.drop("_sel"), wanted, keys, n_iter)
+    return _permuted(rows.select(*keys, "_v", "_sel"), keys, F.col("_v"), F.col("_sel"), n_iter, picks)
+
+
 def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int = 10_000) -> DataFrame:
     """Does the selection beat random picks of the same size?
 
     The statistic is the selected rows' mean; each iteration takes as many rows of the pool at random. A null
     value counts as 0 in the picks. Without a selection, or if all is selected, the test's columns are null.
     """
+    return _permuted(pool, keys, value, selected, n_iter, lambda counts, wanted: subset_sums(counts, wanted, keys, n_iter))
+
+
+def _permuted(pool: DataFrame, keys: list[str], value: Column, selected: Column, n_iter: int, picks) -> DataFrame:
+    """The test by the sums (keys, _it, _sum) that ``picks`` draws from the counts of values and the sizes wanted."""
     base = pool.select(*keys, value.cast("double").alias("_v"), F.coalesce(selected, F.lit(False)).alias("_sel"))
     counts = cut_lineage(base.groupBy(*keys, F.coalesce("_v", F.lit(0.0)).alias("_v")).agg(
         F.count(F.lit(1)).alias("_c"), F.sum(F.col("_sel").cast("long")).alias("_s"), F.sum((F.col("_sel") & F.col("_v").isNotNull()).cast("long")).alias("_k")))
@@ -173,7 +218,7 @@ def permutation_test(pool: DataFrame, keys: list[str], value: Column, selected:
         (F.sum(F.col("_v") * F.col("_k")) / F.when(F.sum("_k") > 0, F.sum("_k"))).alias("statistic"),
         F.sum("_s").alias("n_selected"), F.sum("_c").alias("n_pool")))
     real = (F.col("n_selected") > 0) & (F.col("n_selected") < F.col("n_pool"))
-    sums = subset_sums(counts.select(*keys, "_v", "_c"), seen.filter(real).select(*keys, "n_selected", "n_pool"), keys, n_iter)
+    sums = picks(counts.select(*keys, "_v", "_c"), seen.filter(real).select(*keys, "n_selected", "n_pool"))
     null = attach_facts(sums, seen.select(*keys, "n_selected", "statistic"), keys)
     null = null.withColumn("_mean", F.col("_sum") / F.col("n_selected"))
     summary = null.groupBy(*keys).agg(

@@ -76,3 +76,32 @@ def test_reports_with_iterations_without_weight(spark):
     assert folds == {f: 1 / 301 for f in range(4)}
     report = ec.selection_report(df, F.col("label") == 1, {"none": 0.0, "high": 1.0}, 2.0, 20, 300).collect()
     assert {r.cost_name: r.boot_p for r in report}["none"] == 1 / 301 and 0.4 < {r.cost_name: r.boot_p for r in report}["high"] < 0.8
+
+
+def test_row_permutations_rank_every_row_of_every_iteration(spark):
+    """Against ranking all draws, for a selection near the strip's middle, small ones and one row of two."""
+    import hashlib
+
+    def seven(text, i):
+        return int(hashlib.md5(text.encode()).hexdigest()[7 * i:7 * i + 7], 16)
+
+    rng, prime, n_iter = random.Random(8), (1 << 31) - 1, 60
+    rows = [(k, f"{k}_{i}", float(rng.randint(0, 1)), i < sel) for k, n, sel in (("big", 400, 150), ("few", 30, 1), ("two", 2, 1), ("none", 5, 0), ("all", 4, 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, trade_id string, v double, sel boolean")
+    got = {r.k: r for r in ec.row_permutation_test(df, ["k"], F.col("v"), F.col("sel"), n_iter).collect()}
+    for k in ("big", "few", "two"):
+        own = [r for r in rows if r[0] == k]
+        want, stat = sum(r[3] for r in own), sum(r[2] for r in own if r[3]) / sum(r[3] for r in own)
+        means = []
+        for it in range(1, n_iter + 1):
+            r, t = seven(str(it), 0) + 1, seven(str(it), 1) + 1
+            draw = lambda name: ((seven(name, 0) * r + seven(name, 1)) % prime << 31) + (seven(name, 2) * t + seven(name, 3)) % prime  # noqa: B023, E731
+            means.append(sum(x[2] for x in sorted(own, key=lambda x: (draw(x[1]), x[1]))[:want]) / want)
+        assert got[k].statistic == pytest.approx(stat) and got[k].null_mean == pytest.approx(sum(means) / n_iter)
+        assert got[k].p_value == pytest.approx((sum(m >= stat for m in means) + 1) / (n_iter + 1))
+    assert got["none"].p_value is None and got["all"].p_value is None and got["all"].n_selected == 4
+
+
+def test_permutation_sql_draws_rows():
+    from barloom.catalog import ENTRIES
+    assert "row_number() OVER (PARTITION BY signal, it ORDER BY" in ENTRIES["permutation_test"].sql
