@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +67,11 @@ class Tree:
         n = (1 << (depth + 1)) - 1
         return cls(np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n), np.zeros(n))
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
+    def leaves(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node that each row reaches, after so many levels if they are given."""
         node = np.zeros(len(bins), np.int64)
         at = np.arange(len(bins))
-        for _ in range(int(np.log2(len(self.feature) + 1)) - 1):
+        for _ in range(int(np.log2(len(self.feature) + 1)) - 1 if levels is None else levels):
             f = self.feature[node]
             right = bins[at, np.maximum(f, 0)] > self.cut[node]
             node = np.where(f >= 0, 2 * node + 1 + right, node)
@@ -243,54 +244,93 @@ def best_split(hist: np.ndarray, fit: Fit, columns: np.ndarray):
             float(weight(right_g[at], right_h[at], fit)), own)
 
 
-def _level_splits(state: DataFrame, fits: list[Fit], grown: dict[int, Tree], tree: int, level: int, n_columns: int, bins: int) -> list:
-    """The best split of every node at ``level`` of the trees being grown: one job."""
-    total = len(fits)
+@dataclass
+class Rows:
+    """What a level needs of a block."""
+
+    key: np.ndarray
+    label: np.ndarray
+    member: np.ndarray
+    bins: np.ndarray
+    margin: np.ndarray
 
-    def histograms(batches):
+
+def _loaded(state: DataFrame, fits: int) -> RDD:
+    """The blocks of a written state, kept as arrays: a level then is one job without a plan of its own."""
+    def run(rows):
+        for r in rows:
+            label = np.frombuffer(r["label"], np.int8)
+            n = len(label)
+            yield Rows(np.frombuffer(r["key"], np.uint64), label, np.frombuffer(r["member"], np.int8).reshape(n, -1),
+                       np.frombuffer(r["bins"], np.uint8).reshape(n, -1), np.frombuffer(r["margin"], np.float64).reshape(n, fits))
+
+    return state.select("key", "label", "member", "bins", "margin").rdd.mapPartitions(run).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _level_splits(blocks: RDD, fits: list[Fit], grown: dict[int, Tree], tree: int, level: int, n_columns: int, bins: int) -> list:
+    """fit, node and ``best_split`` of every node at ``level`` of the trees being grown: one job."""
+    # The first column is always summed, as it tells a node's totals.
+    summed = {fits[k].setting: np.union1d([0], allowed_columns(fits[k], tree, n_columns)) for k in grown}
+
+    def histograms(part):
         sums: dict[int, np.ndarray] = {}
-        span = n_columns * bins
-        for b in _blocks(batches, total):
+        for b in part:
             sampled: dict[int, np.ndarray] = {}
-            cells = np.arange(n_columns) * bins + b.bins.astype(np.int64)
             for k, growing in grown.items():
                 fit = fits[k]
+                columns = summed[fit.setting]
                 if fit.setting not in sampled:
                     sampled[fit.setting] = _sampled(b.key, fit, tree)
                 rows = np.flatnonzero(_trains(fit, b.member[:, fit.group]) & sampled[fit.setting])
-                node = growing.leaves(b.bins[rows]) - ((1 << level) - 1)
-                rows, node = rows[node >= 0], node[node >= 0]
+                own = b.bins[rows]
+                node = growing.leaves(own, level) - ((1 << level) - 1)
+                if level and (node < 0).any():
+                    open_ = np.flatnonzero(node >= 0)
+                    rows, node, own = rows[open_], node[open_], own[open_]
                 if not len(rows):
                     continue
+                span = len(columns) * bins
                 p = 1 / (1 + np.exp(-b.margin[rows, k]))
-                at = (node[:, None] * span + cells[rows]).ravel()
+                at = ((node * span)[:, None] + (np.arange(len(columns)) * bins + own[:, columns])).ravel()
                 if k not in sums:
                     sums[k] = np.zeros(((1 << level) * span, 2), np.int64)
                 for i, w in enumerate((p - b.label[rows], p * (1 - p))):
                     # Whole numbers below 2^53: exact in doubles.
-                    sums[k][:, i] += np.bincount(at, np.repeat(np.rint(w * FIXED), n_columns), (1 << level) * span).astype(np.int64)
-        out = [(k, j, s) for k, body in sums.items() for j, s in enumerate(body.reshape(1 << level, span, 2)) if s[:, 1].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in out], pa.int32()), pa.array([j for _, j, _ in out], pa.int32()),
-                                          pa.array([s.tobytes() for _, _, s in out], pa.binary())], names=["fit", "node", "body"])
-
-    kinds = [("fit", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("cut", pa.int32()), ("gain", pa.float64()), ("left", pa.float64()), ("right", pa.float64()), ("own", pa.float64())]
+                    sums[k][:, i] += np.bincount(at, np.repeat(np.rint(w * FIXED), len(columns)), (1 << level) * span).astype(np.int64)
+        for k, body in sums.items():
+            for j, s in enumerate(body.reshape(1 << level, -1, 2)):
+                if s[:, 1].any():
+                    yield (k, j), s
 
-    def choose(batches):
+    def choose(part):
         # A task adds up the histograms of its own nodes as they come in.
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, j, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hist = np.frombuffer(body, np.int64)
-                sums[k, j] = sums[k, j] + hist if (k, j) in sums else hist
-        found = [(k, j, *best_split(body.reshape(n_columns, bins, 2) / FIXED, fits[k], allowed_columns(fits[k], tree, n_columns))) for (k, j), body in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+        for at, hist in part:
+            sums[at] = sums[at] + hist if at in sums else hist
+        for (k, j), body in sums.items():
+            whole = np.zeros((n_columns, bins, 2))
+            whole[summed[fits[k].setting]] = body.reshape(-1, bins, 2) / FIXED
+            yield k, j, *best_split(whole, fits[k], allowed_columns(fits[k], tree, n_columns))
+
+    if blocks.getNumPartitions() == 1:
+        return blocks.mapPartitions(lambda part: choose(histograms(part))).collect()
+    tasks = -(-(len(grown) << level) // NODES)
+    return blocks.mapPartitions(histograms).partitionBy(tasks, lambda at: (at[0] << level) + at[1]).mapPartitions(choose).collect()
+
+
+def _moved(blocks: RDD, fits: list[Fit], grown: dict[int, Tree]) -> RDD:
+    """The blocks after one more tree of each fit."""
+    def run(b: Rows) -> Rows:
+        margin = b.margin.copy()
+        for k, tree in grown.items():
+            margin[:, k] += fits[k].rate * tree.value[tree.leaves(b.bins)]
+        return Rows(b.key, b.label, b.member, b.bins, margin)
 
-    sent = state.mapInArrow(histograms, "fit int, node int, body binary")
-    return sent.repartition(-(-(len(grown) << level) // NODES), "fit", "node").mapInArrow(
-        choose, "fit int, node int, feature int, cut int, gain double, left double, right double, own double").collect()
+    return blocks.map(run).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _advanced(state: DataFrame, fits: list[Fit], grown: dict[int, Tree]) -> DataFrame:
+def _advanced(state: DataFrame, fits: list[Fit], trees: list[dict[int, Tree]]) -> DataFrame:
+    """A written state after some more trees of each fit, added in their order."""
     total = len(fits)
 
     def run(batches):
@@ -298,8 +338,9 @@ def _advanced(state: DataFrame, fits: list[Fit], grown: dict[int, Tree]) -> Data
             margins = []
             for b in _blocks([batch], total):
                 margin = b.margin.copy()
-                for k, tree in grown.items():
-                    margin[:, k] += fits[k].rate * tree.value[tree.leaves(b.bins)]
+                for grown in trees:
+                    for k, tree in grown.items():
+                        margin[:, k] += fits[k].rate * tree.value[tree.leaves(b.bins)]
                 margins.append(margin.tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(margins, pa.binary())], names=batch.schema.names)
 
@@ -337,8 +378,10 @@ def _grown(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Se
     parts = max(-(-pairs // MOST_PAIRS), min(-(-pairs // TASK_PAIRS), usual))
     state = pack_rows(rows, columns, members, edges, base, label, row_id, parts)
     model = Model(state, fits, list(columns), base, [[] for _ in fits])
-    kept: list[DataFrame] = []
-    for t in range(max(f.trees for f in fits)):
+    blocks, since = _loaded(state, len(fits)), []
+    kept = [blocks]
+    rounds = max(f.trees for f in fits)
+    for t in range(rounds):
         grown = {k: Tree.empty(f.depth) for k, f in enumerate(fits) if t < f.trees}
         open_ = dict(grown)
         for level in range(max(f.depth for f in fits)):
@@ -346,29 +389,32 @@ def _grown(rows: DataFrame, columns: Sequence[str], fits: list[Fit], members: Se
             if not open_:
                 break
             further = {}
-            for r in _level_splits(state, fits, open_, t, level, len(columns), bins):
-                tree, i = open_[r["fit"]], (1 << level) - 1 + r["node"]
+            for k, j, feature, cut, gain, left, right, own in _level_splits(blocks, fits, open_, t, level, len(columns), bins):
+                tree, i = open_[k], (1 << level) - 1 + j
                 if level == 0:
-                    tree.value[i] = r["own"]
-                if r["feature"] >= 0:
-                    tree.feature[i], tree.cut[i], tree.gain[i] = r["feature"], r["cut"], r["gain"]
-                    tree.value[2 * i + 1], tree.value[2 * i + 2] = r["left"], r["right"]
-                    further[r["fit"]] = tree
+                    tree.value[i] = own
+                if feature >= 0:
+                    tree.feature[i], tree.cut[i], tree.gain[i] = feature, cut, gain
+                    tree.value[2 * i + 1], tree.value[2 * i + 2] = left, right
+                    further[k] = tree
             open_ = further
         for k, tree in grown.items():
             model.trees[k].append(tree)
-        state = _advanced(state, fits, grown)
-        if (t + 1) % WRITE_EVERY == 0:
-            state = cut_lineage(state).coalesce(parts)
+        since.append(grown)
+        if (t + 1) % WRITE_EVERY and t + 1 < rounds:
+            blocks = _moved(blocks, fits, grown)
+        else:
+            state, since = cut_lineage(_advanced(state, fits, since)).coalesce(parts), []
             for old in kept:
                 old.unpersist()
             kept = []
-        else:
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
-            kept.append(state)
-    model.state = cut_lineage(state)
-    for old in kept:
-        old.unpersist()
+            if t + 1 < rounds:
+                blocks = _loaded(state, len(fits))
+        kept.append(blocks)
+        # All but the last two have been read for the last time; a lost one is made again from the written state.
+        while len(kept) > 2:
+            kept.pop(0).unpersist()
+    model.state = state
     return model
 
 

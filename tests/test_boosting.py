@@ -153,3 +153,19 @@ def test_class_report_counts(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0), (0, 1)], "target int, prediction int")
     got = {r["class"]: (round(r.precision, 6), round(r.recall, 6), r.support) for r in ml.class_report(df, "target").collect()}
     assert got == {0: (round(2 / 3, 6), round(2 / 3, 6), 3), 1: (0.5, 0.5, 2)}
+
+
+def test_a_level_of_few_rows_is_one_stage(spark):
+    """Rows of one task need no shuffle, and a level reads kept arrays: the stages of six more trees of depth 2 are one a level."""
+    _, df = table(spark, 200)
+    sc = spark.sparkContext
+
+    def stages(trees):
+        sc.setJobGroup(f"grow {trees}", "")
+        model = bo.grow(df, ["a", "b", "c", "same"], [bo.Fit(trees=trees, depth=2, min_child=1.0, left_out=0)], ["cv_fold"])
+        assert all(t.feature[0] >= 0 for t in model.trees[0])
+        tracker = sc.statusTracker()
+        return sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"grow {trees}"))
+
+    assert stages(10) - stages(4) == 12
+    sc.setLocalProperty("spark.jobGroup.id", None)
